@@ -34,6 +34,6 @@ def lookup_join(
     if fits_broadcast(lookup, rows):
         return df.join(F.broadcast(lookup), keys, how)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    copies = copies.withColumn("_salt", F.col("_salt").cast("bigint"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    copies = lookup.withColumn("_salt", F.explode(every))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

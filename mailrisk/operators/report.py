@@ -78,7 +78,8 @@ def score_histogram(
         .groupBy(*by, "bin")
         .agg(F.sum("_n").alias("n"))
     )
-    grid = edges.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))).cast("bigint"))
+    numbers = F.sequence(F.lit(1).cast("bigint"), F.lit(bins).cast("bigint"))
+    grid = edges.withColumn("bin", F.explode(numbers))
     width = (F.col("hi") - F.col("lo")) / bins
     return grid.join(filled, [*by, "bin"], "left").select(
         *by,

@@ -153,15 +153,15 @@ def _(spark, d):
     f"""SELECT e.user_id, e.event_id::VARCHAR AS msg_id, e.ts::DATE::TIMESTAMP AS email_date, s.created_at,
       d.lang, d.source AS subject, {I.clean_sql('d.text')} AS translated_text, {_LINK} AS "HTML_File_Link"
     FROM events e JOIN ({I.SUSPENDED_SQL}) s ON e.user_id = s.user_id AND e.ts::DATE::TIMESTAMP > s.created_at - INTERVAL 3 DAY
-    JOIN documents d ON d.doc_id = e.event_id LEFT JOIN labels l ON l.doc_id = e.event_id""",
+    JOIN documents d ON d.doc_id = e.user_id LEFT JOIN labels l ON l.doc_id = e.event_id""",
 )
 def _(spark, d):
-    """Documents are the bodies of the events with their number."""
+    """Every mail of a user has the document of the user's number as body."""
     docs = table(spark, d, "documents").select(
-        F.col("doc_id").alias("event_id"), "lang", F.col("source").alias("subject"), F.col("text").alias("email_text")
+        F.col("doc_id").alias("user_id"), "lang", F.col("source").alias("subject"), F.col("text").alias("email_text")
     )
     events = table(spark, d, "events").select("event_id", "user_id", "ts")
-    mails = events.join(docs, "event_id").select(
+    mails = events.join(docs, "user_id").select(
         "user_id",
         F.col("event_id").cast("string").alias("msg_id"),
         F.col("ts").cast("date").cast("timestamp_ntz").alias("email_date"),

@@ -51,7 +51,7 @@ def _(spark, d):
 _MARK = "chr(1)"
 _PIECES = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b[^>]*>.*?</(script|style)>', chr(1), 'g'),
   '(?s)<!--.*?-->', chr(1), 'g'), '</?[a-zA-Z!][^>]*>', chr(1), 'g')"""
-_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&amp;", "&")]
+_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 
 
 def _unescape_sql(c: str) -> str:
