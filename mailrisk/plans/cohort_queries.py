@@ -8,7 +8,7 @@ from mailrisk.functions import text as X
 from mailrisk.operators import cohort, geo, language, ranking, rows
 from mailrisk.plans import jobs
 from mailrisk.plans import standins as I
-from mailrisk.plans.registry import query, table
+from mailrisk.plans.registry import query, spread_table, table
 
 _WINDOW = f"""SELECT m.user_id, m.msg_id, m.email_date, s.created_at FROM ({I.DATED_SQL}) m
   JOIN ({I.SUSPENDED_SQL}) s ON m.user_id = s.user_id AND m.email_date > s.created_at - INTERVAL 3 DAY"""
@@ -251,7 +251,7 @@ def _fails_on_short(texts):
     ELSE text END AS translated_text FROM documents""",
 )
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    docs = spread_table(spark, d, "documents").select("doc_id", "lang", "text")
     out = language.translate(docs, {"fr": _to_upper_mark("fr"), "de": _fails_on_short}, "text")
     return out.select("doc_id", "translated_text")
 
@@ -275,7 +275,7 @@ _LANG = f"""WITH w AS (SELECT doc_id, lang, unnest(list_filter({_LETTERS}, lambd
 
 @query("detect_language", _LANG)
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    docs = spread_table(spark, d, "documents").select("doc_id", "lang", "text")
     model = language.fit_language(docs)
     return language.detect_language(docs, model, "text", "detected").drop("text")
 

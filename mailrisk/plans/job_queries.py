@@ -9,7 +9,7 @@ from mailrisk.operators.language import fit_language
 from mailrisk.plans import jobs
 from mailrisk.plans import standins as I
 from mailrisk.plans.cohort_queries import COUNTRY_SQL
-from mailrisk.plans.registry import query, table
+from mailrisk.plans.registry import query, spread_table, table
 from mailrisk.session import scratch_path
 from mailrisk.sources import readers, writers
 from mailrisk.streaming.incremental import ingest_new_files
@@ -65,7 +65,7 @@ def _unescape_sql(c: str) -> str:
     f"""SELECT page_id, array_to_string(list_filter(list_transform(string_split({_PIECES}, chr(1)), lambda x: {I.strip_sql(_unescape_sql('x'))}), lambda x: x <> ''), ' ') AS text FROM pages""",
 )
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", messages.html_to_text("html").alias("text"))
+    return spread_table(spark, d, "pages").select("page_id", messages.html_to_text("html").alias("text"))
 
 
 # --- jobs ------------------------------------------------------------------------
@@ -88,7 +88,7 @@ def _raw_documents(spark, d):
     FROM ({I.EXTRACTED_SQL}) x JOIN ({COUNTRY_SQL}) c ON c.event_id = x.msg_id""",
 )
 def _(spark, d):
-    language = fit_language(table(spark, d, "documents"))
+    language = fit_language(spread_table(spark, d, "documents"))
     out = jobs.ingest(_raw_documents(spark, d), I.nation_ranges(spark, d), language)
     return out.select("msg_id", "content_type", "email_text", "html", "originating_ip_country", "error")
 
@@ -129,7 +129,7 @@ def _(spark, d):
 
 @query("score_job", None)
 def _(spark, d):
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    docs = spread_table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     mails = docs.select(
         F.col("doc_id").alias("msg_id"), F.col("source").alias("subject"), F.col("text").alias("email_text"), "toxic", "quality"
     )

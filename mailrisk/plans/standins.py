@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailrisk.functions import scores as C
-from mailrisk.plans.registry import table
+from mailrisk.plans.registry import spread_table, table
 
 AS_OF = "2024-03-15 00:00:00"  # two months earlier lies inside the events
 
@@ -231,7 +231,7 @@ def document_messages(spark: SparkSession, d: str) -> DataFrame:
         )
     )
     head = F.lit("From: a@a.example\nTo: b@b.example\nMIME-Version: 1.0\n")
-    return table(spark, d, "documents").select(
+    return spread_table(spark, d, "documents").select(
         F.col("doc_id").alias("msg_id"), "lang", "source", F.concat(head, body).alias("mime")
     )
 

@@ -12,7 +12,7 @@ from mailrisk.operators import embeddings as E
 from mailrisk.operators import report, scoring
 from mailrisk.plans import jobs
 from mailrisk.plans import standins as I
-from mailrisk.plans.registry import query, table
+from mailrisk.plans.registry import query, spread_table, table
 
 # --- text ------------------------------------------------------------------------
 
@@ -20,8 +20,8 @@ _TEXTS = "SELECT 'd' || doc_id AS id, text AS t FROM documents UNION ALL SELECT
 
 
 def _texts(spark, d):
-    pages = table(spark, d, "pages")
-    docs = table(spark, d, "documents")
+    pages = spread_table(spark, d, "pages")
+    docs = spread_table(spark, d, "documents")
 
     def rows(df, letter, key, text):
         return df.select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("id"), F.col(text).alias("t"))
@@ -161,7 +161,7 @@ def _two_logits():
 )
 def _(spark, d):
     model = scoring.external_model("ext", "text", _two_logits)
-    return scoring.classify_text(table(spark, d, "documents").select("doc_id", "text"), model).drop("text")
+    return scoring.classify_text(spread_table(spark, d, "documents").select("doc_id", "text"), model).drop("text")
 
 
 # Multinomial naive Bayes on words of the labelled documents, add-one smoothing.
@@ -181,19 +181,19 @@ _BAYES = r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(low
 
 
 def _labelled(spark, d):
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "text", "toxic")
+    return spread_table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "text", "toxic")
 
 
 @query("classify_text", _BAYES)
 def _(spark, d):
     model = scoring.bayes_model("words", _labelled(spark, d), "text", "toxic")
-    return scoring.classify_text(table(spark, d, "documents").select("doc_id", "text"), model).drop("text")
+    return scoring.classify_text(spread_table(spark, d, "documents").select("doc_id", "text"), model).drop("text")
 
 
 @query("classify_text_logistic", None)
 def _(spark, d):
     model = scoring.logistic_model("lr", _labelled(spark, d), "text", "toxic")
-    return scoring.classify_text(table(spark, d, "documents").select("doc_id", "text"), model).drop("text")
+    return scoring.classify_text(spread_table(spark, d, "documents").select("doc_id", "text"), model).drop("text")
 
 
 # --- reports ---------------------------------------------------------------------
@@ -392,4 +392,4 @@ def _(spark, d):
 
 @query("embed_text", None)
 def _(spark, d):
-    return E.embed_text(table(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
+    return E.embed_text(spread_table(spark, d, "documents").select("doc_id", "text"), "text").drop("text")

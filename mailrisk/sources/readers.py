@@ -20,6 +20,18 @@ def with_source_path(df: DataFrame, name: str = "s3_path") -> DataFrame:
     return df.select("*", F.col("_metadata.file_path").alias(name))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than there are cores one partition per core.
+
+    For work that is heavy per row (parsing messages, fitting and applying text
+    models) on few or unsplittable files.  A scan that already has splits enough
+    is returned as it is, so a large table is never shuffled for this.  Only for
+    frames straight off a scan: counting their splits runs no job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def scan_json_lines(
     spark: SparkSession,
     path: str | Sequence[str],
