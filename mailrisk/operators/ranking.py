@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailrisk.operators.joins import lookup_join
 
@@ -14,20 +15,29 @@ _ROWS_PER_RANGE = 2_000_000
 _MAX_RANGES = 512
 
 
+_FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def latest_per_user(
     df: DataFrame, user: str = "user_id", created: str = "created_at", tie: str | None = None
 ) -> DataFrame:
-    """One row per user: the latest ``created``; with ``tie`` its smallest value decides.
+    """One row per user: the latest ``created``; with a numeric ``tie`` its smallest value decides.
 
-    ``max_by`` combines on the map side, so a user with very many rows is one
-    partial row per task before the shuffle.
+    Combines on the map side, so a user with very many rows is one partial row
+    per task before the shuffle.  Fixed-width columns are taken one by one: the
+    aggregate then hashes, where a struct would make it sort its input.  Equal
+    times pick the same row for every column, since all see the rows in the
+    same order.
     """
     rows = df.filter(F.col(user).isNotNull() & F.col(created).isNotNull())
-    others = [c for c in df.columns if c != user]
+    others = [c for c in df.columns if c not in (user, created)]
+    if tie is None and all(isinstance(df.schema[c].dataType, _FIXED_WIDTH) for c in others):
+        latest = [F.max_by(c, created).alias(c) for c in others]
+        return rows.groupBy(user).agg(F.max(created).alias(created), *latest).select(df.columns)
     # among equal times the smaller tie value must be the larger key
     key = F.col(created) if tie is None else F.struct(F.col(created), (-F.col(tie)).alias("t"))
-    best = rows.groupBy(user).agg(F.max_by(F.struct(*others), key).alias("_row"))
-    return best.select(user, "_row.*")
+    best = rows.groupBy(user).agg(F.max_by(F.struct(created, *others), key).alias("_row"))
+    return best.select(user, "_row.*").select(df.columns)
 
 
 def latest_per_key_ranked(df: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -156,11 +166,13 @@ def assign_batches(
     return numbered.withColumn("batch_id", batch_name(F.col("batch_no"), size, rows))
 
 
-def file_batches(df: DataFrame, files_per_batch: int, rows_per_file: int, path: str = "s3_path") -> DataFrame:
+def file_batches(
+    df: DataFrame, files_per_batch: int, rows_per_file: int, spread: str, path: str = "s3_path"
+) -> DataFrame:
     """Batch of each row by its file: files in name order, a fixed number per batch."""
     files = df.select(path).distinct()
-    numbered = with_row_index(files, [path], name="_file", ranges=1)
+    numbered = with_row_index(files, [path], name="_file")
     size = files_per_batch * rows_per_file
     numbered = numbered.withColumn("batch_no", F.floor(F.col("_file") / files_per_batch))
     numbered = numbered.withColumn("batch_id", batch_name(F.col("batch_no"), size)).drop("_file")
-    return df.join(numbered, path)
+    return lookup_join(df, numbered, path, spread=spread, how="inner")

@@ -54,9 +54,10 @@ def score_histogram(
     """Equal-width bins between the smallest and largest score of each group.
 
     Empty bins count 0; the last bin holds its upper edge; a group of one value
-    gets edges half a unit to either side.  Equal scores are counted first: the
-    scores are 6-digit numbers, so what is shuffled does not grow with the rows,
-    and the counted rows serve both the edges and the bins.
+    gets edges half a unit to either side.  Two passes over ``df``: one for the
+    edges, one that counts equal scores before binning them (scores are 6-digit
+    numbers, so what is shuffled does not grow with the rows).  Hand in a stored
+    table where scores are costly to compute.
     """
     rows = df.filter(F.col(score).isNotNull())
     if threshold is not None:

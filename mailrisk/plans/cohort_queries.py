@@ -334,7 +334,7 @@ def _(spark, d):
 
 @query(
     "sample_n_sizes",
-    f"SELECT dataset, least(100, count(*)) AS n, least(100, count(*)) AS n_ids, 0 AS n_foreign FROM ({I.SETS_SQL}) GROUP BY dataset",
+    f"SELECT dataset, least(100, count(*)) AS n, least(100, count(*)) AS n_ids, 0::BIGINT AS n_foreign FROM ({I.SETS_SQL}) GROUP BY dataset",
 )
 def _(spark, d):
     sets = I.embedding_sets(spark, d).select("id", "dataset")

@@ -32,7 +32,7 @@ def _(spark, d):
 
 @query(
     "message_parts",
-    """SELECT doc_id AS msg_id, i AS idx, lang IN ('en', 'de') AS is_multipart FROM documents,
+    """SELECT doc_id AS msg_id, i::INT AS idx, lang IN ('en', 'de') AS is_multipart FROM documents,
     LATERAL (SELECT unnest(range(CASE WHEN lang IN ('en', 'de') THEN 3 ELSE 1 END)) AS i)""",
 )
 def _(spark, d):

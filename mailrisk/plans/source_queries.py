@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailrisk import schema as S
 from mailrisk.functions import text as X
@@ -108,7 +109,7 @@ def _(spark, d):
 
 @query(
     "scan_embeddings",
-    f"""SELECT dataset, count(*) AS n, sum(len(embedding)) AS n_values, round(sum(list_sum(embedding::DOUBLE[])), 6) AS total
+    f"""SELECT dataset, count(*) AS n, sum(len(embedding))::BIGINT AS n_values, round(sum(list_sum(embedding::DOUBLE[])), 6) AS total
     FROM ({I.SETS_SQL}) GROUP BY dataset""",
 )
 def _(spark, d):
@@ -132,14 +133,16 @@ def _(spark, d):
 
 @query(
     "write_per_user",
-    "SELECT user_id, count(*) AS n, min(event_id) AS first_event, max(event_id) AS last_event, 0 AS out_of_order FROM events GROUP BY user_id",
+    "SELECT user_id, count(*) AS n, min(event_id) AS first_event, max(event_id) AS last_event, 0::BIGINT AS out_of_order FROM events GROUP BY user_id",
 )
 def _(spark, d):
     path = scratch_path(spark, "per_user")
     writers.write_per_user(table(spark, d, "events").select("user_id", "event_id", "ts"), path, order="event_id", partitions=8)
 
 
-    df = readers.scan_parquet(spark, path)
+    # the type of a partition column is declared, not guessed from folder names
+    stored = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType())])
+    df = readers.scan_parquet(spark, path, schema=stored)
     row = F.col("_metadata.row_index")
     df = df.select("user_id", "event_id", F.col("_metadata.file_name").alias("f"), row.alias("r"))
     # in each file the event ids must rise with the row number
@@ -192,7 +195,7 @@ def _(spark, d):
     # the name of a written file sorts by its folder first: one file per day and task
     events.repartition("day").write.partitionBy("day").parquet(path)
     df = readers.with_source_path(readers.scan_parquet(spark, path)).select("event_id", "s3_path")
-    return ranking.file_batches(df, 10, 500).select("event_id", "batch_no", "batch_id")
+    return ranking.file_batches(df, 10, 500, spread="event_id").select("event_id", "batch_no", "batch_id")
 
 
 @query("write_html_bodies", "SELECT page_id::VARCHAR AS msg_id, page_id || '.html' AS html_key, html FROM pages WHERE html <> ''")
@@ -210,8 +213,8 @@ def _(spark, d):
 def _(spark, d):
     path = scratch_path(spark, "resumable")
     df = table(spark, d, "events").select("event_id", F.col("event_type").alias("s3_path"))
-    writers.write_resumable(spark, df.filter("s3_path IN ('view', 'click')"), path)
-    left = writers.write_resumable(spark, df, path)
+    writers.write_resumable(spark, df.filter("s3_path IN ('view', 'click')"), path, "event_id")
+    left = writers.write_resumable(spark, df, path, "event_id")
     out = readers.scan_parquet(spark, path)
     return out.groupBy("s3_path").agg(F.count(F.lit(1)).alias("n")).withColumn("second_run", F.lit(left))
 
@@ -317,7 +320,7 @@ def _(spark, d):
     return I.scored_mails(spark, d).filter(phish | legit).select("msg_id", "dataset", "two_score")
 
 
-@query("row_count", "SELECT count(*) AS n_rows, 6 AS n_columns FROM events")
+@query("row_count", "SELECT count(*) AS n_rows, 6::BIGINT AS n_columns FROM events")
 def _(spark, d):
     return rows.row_count(table(spark, d, "events"))
 

@@ -10,6 +10,7 @@ from mailrisk.functions import text as X
 from mailrisk.functions import vectors as V
 from mailrisk.operators import embeddings as E
 from mailrisk.operators import report, scoring
+from mailrisk.operators.joins import lookup_join
 from mailrisk.plans import jobs
 from mailrisk.plans import standins as I
 from mailrisk.plans.registry import query, spread_table, table
@@ -235,17 +236,17 @@ def _histogram_sql(where: str) -> str:
       CASE WHEN min(score) = max(score) THEN max(score) + 0.5 ELSE max(score) END AS hi FROM x GROUP BY ALL),
     b AS (SELECT dataset, model, least(floor((score - lo) * 50 / (hi - lo)), 49)::BIGINT + 1 AS bin, count(*) AS n FROM x JOIN e USING (dataset, model) GROUP BY ALL),
     g AS (SELECT *, unnest(range(1, 51)) AS bin FROM e)
-    SELECT dataset, model, bin, round(lo + (bin - 1) * ((hi - lo) / 50), 6) AS bin_start, coalesce(n, 0) AS n FROM g LEFT JOIN b USING (dataset, model, bin)"""
+    SELECT dataset, model, bin, round(lo + (bin - 1) * ((hi - lo) / 50), 3) AS bin_start, coalesce(n, 0) AS n FROM g LEFT JOIN b USING (dataset, model, bin)"""
 
 
 @query("score_histogram", _histogram_sql("true"))
 def _(spark, d):
-    return report.score_histogram(_long(spark, d), _BY).withColumn("bin_start", C.round6("bin_start"))
+    return report.score_histogram(_long(spark, d), _BY).withColumn("bin_start", F.round("bin_start", 3))
 
 
 @query("score_histogram_above", _histogram_sql("score >= 0.99"))
 def _(spark, d):
-    return report.score_histogram(_long(spark, d), _BY, threshold=0.99).withColumn("bin_start", C.round6("bin_start"))
+    return report.score_histogram(_long(spark, d), _BY, threshold=0.99).withColumn("bin_start", F.round("bin_start", 3))
 
 
 @query(
@@ -301,7 +302,7 @@ def _values(df, key, vector):
     return out.select(key, (F.col("pos") + 1).alias("pos"), F.round("x", 6).alias("x"))
 
 
-@query("centroid", f"SELECT dataset, generate_subscripts(c, 1) AS pos, round(unnest(c), 6) AS x FROM ({_CENTROIDS})")
+@query("centroid", f"SELECT dataset, generate_subscripts(c, 1)::INT AS pos, round(unnest(c), 6) AS x FROM ({_CENTROIDS})")
 def _(spark, d):
     return _values(E.centroid(I.embedding_sets(spark, d)), "dataset", "centroid")
 
@@ -346,7 +347,7 @@ def _(spark, d):
 )
 def _(spark, d):
     df = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    both = df.join(E.centroid(df, "label"), "label")
+    both = lookup_join(df, E.centroid(df, "label"), "label", spread="vec_id", how="inner")
     return both.select(
         "vec_id",
         C.round6(V.cosine_similarity("embedding", "centroid")).alias("similarity"),
@@ -366,7 +367,7 @@ def _tokens(spark, d):
 
 @query(
     "mean_pool",
-    """SELECT doc, pos, round(avg(x), 6) AS x FROM (SELECT label AS doc, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos
+    """SELECT doc, pos, round(avg(x), 6) AS x FROM (SELECT label AS doc, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1)::INT AS pos
     FROM embeddings WHERE embedding[1] >= 0) GROUP BY ALL""",
 )
 def _(spark, d):
@@ -375,7 +376,7 @@ def _(spark, d):
 
 @query(
     "first_token_pool",
-    """SELECT doc, generate_subscripts(e, 1) AS pos, round(unnest(e)::DOUBLE, 6) AS x FROM (SELECT label AS doc, arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY label)""",
+    """SELECT doc, generate_subscripts(e, 1)::INT AS pos, round(unnest(e)::DOUBLE, 6) AS x FROM (SELECT label AS doc, arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY label)""",
 )
 def _(spark, d):
     pooled = E.first_token_pool(_tokens(spark, d))

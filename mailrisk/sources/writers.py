@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailrisk.functions import text as X
+from mailrisk.operators.joins import lookup_join
 from mailrisk.operators.ranking import assign_batches
 
 
@@ -88,7 +89,7 @@ def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def pending_sources(
-    spark: SparkSession, df: DataFrame, path: str, source: str = "s3_path"
+    spark: SparkSession, df: DataFrame, path: str, spread: str, source: str = "s3_path"
 ) -> DataFrame:
     """Rows of ``df`` whose source is not yet in the output at ``path``.
 
@@ -98,14 +99,14 @@ def pending_sources(
     done = read_if_exists(spark, path)
     if done is None:
         return df
-    return df.join(done.select(source).distinct(), source, "left_anti")
+    return lookup_join(df, done.select(source).distinct(), source, spread=spread, how="left_anti")
 
 
 def write_resumable(
-    spark: SparkSession, df: DataFrame, path: str, source: str = "s3_path"
+    spark: SparkSession, df: DataFrame, path: str, spread: str, source: str = "s3_path"
 ) -> int:
     """Append the rows of sources not written before; returns how many sources that were."""
-    todo = pending_sources(spark, df, path, source)
+    todo = pending_sources(spark, df, path, spread, source)
     remaining = todo.select(source).distinct().count()
     if remaining:
         todo.write.mode("append").parquet(path)
