@@ -97,7 +97,8 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         .option("multiLine", "true")
         .option("quote", '"')
         .option("escape", '"')
-        .option("emptyValue", "")
+        # an empty cell is null and a quoted empty cell is "": no text may stand for null
+        .option("nullValue", "\x00")
         .csv(path)
     )
 
@@ -137,7 +138,7 @@ def scan_map(
     One object per line by default, so that a large map can be split over many
     lines and files; ``whole_file`` reads each file as one pretty-printed object.
     """
-    lines = spark.read.option("wholetext", str(whole_file).lower()).text(path)
+    lines = spark.read.text(path, wholetext=whole_file)
     return lines.select(F.explode(F.from_json("value", "map<string,string>")).alias(key, value))
 
 

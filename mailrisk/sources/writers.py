@@ -22,10 +22,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         .option("header", "true")
         .option("quote", '"')
         .option("escape", '"')
-        .option("emptyValue", "")
         .option("ignoreLeadingWhiteSpace", "false")
         .option("ignoreTrailingWhiteSpace", "false")
-        .option("quoteAll", "true")
         .csv(path)
     )
 
