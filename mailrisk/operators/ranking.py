@@ -73,26 +73,31 @@ def top_n_per_dataset(
 def sample_n(df: DataFrame, n: int, by: str, key: str, seed: int = 42) -> DataFrame:
     """Exactly n rows of each set without replacement, the same ones for the same seed.
 
-    All rows of a set that has fewer than n.  A count of hash prefixes finds the
-    prefix the n-th row falls in; only the rows of that one prefix are ranked,
-    so no task ever holds a set.
+    All rows of a set that has fewer than n; rows whose set is null belong to
+    none.  ``key`` must be unique in its set.  A count of hash prefixes finds
+    the prefix the n-th row falls in; only the keys of that one prefix are
+    ranked, so no task ever holds a set, and the full rows are read once.
     """
     bits = 16
-    hashed = df.withColumn("_hash", F.xxhash64(F.col(key), F.lit(seed)))
-    hashed = hashed.withColumn("_slot", F.shiftright("_hash", 64 - bits))
-    counts = hashed.groupBy(by, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+
+    def hashed(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("_hash", F.xxhash64(F.col(key), F.lit(seed)))
+
+    keys = hashed(df.filter(F.col(by).isNotNull()).select(by, key))
+    keys = keys.withColumn("_slot", F.shiftright("_hash", 64 - bits))
+    counts = keys.groupBy(by, "_slot").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     # rows before each slot; at most 2^bits rows per set
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
-    wanted = counts.filter(F.col("_before") < n).drop("_n")
-    last = wanted.groupBy(by).agg(F.max_by(F.struct("_slot", "_before"), "_slot").alias("_last"))
-    joined = lookup_join(hashed.filter(F.col(by).isNotNull()), last, by, spread=key, how="inner")
-    below = joined.filter(F.col("_slot") < F.col("_last._slot"))
-    edge = joined.filter(F.col("_slot") == F.col("_last._slot"))
-    w = Window.partitionBy(by).orderBy("_hash", key)
-    edge = edge.withColumn("_rank", F.row_number().over(w))
-    edge = edge.filter(F.col("_rank") <= F.lit(n) - F.col("_last._before")).drop("_rank")
-    return below.unionByName(edge).drop("_hash", "_slot", "_last")
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    # the slot with the n-th row; a set without one is taken whole
+    edge = before.filter((F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n)).drop("_n")
+    inside = lookup_join(keys, edge, [by, "_slot"], spread=key, how="inner")
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("_hash", key))
+    cut = inside.withColumn("_rank", rank).filter(F.col("_rank") == F.lit(n) - F.col("_before"))
+    cut = cut.select(by, F.struct("_hash", key).alias("_cut"))
+    rows = lookup_join(hashed(df.filter(F.col(by).isNotNull())), cut, by, spread=key)
+    taken = F.col("_cut").isNull() | (F.struct("_hash", key) <= F.col("_cut"))
+    return rows.filter(taken).select(df.columns)
 
 
 def _range_number(key: Column, bounds: list[Column]) -> Column:

@@ -148,10 +148,17 @@ def _(spark, d):
     return cohort.count_unmapped(mails, _file_links(spark, d))
 
 
+def _mark(code):
+    return lambda texts: [f"[{code}] {t}" for t in texts]
+
+
+_FR_MARK = "CASE WHEN d.lang = 'fr' THEN '[fr] ' ELSE '' END"
+
+
 @query(
     "labeling_sheet",
     f"""SELECT e.user_id, e.event_id::VARCHAR AS msg_id, e.ts::DATE::TIMESTAMP AS email_date, s.created_at,
-      d.lang, d.source AS subject, {I.clean_sql('d.text')} AS translated_text, {_LINK} AS "HTML_File_Link"
+      d.lang, {_FR_MARK} || d.source AS subject, {_FR_MARK} || {I.clean_sql(I.shorten_sql('d.text'))} AS translated_text, {_LINK} AS "HTML_File_Link"
     FROM events e JOIN ({I.SUSPENDED_SQL}) s ON e.user_id = s.user_id AND e.ts::DATE::TIMESTAMP > s.created_at - INTERVAL 3 DAY
     JOIN documents d ON d.doc_id = e.user_id LEFT JOIN labels l ON l.doc_id = e.event_id""",
 )
@@ -173,8 +180,8 @@ def _(spark, d):
         F.lit(1).alias("two_label"),
         F.lit(0.5).alias("two_score"),
     )
-    mails = mails.withColumn("translated_text", X.clean_basic("email_text"))
-    return jobs.labeling_sheet(mails, _suspended(spark, d), _file_links(spark, d))
+    translators = {"fr": _mark("fr")}
+    return jobs.labeling_sheet(mails, _suspended(spark, d), _file_links(spark, d), translators)
 
 
 @query(
@@ -235,10 +242,6 @@ def _(spark, d):
     return language.route_by_language(docs, ["fr", "de"])
 
 
-def _to_upper_mark(code):
-    return lambda texts: [f"[{code}] {t}" for t in texts]
-
-
 def _fails_on_short(texts):
     if any(len(t) < 500 for t in texts):
         raise ValueError("too short")
@@ -252,25 +255,35 @@ def _fails_on_short(texts):
 )
 def _(spark, d):
     docs = spread_table(spark, d, "documents").select("doc_id", "lang", "text")
-    out = language.translate(docs, {"fr": _to_upper_mark("fr"), "de": _fails_on_short}, "text")
+    out = language.translate(docs, {"fr": _mark("fr"), "de": _fails_on_short}, "text")
     return out.select("doc_id", "translated_text")
 
 
-# Multinomial naive Bayes on character trigrams, add-one smoothing, all documents.
+# Multinomial naive Bayes on character trigrams, add-one smoothing, fitted on all documents.
 _LETTERS = r"string_split_regex(lower(text), '[^\p{L}]+')"
-_LANG = f"""WITH w AS (SELECT doc_id, lang, unnest(list_filter({_LETTERS}, lambda x: x <> '')) AS word FROM documents),
-  wc AS (SELECT doc_id, lang, word, count(*) AS n FROM w GROUP BY ALL),
-  g AS (SELECT doc_id, lang, n, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(' ' || word || ' ', i::INT, 3))) AS gram FROM wc),
-  dg AS (SELECT doc_id, gram, sum(n) AS n FROM g GROUP BY ALL),
-  lg AS (SELECT lang, gram, sum(n) AS n FROM g GROUP BY ALL),
-  v AS (SELECT count(DISTINCT gram) AS size FROM g),
+
+
+def language_sql(texts: str) -> str:
+    """(id, detected) of the rows (id, text) of ``texts``."""
+
+    def grams(source: str) -> str:
+        return f"""SELECT * EXCLUDE (word), unnest(list_transform(range(1, length(word) + 1), lambda i: substr(' ' || word || ' ', i::INT, 3))) AS gram
+          FROM (SELECT * EXCLUDE (text), unnest(list_filter({_LETTERS}, lambda x: x <> '')) AS word FROM ({source}))"""
+
+    return f"""WITH lg AS (SELECT lang, gram, count(*) AS n FROM ({grams('SELECT lang, text FROM documents')}) GROUP BY ALL),
+  v AS (SELECT count(DISTINCT gram) AS size FROM lg),
   tot AS (SELECT lang, sum(n) AS total FROM lg GROUP BY lang),
   pri AS (SELECT lang, ln(count(*) + 1.0) - ln((SELECT count(*) FROM documents) + 1.0 * (SELECT count(DISTINCT lang) FROM documents)) AS pi FROM documents GROUP BY lang),
-  hit AS (SELECT dg.doc_id, lg.lang, sum(dg.n * ln(lg.n + 1.0)) AS s FROM dg JOIN lg USING (gram) GROUP BY ALL),
-  len AS (SELECT doc_id, sum(n) AS n FROM dg GROUP BY doc_id),
-  sc AS (SELECT len.doc_id, tot.lang, pi + coalesce(hit.s, 0) - len.n * ln(total + size) AS score
-    FROM len CROSS JOIN tot CROSS JOIN v JOIN pri USING (lang) LEFT JOIN hit ON hit.doc_id = len.doc_id AND hit.lang = tot.lang)
-  SELECT d.doc_id, d.lang, coalesce(arg_max(sc.lang, score), 'N/A') AS detected FROM documents d LEFT JOIN sc USING (doc_id) GROUP BY ALL"""
+  x AS ({texts}),
+  dg AS (SELECT id, gram, count(*) AS n FROM ({grams('SELECT * FROM x')}) WHERE gram IN (SELECT gram FROM lg) GROUP BY ALL),
+  hit AS (SELECT id, lang, sum(dg.n * ln(lg.n + 1.0)) AS s FROM dg JOIN lg USING (gram) GROUP BY ALL),
+  len AS (SELECT x.id, coalesce(sum(n), 0) AS n FROM x LEFT JOIN dg USING (id) WHERE regexp_matches(text, '\\p{{L}}') GROUP BY x.id),
+  sc AS (SELECT len.id, tot.lang, pi + coalesce(hit.s, 0) - len.n * ln(total + size) AS score
+    FROM len CROSS JOIN tot CROSS JOIN v JOIN pri USING (lang) LEFT JOIN hit ON hit.id = len.id AND hit.lang = tot.lang)
+  SELECT x.id, coalesce(arg_max(lang, score), 'N/A') AS detected FROM x LEFT JOIN sc USING (id) GROUP BY x.id"""
+
+
+_LANG = f"SELECT doc_id, lang, detected FROM documents JOIN ({language_sql('SELECT doc_id AS id, text FROM documents')}) ON id = doc_id"
 
 
 @query("detect_language", _LANG)

@@ -8,7 +8,7 @@ from mailrisk.operators import messages, rows, scoring
 from mailrisk.operators.language import fit_language
 from mailrisk.plans import jobs
 from mailrisk.plans import standins as I
-from mailrisk.plans.cohort_queries import COUNTRY_SQL
+from mailrisk.plans.cohort_queries import COUNTRY_SQL, language_sql
 from mailrisk.plans.registry import query, spread_table, table
 from mailrisk.session import scratch_path
 from mailrisk.sources import readers, writers
@@ -82,15 +82,21 @@ def _raw_documents(spark, d):
     return events.join(docs, "msg_id").select("raw_mime", F.struct(payload.alias("payload")).alias("event"))
 
 
+_SUBJECTS = """SELECT doc_id AS id, source || ' ' || CASE WHEN value >= 5 THEN event_type || ' ' || props ELSE '' END AS text
+  FROM documents JOIN events ON event_id = doc_id"""
+
+
 @query(
     "ingest_job",
-    f"""SELECT 'm' || x.msg_id AS msg_id, x.content_type, x.email_text, x.html, c.originating_ip_country, NULL::VARCHAR AS error
-    FROM ({I.EXTRACTED_SQL}) x JOIN ({COUNTRY_SQL}) c ON c.event_id = x.msg_id""",
+    f"""SELECT 'm' || x.msg_id AS msg_id, s.text AS subject, l.detected AS lang, x.content_type, x.email_text, x.html,
+      c.originating_ip_country, NULL::VARCHAR AS error
+    FROM ({I.EXTRACTED_SQL}) x JOIN ({COUNTRY_SQL}) c ON c.event_id = x.msg_id JOIN ({_SUBJECTS}) s ON s.id = x.msg_id
+    JOIN ({language_sql(_SUBJECTS)}) l ON l.id = x.msg_id""",
 )
 def _(spark, d):
     language = fit_language(spread_table(spark, d, "documents"))
     out = jobs.ingest(_raw_documents(spark, d), I.nation_ranges(spark, d), language)
-    return out.select("msg_id", "content_type", "email_text", "html", "originating_ip_country", "error")
+    return out.select("msg_id", "subject", "lang", "content_type", "email_text", "html", "originating_ip_country", "error")
 
 
 @query(
@@ -152,7 +158,10 @@ def _(spark, d):
     raise AssertionError("duplicate columns were let through")
 
 
-@query("ingest_incremental", I.FLAT_SQL)
+@query(
+    "ingest_incremental",
+    f"SELECT * EXCLUDE (mime), 'text/plain' AS content_type, substr(mime, 13) AS email_text, '' AS html, NULL::VARCHAR AS parse_error FROM ({I.FLAT_SQL})",
+)
 def _(spark, d):
     """Files of two event types, then all: the second run must add only the new ones, a third nothing."""
     base = scratch_path(spark, "incremental")
@@ -161,7 +170,7 @@ def _(spark, d):
     early = F.col("event_type").isin("view", "click")
 
     def take(batch):
-        return rows.flatten_event(batch)
+        return messages.extract_messages(rows.flatten_event(batch))
 
     raw.filter(early).drop("event_type").write.mode("append").json(f"{base}/in")
     ingest_new_files(spark, **run, transform=take)
