@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mailrisk.functions import text as X
 from mailrisk.operators import messages, rows, scoring
 from mailrisk.operators.language import fit_language
 from mailrisk.plans import jobs
 from mailrisk.plans import standins as I
 from mailrisk.plans.cohort_queries import COUNTRY_SQL, language_sql
 from mailrisk.plans.registry import query, spread_table, table
+from mailrisk.plans.text_queries import bayes_sql
 from mailrisk.session import scratch_path
 from mailrisk.sources import readers, writers
 from mailrisk.streaming.incremental import ingest_new_files
@@ -133,16 +135,39 @@ def _(spark, d):
     return out.select("msg_id", "url_domains", "cleaned_text", "translated_text", "subject")
 
 
-@query("score_job", None)
+# A document with the link of the page of its number at the end.
+_LINKED = """SELECT doc_id AS id, source, text || ' ' || coalesce(url, '') AS email_text, toxic, quality
+  FROM documents LEFT JOIN labels USING (doc_id) LEFT JOIN pages ON page_id = doc_id"""
+_WORDS = bayes_sql(
+    f"SELECT toxic AS y, email_text AS text FROM ({_LINKED}) WHERE toxic IS NOT NULL",
+    f"SELECT id, {I.strip_sql('source || chr(32) || ' + I.clean_sql(I.shorten_sql('email_text')))} AS text FROM ({_LINKED})",
+)
+_LINKS = bayes_sql(
+    f"SELECT quality AS y, {I.domains_sql('email_text')} AS text FROM ({_LINKED}) WHERE quality IS NOT NULL",
+    f"SELECT id, {I.domains_sql('email_text')} AS text FROM ({_LINKED})",
+)
+
+
+@query(
+    "score_job",
+    f"""SELECT w.id AS msg_id, w.label AS words_label, w.score AS words_score, l.label AS links_label, l.score AS links_score
+    FROM ({_WORDS}) w JOIN ({_LINKS}) l USING (id)""",
+)
 def _(spark, d):
-    docs = spread_table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    """One model reads subject and body, the other the link domains."""
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    docs = spread_table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").join(pages, "doc_id", "left")
     mails = docs.select(
-        F.col("doc_id").alias("msg_id"), F.col("source").alias("subject"), F.col("text").alias("email_text"), "toxic", "quality"
+        F.col("doc_id").alias("msg_id"),
+        F.col("source").alias("subject"),
+        F.concat("text", F.lit(" "), F.coalesce("url", F.lit(""))).alias("email_text"),
+        "toxic",
+        "quality",
     )
+    train = mails.withColumn("url_domains", X.url_domains("email_text"))
     models = [
-        scoring.bayes_model("words", mails, "email_text", "toxic", "translated_text"),
-        scoring.logistic_model("lr", mails, "email_text", "toxic", "translated_text"),
-        scoring.bayes_model("links", mails, "email_text", "quality", "url_domains"),
+        scoring.bayes_model("words", train, "email_text", "toxic", "translated_text"),
+        scoring.bayes_model("links", train, "url_domains", "quality"),
     ]
     out = jobs.score(mails.drop("toxic", "quality"), models)
     return out.select("msg_id", *[c for m in models for c in (m.label_col, m.score_col)])

@@ -165,20 +165,32 @@ def _(spark, d):
     return scoring.classify_text(spread_table(spark, d, "documents").select("doc_id", "text"), model).drop("text")
 
 
-# Multinomial naive Bayes on words of the labelled documents, add-one smoothing.
-_BAYES = r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda x: x <> '')) AS word FROM documents),
-  wc AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL),
-  tr AS (SELECT toxic AS y, word, sum(n) AS n FROM wc JOIN labels USING (doc_id) GROUP BY ALL),
-  tot AS (SELECT y, sum(n) AS total FROM tr GROUP BY y),
-  v AS (SELECT count(DISTINCT word) AS size FROM tr),
-  pri AS (SELECT toxic AS y, ln(count(*) + 1.0) - ln((SELECT count(*) FROM labels) + 2.0) AS pi FROM labels JOIN documents USING (doc_id) GROUP BY toxic),
-  known AS (SELECT wc.doc_id, word, n FROM wc WHERE word IN (SELECT word FROM tr)),
-  len AS (SELECT doc_id, sum(n) AS n FROM known GROUP BY doc_id),
-  hit AS (SELECT known.doc_id, tr.y, sum(known.n * ln(tr.n + 1.0)) AS one, sum(known.n) AS c FROM known JOIN tr USING (word) GROUP BY ALL),
-  sc AS (SELECT d.doc_id, tot.y, pi + coalesce(one, 0) - coalesce(len.n, 0) * ln(total + size) AS s
-    FROM documents d CROSS JOIN tot CROSS JOIN v JOIN pri USING (y) LEFT JOIN len ON len.doc_id = d.doc_id LEFT JOIN hit ON hit.doc_id = d.doc_id AND hit.y = tot.y),
-  p AS (SELECT doc_id, max(CASE WHEN y = 1 THEN s END) - max(CASE WHEN y = 0 THEN s END) AS z FROM sc GROUP BY doc_id)
-  SELECT doc_id, CASE WHEN z > 0 THEN 1 ELSE 0 END AS words_label, round(CASE WHEN z > 0 THEN 1 / (1 + exp(-z)) ELSE 1 - 1 / (1 + exp(z)) END, 6) AS words_score FROM p"""
+def bayes_sql(train: str, texts: str) -> str:
+    """(id, label, score) of the rows (id, text) of ``texts``.
+
+    Multinomial naive Bayes on words with add-one smoothing, fitted on the rows
+    (y, text) of ``train`` with y 0 or 1.
+    """
+
+    def words(source: str) -> str:
+        return rf"""SELECT * EXCLUDE (text), unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}]+'), lambda x: x <> '')) AS word FROM ({source})"""
+
+    return f"""WITH t AS ({train}), x AS ({texts}),
+  tw AS (SELECT y, word, count(*) AS n FROM ({words('SELECT * FROM t')}) GROUP BY ALL),
+  tot AS (SELECT y, sum(n) AS total FROM tw GROUP BY y),
+  v AS (SELECT count(DISTINCT word) AS size FROM tw),
+  pri AS (SELECT y, ln(count(*) + 1.0) - ln((SELECT count(*) FROM t) + 2.0) AS pi FROM t GROUP BY y),
+  xw AS (SELECT id, word, count(*) AS n FROM ({words('SELECT * FROM x')}) WHERE word IN (SELECT word FROM tw) GROUP BY ALL),
+  len AS (SELECT id, sum(n) AS n FROM xw GROUP BY id),
+  hit AS (SELECT id, y, sum(xw.n * ln(tw.n + 1.0)) AS s FROM xw JOIN tw USING (word) GROUP BY ALL),
+  sc AS (SELECT x.id, tot.y, pi + coalesce(s, 0) - coalesce(len.n, 0) * ln(total + size) AS s
+    FROM x CROSS JOIN tot CROSS JOIN v JOIN pri USING (y) LEFT JOIN len ON len.id = x.id LEFT JOIN hit ON hit.id = x.id AND hit.y = tot.y),
+  p AS (SELECT id, max(CASE WHEN y = 1 THEN s END) - max(CASE WHEN y = 0 THEN s END) AS z FROM sc GROUP BY id)
+  SELECT id, CASE WHEN z > 0 THEN 1 ELSE 0 END AS label, round(CASE WHEN z > 0 THEN 1 / (1 + exp(-z)) ELSE 1 - 1 / (1 + exp(z)) END, 6) AS score FROM p"""
+
+
+_BAYES = f"""SELECT id AS doc_id, label AS words_label, score AS words_score
+  FROM ({bayes_sql('SELECT toxic AS y, text FROM documents JOIN labels USING (doc_id)', 'SELECT doc_id AS id, text FROM documents')})"""
 
 
 def _labelled(spark, d):

@@ -17,7 +17,7 @@ QUERIES = entry.queries()
 def test_score_job(spark, sf_dir):
     out = QUERIES["score_job"](spark, sf_dir).cache()
     assert out.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    for m in ("words", "lr", "links"):
+    for m in ("words", "links"):
         assert out.filter(f"{m}_label NOT IN (0, 1) OR {m}_score NOT BETWEEN 0 AND 1").count() == 0
         assert out.filter(f"({m}_label = 1) <> ({m}_score > 0.5) AND {m}_score <> 0.5").count() == 0
 
