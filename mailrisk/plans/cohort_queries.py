@@ -223,6 +223,29 @@ def _(spark, d):
     return geo.ip_country(_ip_mails(spark, d), I.nation_ranges(spark, d), spread="event_id", rows=0, salts=4)
 
 
+@query(
+    "ip_country_v6",
+    """SELECT event_id, CASE WHEN event_type = 'error' OR k IS NULL THEN 'N/A' ELSE n_name END AS originating_ip_country
+    FROM events LEFT JOIN (SELECT n_nationkey::BIGINT AS k, n_name FROM nation) ON user_id BETWEEN k * 6 AND k * 6 + 4""",
+)
+def _(spark, d):
+    """The user is the third group of the address; each nation owns five of every six."""
+    group = F.lower(F.hex("user_id"))
+    address = F.concat(F.lit("2001:DB8:"), group, F.lit("::"), F.hex(F.col("event_id") % 65536))
+    address = F.when(F.col("event_type") == "error", F.lit("2001:db8::1::2")).otherwise(address)
+    mails = table(spark, d, "events").select("event_id", address.alias("originating_ip"))
+    key = F.col("n_nationkey").cast("bigint") * 6
+
+    def edge(user, fill):
+        return F.concat(F.lit("20010db8"), F.lower(F.lpad(F.hex(user), 4, "0")), F.lit(fill * 20))
+
+    ranges6 = table(spark, d, "nation").select(
+        edge(key, "0").alias("start_ip"), edge(key + 4, "f").alias("end_ip"), F.col("n_name").alias("country")
+    )
+    out = geo.ip_country(mails, I.nation_ranges(spark, d), ranges6, spread="event_id")
+    return out.drop("originating_ip")
+
+
 @query(
     "overlapping_ranges",
     f"""SELECT DISTINCT b.start_ip, b.end_ip, b.country FROM (SELECT start_ip, end_ip + 20000000 AS end_ip, country FROM ({I.RANGES_SQL})) a

@@ -15,14 +15,16 @@ from mailrisk.operators.language import Translator, detect_language, translate
 from mailrisk.operators.scoring import TextModel, score_all
 
 
-def ingest(raw: DataFrame, ranges: DataFrame, language: BayesModel) -> DataFrame:
+def ingest(
+    raw: DataFrame, ranges: DataFrame, language: BayesModel, ranges6: DataFrame | None = None
+) -> DataFrame:
     """Raw events to extracted mails with country, language, bodies and ``error``.
 
     One lazy plan without a shuffle: country is a broadcast range lookup,
     language and text are row-wise.  Rows with an ``error`` are for quarantine.
     """
     flat = messages.decode_subject(rows.flatten_event(raw))
-    placed = geo.ip_country(flat, ranges)
+    placed = geo.ip_country(flat, ranges, ranges6)
     spoken = detect_language(placed, language, "subject", "lang")
     extracted = messages.extract_messages(spoken, "mime")
     return extracted.withColumn("error", F.coalesce("parse_error", "subject_error")).drop(

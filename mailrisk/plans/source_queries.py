@@ -244,13 +244,14 @@ def _(spark, d):
 
 
 def _with_bad_lines(spark, d):
-    """Raw lines, plus a cut line for every error and a line without body for every signup."""
+    """Raw lines, plus a cut line for every error, one without body for every signup, one without payload for every view."""
     path = scratch_path(spark, "bad")
     raw = I.raw_events(spark, d)
     line = F.to_json(F.struct("raw_mime", "event"))
     cut = F.when(F.col("event_type") == "error", F.expr("substring(line, 1, 30)"))
     no_body = F.when(F.col("event_type") == "signup", F.to_json(F.struct("event")))
-    lines = raw.withColumn("line", line).select(F.explode(F.array("line", cut, no_body)).alias("value"))
+    no_payload = F.when(F.col("event_type") == "view", F.to_json(F.struct("raw_mime")))
+    lines = raw.withColumn("line", line).select(F.explode(F.array("line", cut, no_body, no_payload)).alias("value"))
     lines.filter("value IS NOT NULL").write.text(path)
     return readers.split_bad_records(readers.scan_json_lines(spark, path))
 
@@ -263,8 +264,8 @@ def _(spark, d):
 
 @query(
     "bad_records",
-    """SELECT CASE event_type WHEN 'error' THEN 'unreadable line' ELSE 'missing raw_mime' END AS reason, count(*) AS n
-    FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1""",
+    """SELECT CASE event_type WHEN 'error' THEN 'unreadable line' WHEN 'signup' THEN 'missing raw_mime'
+    ELSE 'missing event.payload' END AS reason, count(*) AS n FROM events WHERE event_type IN ('error', 'signup', 'view') GROUP BY 1""",
 )
 def _(spark, d):
     _good, bad = _with_bad_lines(spark, d)

@@ -56,7 +56,9 @@ SUSPENDED = _fields("user_id BIGINT, created_at TIMESTAMP")
 USER_STATS = _fields("user BIGINT, email_count BIGINT")
 ADMIN_NOTES = _fields("user_id BIGINT, agent_notes STRING, created_at TIMESTAMP")
 MAIL_LOG = _fields("user_id BIGINT, created TIMESTAMP")
+# IPv4 ranges by number; IPv6 ranges hold 32 hex digits in the same columns.
 IP_RANGES = _fields("start_ip BIGINT, end_ip BIGINT, country STRING")
+IP6_RANGES = _fields("start_ip STRING, end_ip STRING, country STRING")
 EMBEDDING_SET = _fields("id BIGINT, dataset STRING, embedding ARRAY<FLOAT>")
 LABELLED_CORPUS = _fields("text STRING, label INT")
 MESSAGE_PART = _fields(

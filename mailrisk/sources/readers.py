@@ -160,19 +160,16 @@ def sample_files(
     return spark.read.schema(listing.schema).parquet(*picked)
 
 
-def split_bad_records(df: DataFrame, key: str = "raw_mime") -> tuple[DataFrame, DataFrame]:
+def split_bad_records(
+    df: DataFrame, required: Sequence[str] = ("raw_mime", "event.payload")
+) -> tuple[DataFrame, DataFrame]:
     """(good, bad): a record is whole or it goes to the bad side with its raw line.
 
-    Spark cannot answer a query on the corrupt column alone from a raw JSON
-    scan, so ``key`` keeps a data column in the filter.
+    Spark does not answer a filter on the corrupt column alone over a raw JSON
+    scan; the ``required`` fields keep data columns in it.
     """
-    broken = F.col(CORRUPT).isNotNull() | F.col(key).isNull()
-    good = df.filter(~broken).drop(CORRUPT)
-    bad = df.filter(broken).select(
-        F.col(CORRUPT).alias("record"),
-        "s3_path",
-        F.when(F.col(CORRUPT).isNotNull(), "unreadable line")
-        .otherwise(F.concat(F.lit("missing "), F.lit(key)))
-        .alias("reason"),
-    )
-    return good, bad
+    missing = [F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in required]
+    reason = F.coalesce(F.when(F.col(CORRUPT).isNotNull(), F.lit("unreadable line")), *missing)
+    good = df.filter(reason.isNull()).drop(CORRUPT)
+    bad = df.filter(reason.isNotNull())
+    return good, bad.select(F.col(CORRUPT).alias("record"), "s3_path", reason.alias("reason"))

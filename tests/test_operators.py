@@ -53,6 +53,23 @@ def test_ip_country(spark):
     assert geo.overlapping_ranges(more).count() == 1
 
 
+def test_ipv6(spark):
+    import ipaddress
+
+    good = ["::", "::1", "1::", "2001:db8::8a2e:370:7334", "2001:DB8:0:0:0:0:2:1", "fe80::1:2:3:4:5:6", "1:2:3:4:5:6:7:8"]
+    bad = ["", ":", ":::", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "12345::", "g::", "1.2.3.4", "1:2:3:4:5:6:7:8::x", None]
+    df = spark.createDataFrame([(x,) for x in good + bad], "ip string")
+    got = {r["ip"]: r["h"] for r in df.select("ip", geo.ipv6_hex("ip").alias("h")).collect()}
+    assert got == {**{x: f"{int(ipaddress.ip_address(x)):032x}" for x in good}, **dict.fromkeys(bad)}
+    wide = [("2" + "0" * 31, "2" + "f" * 31, "W"), ("3001" + "0" * 28, "3001" + "0" * 27 + "5", "N")]
+    ranges6 = spark.createDataFrame(wide, "start_ip string, end_ip string, country string")
+    mails = spark.createDataFrame([("a", "2a00::1"), ("b", "3001::5"), ("c", "3001::6"), ("d", "1.0.0.1")], "msg_id string, originating_ip string")
+    ranges = spark.createDataFrame([(16777216, 16777471, "A")], "start_ip bigint, end_ip bigint, country string")
+    for size in (1000, 0):
+        out = geo.ip_country(mails, ranges, ranges6, rows=size).collect()
+        assert {r["msg_id"]: r["originating_ip_country"] for r in out} == {"a": "W", "b": "N", "c": "N/A", "d": "A"}
+
+
 def test_histogram_equals_numpy(spark):
     rnd = random.Random(3)
     scores = [round(rnd.random(), 6) for _ in range(2000)] + [1.0, 0.0]
