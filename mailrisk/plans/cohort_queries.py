@@ -296,7 +296,7 @@ def language_sql(texts: str) -> str:
     return f"""WITH lg AS (SELECT lang, gram, count(*) AS n FROM ({grams('SELECT lang, text FROM documents')}) GROUP BY ALL),
   v AS (SELECT count(DISTINCT gram) AS size FROM lg),
   tot AS (SELECT lang, sum(n) AS total FROM lg GROUP BY lang),
-  pri AS (SELECT lang, ln(count(*) + 1.0) - ln((SELECT count(*) FROM documents) + 1.0 * (SELECT count(DISTINCT lang) FROM documents)) AS pi FROM documents GROUP BY lang),
+  pri AS (SELECT lang, ln(total + 1.0) - ln(sum(total) OVER () + count(*) OVER ()) AS pi FROM tot),
   x AS ({texts}),
   dg AS (SELECT id, gram, count(*) AS n FROM ({grams('SELECT * FROM x')}) WHERE gram IN (SELECT gram FROM lg) GROUP BY ALL),
   hit AS (SELECT id, lang, sum(dg.n * ln(lg.n + 1.0)) AS s FROM dg JOIN lg USING (gram) GROUP BY ALL),
