@@ -19,6 +19,10 @@ _SHORTEN_LINK = (
     rf"|(www\.[{HOST}]+)[{LINK}]*"
     rf"|(www\.)[/?#][{LINK}]*"
 )
+# What quoted-printable leaves behind in charset names, and the fallback (fixed values).
+CHARSET_NOISE = "3d|="
+DEFAULT_CHARSET = "utf-8"
+
 _ANY_LINK = rf"(https?://[{LINK}]+|www\.[{LINK}]+)"
 _LINK_HOST = rf"^(https?://[{HOST}]+|www\.[{HOST}]*)"
 _ODD_CHARS = r"[\x00-\x1F\x7F-\x9F\x{200C}\x{A0}]"
@@ -94,9 +98,8 @@ def user_from_path(path: ColumnLike) -> Column:
 
 def normalise_charset(name: ColumnLike) -> Column:
     """Repair charset names damaged by quoted-printable; the caller checks they exist."""
-    cleaned = F.lower(strip(_col(name)))
-    cleaned = F.replace(F.replace(cleaned, F.lit("3d"), F.lit("")), F.lit("="), F.lit(""))
-    return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("utf-8"))
+    repaired = F.regexp_replace(F.lower(strip(_col(name))), CHARSET_NOISE, "")
+    return F.coalesce(F.nullif(repaired, F.lit("")), F.lit(DEFAULT_CHARSET))
 
 
 def parse_time(c: ColumnLike) -> Column:

@@ -38,17 +38,29 @@ def first_token_pool(tokens: DataFrame, doc: str = "doc") -> DataFrame:
     return tokens.groupBy(doc).agg(F.min_by("vec", "pos").alias("embedding"))
 
 
-def _pairs(df: DataFrame, table: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """The named pairs with both sides' vectors; ``table`` has one row per set."""
-    named = df.sparkSession.createDataFrame(pairs, "set_a string, set_b string")
-    a = table.select(F.col("dataset").alias("set_a"), F.col("centroid").alias("vec_a"))
-    b = table.select(F.col("dataset").alias("set_b"), F.col("centroid").alias("vec_b"))
-    return named.join(a, "set_a").join(b, "set_b")
+def _pairs(table: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Both sides' vectors of each named pair; ``table`` has one row per set.
+
+    Each set's row goes to the pairs it is in, so the sets are computed once.
+    """
+    sides = [
+        F.struct(F.lit(p[0]).alias("set_a"), F.lit(p[1]).alias("set_b"), F.lit(name).alias("dataset"), F.lit(side).alias("side"))
+        for p in pairs
+        for name, side in zip(p, "ab")
+    ]
+    named = table.sparkSession.range(1).select(F.inline(F.array(*sides)))
+    both = table.join(F.broadcast(named), "dataset")  # two rows per pair the caller names
+
+    def vector(side: str) -> Column:
+        return F.any_value(F.when(F.col("side") == side, F.col("centroid")), True)
+
+    joined = both.groupBy("set_a", "set_b").agg(vector("a").alias("vec_a"), vector("b").alias("vec_b"))
+    return joined.dropna(subset=["vec_a", "vec_b"])
 
 
 def centroid_similarity(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Cosine of the mean vectors of each named pair of sets."""
-    both = _pairs(df, centroid(df), pairs)
+    both = _pairs(centroid(df), pairs)
     return both.select("set_a", "set_b", V.cosine_similarity("vec_a", "vec_b").alias("similarity"))
 
 
@@ -59,7 +71,7 @@ def mean_pairwise_distance(df: DataFrame, pairs: list[tuple[str, str]]) -> DataF
     means, so every row counts and no pair of rows is ever formed.
     """
     units = df.select("dataset", V.unit("embedding").alias("embedding"))
-    both = _pairs(df, centroid(units), pairs)
+    both = _pairs(centroid(units), pairs)
     return both.select("set_a", "set_b", (F.lit(1.0) - V.dot("vec_a", "vec_b")).alias("distance"))
 
 
