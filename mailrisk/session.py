@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import SparkSession
@@ -19,6 +21,7 @@ SETTINGS = {
 }
 
 _local_roots: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "mailrisk", master: str | None = None, **extra: str) -> SparkSession:
@@ -27,7 +30,27 @@ def build_session(app: str = "mailrisk", master: str | None = None, **extra: str
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers of this application the package, once.
+
+    They import its batch functions by name; without this only workers that
+    happen to run in the source folder, or have it installed, could.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    bundle = Path(tempfile.mkdtemp(prefix="mailrisk-package-")) / f"{here.name}.zip"
+    with zipfile.ZipFile(bundle, "w") as z:
+        for source in sorted(here.rglob("*.py")):
+            z.write(source, source.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(bundle))
+    _shipped.add(app)
 
 
 def scratch_root(spark: SparkSession) -> str:
