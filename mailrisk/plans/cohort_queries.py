@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mailrisk.functions import text as X
 from mailrisk.operators import cohort, geo, language, ranking, rows
+from mailrisk.operators.bayes import VOCABULARY
 from mailrisk.plans import jobs
 from mailrisk.plans import standins as I
 from mailrisk.plans.registry import query, spread_table, table
@@ -293,7 +294,8 @@ def language_sql(texts: str) -> str:
         return f"""SELECT * EXCLUDE (word), unnest(list_transform(range(1, length(word) + 1), lambda i: substr(' ' || word || ' ', i::INT, 3))) AS gram
           FROM (SELECT * EXCLUDE (text), unnest(list_filter({_LETTERS}, lambda x: x <> '')) AS word FROM ({source}))"""
 
-    return f"""WITH lg AS (SELECT lang, gram, count(*) AS n FROM ({grams('SELECT lang, text FROM documents')}) GROUP BY ALL),
+    return f"""WITH every AS (SELECT lang, gram, count(*) AS n FROM ({grams('SELECT lang, text FROM documents')}) GROUP BY ALL),
+  lg AS (SELECT * FROM every WHERE gram IN (SELECT gram FROM every GROUP BY gram ORDER BY sum(n) DESC, gram LIMIT {VOCABULARY})),
   v AS (SELECT count(DISTINCT gram) AS size FROM lg),
   tot AS (SELECT lang, sum(n) AS total FROM lg GROUP BY lang),
   pri AS (SELECT lang, ln(total + 1.0) - ln(sum(total) OVER () + count(*) OVER ()) AS pi FROM tot),

@@ -10,6 +10,7 @@ from mailrisk.functions import text as X
 from mailrisk.functions import vectors as V
 from mailrisk.operators import embeddings as E
 from mailrisk.operators import report, scoring
+from mailrisk.operators.bayes import VOCABULARY
 from mailrisk.operators.joins import lookup_join
 from mailrisk.plans import jobs
 from mailrisk.plans import standins as I
@@ -176,7 +177,8 @@ def bayes_sql(train: str, texts: str) -> str:
         return rf"""SELECT * EXCLUDE (text), unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}]+'), lambda x: x <> '')) AS word FROM ({source})"""
 
     return f"""WITH t AS ({train}), x AS ({texts}),
-  tw AS (SELECT y, word, count(*) AS n FROM ({words('SELECT * FROM t')}) GROUP BY ALL),
+  every AS (SELECT y, word, count(*) AS n FROM ({words('SELECT * FROM t')}) GROUP BY ALL),
+  tw AS (SELECT * FROM every WHERE word IN (SELECT word FROM every GROUP BY word ORDER BY sum(n) DESC, word LIMIT {VOCABULARY})),
   tot AS (SELECT y, sum(n) AS total FROM tw GROUP BY y),
   v AS (SELECT count(DISTINCT word) AS size FROM tw),
   pri AS (SELECT y, ln(total + 1.0) - ln(sum(total) OVER () + 2.0) AS pi FROM tot),
