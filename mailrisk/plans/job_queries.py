@@ -58,7 +58,7 @@ _ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&
 
 def _unescape_sql(c: str) -> str:
     for name, char in _ENTITIES:
-        c = f"replace({c}, '{name}', '{char}')"
+        c = rf"regexp_replace({c}, '{name}|{name[:-1]}\b', '{char}', 'g')"
     return c
 
 
