@@ -70,8 +70,6 @@ def score_histogram(
         F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("lo"),
         F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("hi"),
     )
-    # One row per group of the report, which itself has `bins` rows per group.
-    edges = F.broadcast(edges)
     spot = F.floor((F.col("_x") - F.col("lo")) * bins / (F.col("hi") - F.col("lo")))
     filled = (
         counted.join(edges, by)

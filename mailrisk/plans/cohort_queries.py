@@ -123,6 +123,15 @@ def _(spark, d):
     return window.groupBy("user_id").agg(F.count(F.lit(1)).alias("email_count"), F.max("email_date").alias("last_mail"))
 
 
+_RECENT = "SELECT user_id, max(ts) AS created_at FROM events WHERE event_type LIKE '%err%' AND ts >= TIMESTAMP '2024-01-15' GROUP BY user_id"
+
+
+@query("suspended_cohort", _WINDOW.replace(I.SUSPENDED_SQL, _RECENT))
+def _(spark, d):
+    notes = table(spark, d, "events").withColumnsRenamed({"ts": "created_at", "event_type": "agent_notes"})
+    return jobs.suspended_cohort(I.dated_mails(spark, d).drop("event_type"), notes, "err", I.as_of())
+
+
 def _file_links(spark, d):
     """Stored files exist for the labelled documents; some have an empty id."""
     fid = F.when(F.col("toxic") == 1, F.lit("")).otherwise(F.concat(F.lit("f"), F.col("doc_id").cast("string")))
@@ -298,7 +307,7 @@ def language_sql(texts: str) -> str:
   lg AS (SELECT * FROM every WHERE gram IN (SELECT gram FROM every GROUP BY gram ORDER BY sum(n) DESC, gram LIMIT {VOCABULARY})),
   v AS (SELECT count(DISTINCT gram) AS size FROM lg),
   tot AS (SELECT lang, sum(n) AS total FROM lg GROUP BY lang),
-  pri AS (SELECT lang, ln(total + 1.0) - ln(sum(total) OVER () + count(*) OVER ()) AS pi FROM tot),
+  pri AS (SELECT lang, ln(total + 2.0) - ln(sum(total) OVER () + 2.0 * count(*) OVER ()) AS pi FROM tot),
   x AS ({texts}),
   dg AS (SELECT id, gram, count(*) AS n FROM ({grams('SELECT * FROM x')}) WHERE gram IN (SELECT gram FROM lg) GROUP BY ALL),
   hit AS (SELECT id, lang, sum(dg.n * ln(lg.n + 1.0)) AS s FROM dg JOIN lg USING (gram) GROUP BY ALL),

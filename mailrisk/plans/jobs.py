@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailrisk import schema as S
@@ -32,6 +32,20 @@ def ingest(
     )
 
 
+def suspended_cohort(
+    mails: DataFrame,
+    notes: DataFrame,
+    marker: str,
+    as_of: Column,
+    months: int = 2,
+    days: int = 3,
+    upper: bool = False,
+) -> DataFrame:
+    """Mails sent in the days before the latest suspension noted in recent months."""
+    suspended = cohort.suspended_users(rows.recent_notes(notes, marker, as_of, months))
+    return cohort.suspension_window(mails, suspended, days=days, upper=upper)
+
+
 def split_errors(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, quarantine); call it on the written table so that messages are parsed once."""
     good = extracted.filter(F.col("error").isNull()).drop("error")

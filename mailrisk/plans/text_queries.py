@@ -181,7 +181,7 @@ def bayes_sql(train: str, texts: str) -> str:
   tw AS (SELECT * FROM every WHERE word IN (SELECT word FROM every GROUP BY word ORDER BY sum(n) DESC, word LIMIT {VOCABULARY})),
   tot AS (SELECT y, sum(n) AS total FROM tw GROUP BY y),
   v AS (SELECT count(DISTINCT word) AS size FROM tw),
-  pri AS (SELECT y, ln(total + 1.0) - ln(sum(total) OVER () + 2.0) AS pi FROM tot),
+  pri AS (SELECT y, ln(total + 2.0) - ln(sum(total) OVER () + 4.0) AS pi FROM tot),
   xw AS (SELECT id, word, count(*) AS n FROM ({words('SELECT * FROM x')}) WHERE word IN (SELECT word FROM tw) GROUP BY ALL),
   len AS (SELECT id, sum(n) AS n FROM xw GROUP BY id),
   hit AS (SELECT id, y, sum(xw.n * ln(tw.n + 1.0)) AS s FROM xw JOIN tw USING (word) GROUP BY ALL),

@@ -11,7 +11,8 @@ from mailrisk.functions import vectors as V
 from mailrisk.operators import cohort, geo, joins, ranking, report, rows
 from mailrisk.operators import embeddings as E
 from mailrisk.operators.language import fit_language, detect_language, translate
-from mailrisk.operators.bayes import trigrams
+from mailrisk.operators.bayes import fit_bayes, load_bayes, term_counts, trigrams, words
+from mailrisk.session import scratch_path
 
 
 def test_suspension_window(spark):
@@ -139,6 +140,29 @@ def test_translate_keeps_failed_texts(spark):
     assert got == {1: "GOOD", 2: "bad", 3: "x", 4: None, 5: "y"}
 
 
+def test_bayes_model_is_stored_and_keeps_wordless_classes(spark):
+    data = [("good morning", "a"), ("good night", "a"), ("bad bad day", "b"), ("12", "c"), ("lost", None)]
+    df = spark.createDataFrame(data, "t string, y string")
+    model = fit_bayes(df, "t", "y")
+    assert model.classes == ["a", "b", "c"]
+    path = scratch_path(spark, "model")
+    model.save(path)
+    again = load_bayes(path, words)
+    assert again.classes == model.classes
+    probe = spark.createDataFrame([("good",), ("bad",), ("",)], "t string")
+    want = [list(r["p"]) for r in model.probabilities(probe, "t", "p").collect()]
+    assert [list(r["p"]) for r in again.probabilities(probe, "t", "p").collect()] == want
+    assert [r["n"] for r in again.classify(probe, "t", "n").collect()][:2] == ["a", "b"]
+    # 4, 3 and 0 counted terms, one more for each class, add-one smoothing
+    assert np.allclose(want[2], np.array([6, 5, 2]) / 13)
+
+
+def test_vocabulary_limit_keeps_the_most_frequent(spark):
+    df = spark.createDataFrame([("b b b a a c", "x"), ("c d", "y")], "t string, y string")
+    got = sorted(map(tuple, term_counts(df, "t", "y", words, 2).collect()))
+    assert got == [("x", "a", 2), ("x", "b", 3)]
+
+
 def test_trigrams(spark):
     got = spark.range(1).select(trigrams(F.lit("Ab c,é1"))).first()[0]
     assert got == [" ab", "ab ", " c ", " é "]
