@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailrisk.llm import mixing, packing, pii, quality, simhash
-from mailrisk.llm.common import store
+from mailrisk.llm.common import store, unused
 from mailrisk.llm.queries import TOKENIZER
 from mailrisk.llm.tokens import share_tokenizer
 from mailrisk.session import ship_package
@@ -22,8 +22,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~quality.held_out("doc_id"))
     model = quality.fit(docs, labels, "doc_id", "text", "quality")
-    scored = quality.score(docs, "text", model, out="_quality")
-    return scored.filter(F.col("_quality") >= quality.THRESHOLD).drop("_quality")
+    name = unused(docs, "quality_score")
+    scored = quality.score(docs, "text", model, out=name)
+    return scored.filter(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,22 @@ def store(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one, so that no name of theirs can meet one an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def columns_of(row: str, names: list[str]) -> list[Column]:
+    return [F.col(f"{row}.`{c}`") for c in names]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer if there is such a column."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def over_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
 ) -> DataFrame:

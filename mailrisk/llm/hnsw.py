@@ -92,7 +92,7 @@ def _layer(points: np.ndarray, members: np.ndarray, limit: int, rng: np.random.G
     place = filled[target] + rank
     room = place < limit
     packed[target[room], place[room]] = source[room]
-    packed = np.sort(packed, axis=1)
+    packed = np.sort(packed, axis=1)[:, ::-1].copy()
     packed[:, 1:][packed[:, 1:] == packed[:, :-1]] = -1  # each link once
     rows[members] = np.where(packed >= 0, members[np.maximum(packed, 0)], -1)
     return rows

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailrisk.llm.common import columns_of, whole_row
+
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
@@ -64,18 +66,20 @@ def plan_copies(
     size keeps the words taken close to the target.  A source's rows are spread
     over lanes, whose number grows with the table, and only lane totals are
     summed across; so no source, however large, is one task.  Equal rows are
-    separate documents.  Null sizes count as 0, and null ids as one id.
+    separate documents.  Null sizes count as 0, and null ids as one id.  Columns
+    of ``df`` named like an added one are replaced.
     """
     lanes = LANES * max(1, -(-df.count() // 1_000_000))
     size = F.coalesce(F.col(size_col), F.lit(0)).cast("bigint")
-    keyed = df.withColumns(
-        {
-            "_named": F.col(source_col).isNotNull(),
-            "_source": F.coalesce(F.col(source_col), F.lit("")),
-            "_size": size,
-            "_class": F.floor(F.sqrt(size)).cast("bigint"),
-            "_lane": F.pmod(_hashed(F.coalesce(F.col(id_col).cast("string"), F.lit("")), 8), F.lit(lanes)),
-        }
+    lane = F.pmod(_hashed(F.coalesce(F.col(id_col).cast("string"), F.lit("")), 8), F.lit(lanes))
+    keyed = df.select(
+        whole_row(df).alias("row"),
+        F.col(id_col).alias("_id"),
+        F.col(source_col).isNotNull().alias("_named"),
+        F.coalesce(F.col(source_col), F.lit("")).alias("_source"),
+        size.alias("_size"),
+        F.floor(F.sqrt(size)).cast("bigint").alias("_class"),
+        lane.alias("_lane"),
     )
     place = ["_named", "_source", "_class", "_lane"]
     totals = keyed.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_words"))
@@ -88,20 +92,21 @@ def plan_copies(
     lots = totals.join(wanted, ["_named", "_source"]).withColumn("_rate", rate)
     lots = lots.withColumn("_before", start + F.coalesce(F.sum(F.col("_n") * F.col("_rate")).over(lanes_before), F.lit(0)))
     lots = lots.drop("_n", "_words")
-    through = Window.partitionBy(*place).orderBy("_size", id_col).rowsBetween(Window.unboundedPreceding, 0)
+    through = Window.partitionBy(*place).orderBy("_size", "_id").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("_before") + F.sum("_rate").over(through)
     crossed = F.shiftright(upto, 24) - F.shiftright(upto - F.col("_rate"), 24)
     chosen = keyed.join(lots, place).withColumn("copies", crossed.cast("bigint"))
-    return chosen.withColumn("taken", F.col("copies") * F.col("_size")).drop(*place, "_size", "_rate", "_before")
+    chosen = chosen.withColumn("taken", F.col("copies") * F.col("_size"))
+    added = ["source_size", "target", "copies", "taken"]
+    return chosen.select(*columns_of("row", [c for c in df.columns if c not in added]), *added)
 
 
 def mix(df: DataFrame, id_col: str, source_col: str, text_col: str, **how) -> DataFrame:
     """The rows of ``df``, each as often as the mix takes it."""
-    names = df.columns
-    sized = df.withColumn("_words_of", word_count(F.col(text_col)))
-    planned = plan_copies(sized, id_col, source_col, "_words_of", **how).filter("copies > 0")
-    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
-    return planned.select(*[f"`{c}`" for c in names], each.alias("_copy")).drop("_copy")
+    sized = df.select(whole_row(df).alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    planned = plan_copies(sized, "id", "source", "size", **how).filter("copies > 0")
+    each = planned.select("doc", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    return each.select(*columns_of("doc", df.columns))
 
 
 #: The same rows in SQL, for any number of lanes.

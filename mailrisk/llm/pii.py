@@ -282,18 +282,17 @@ def train(table: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = 150
 
 
 def viterbi(field: ShapeField, rows: np.ndarray) -> np.ndarray:
-    """Best tags of chains of equal padded length; what lies beyond a chain's end is O."""
+    """Best tags of chains of equal padded length; what stands beyond a chain's end means nothing."""
     emit = field.scores(rows)
-    emit[rows == BEYOND] = -np.inf
-    emit[rows == BEYOND, 0] = 0.0
     n, length, t = emit.shape
     move = field.move + _RULES
     back = np.zeros((n, length, t), dtype=np.int8)
     best = field.first + _STARTS + emit[:, 0]
     for i in range(1, length):
         ways = best[:, :, None] + move
-        back[:, i] = ways.argmax(axis=1)
-        best = ways.max(axis=1) + emit[:, i]
+        on = (rows[:, i] != BEYOND)[:, None]  # a chain that has ended waits in its last tag
+        back[:, i] = np.where(on, ways.argmax(axis=1), np.arange(t))
+        best = np.where(on, ways.max(axis=1) + emit[:, i], best)
     tags = np.zeros((n, length), dtype=np.int8)
     tags[:, -1] = best.argmax(axis=1)
     for i in range(length - 1, 0, -1):

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from mailrisk.llm.common import bounded_sample, components, heavy_join, store
 from mailrisk.llm.hnsw import usable
 
-#: Reference points, a bounded sample of the distinct vectors of each length.
+#: Reference points for the vectors of each length, at most.
 PIVOTS = 256
+#: They are picked, spread out, from a sample of so many distinct vectors.
+SAMPLE = 2048
 #: Nearest reference points that describe a vector.
 NEAREST = 10
 #: Reference points two vectors must share to be compared.
@@ -47,16 +49,35 @@ def _describe(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     return rows.mapInArrow(run, f"{fields}, near array<int>")
 
 
+def spread_out(units: np.ndarray, count: int) -> np.ndarray:
+    """Up to ``count`` of the unit vectors, in the given order, no two of them close.
+
+    A dense group would otherwise hold many reference points, and its members
+    would differ in which of them are nearest.  How close is too close is
+    relaxed until there are enough, never beyond what may be a near copy.
+    """
+    for closest in (0.5, 0.6, 0.7, 0.8):
+        kept: list[int] = []
+        near = np.zeros(len(units), dtype=bool)
+        for i in range(len(units)):
+            if not near[i]:
+                kept.append(i)
+                near |= units @ units[i] >= closest
+                if len(kept) == count:
+                    return units[kept]
+    return units[kept]
+
+
 def choose_pivots(rows: DataFrame, count: int = PIVOTS) -> dict[int, np.ndarray]:
-    """Unit reference points by vector length: a bounded sample, by a hash, of the vectors of each."""
+    """Unit reference points by vector length, from a bounded sample, by a hash, of the vectors of each."""
     dims = [r[0] for r in rows.select(F.size("vector")).distinct().limit(_LENGTHS + 1).collect()]
     if len(dims) > _LENGTHS:
         raise ValueError(f"vectors have more than {_LENGTHS} different lengths")
     pivots = {}
     for dim in sorted(dims):
-        picked = bounded_sample(rows.filter(F.size("vector") == dim).select("rep", "vector"), "rep", count).collect()
+        picked = bounded_sample(rows.filter(F.size("vector") == dim).select("rep", "vector"), "rep", SAMPLE).collect()
         found = np.array([r["vector"] for r in picked], dtype=np.float64)
-        pivots[dim] = found / np.linalg.norm(found, axis=1, keepdims=True)
+        pivots[dim] = spread_out(found / np.linalg.norm(found, axis=1, keepdims=True), count)
     return pivots
 
 

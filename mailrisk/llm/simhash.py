@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailrisk.llm.common import components, heavy_join, over_batches, store
+from mailrisk.llm.common import columns_of, components, heavy_join, over_batches, store, whole_row
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -142,8 +142,8 @@ def drop_near_copies(df: DataFrame, id_col: str, text_col: str, shingle: int = S
     fps = store(fingerprints(marked, "_key", "_text", shingle), "simhash")
     groups = group_fingerprints(fps, "_key", max_bits)
     stay = store(groups.select(F.col("component_id").alias("_key")).distinct().join(fps.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")), "_key"), "simhash-stay")
-    keyed = df.withColumn("_id_hash", F.xxhash64(F.col(id_col), row))
-    wanted = stay.select(F.xxhash64("_key.id", "_key.hash").alias("_id_hash"), "_n")
-    once = keyed.join(wanted.filter("_n = 1").select("_id_hash"), "_id_hash", "left_semi")
-    again = keyed.join(wanted.filter("_n > 1").select("_id_hash"), "_id_hash", "left_semi").dropDuplicates(["_id_hash"])
-    return once.unionByName(again).select(*[f"`{c}`" for c in names])
+    keyed = df.select(whole_row(df).alias("row"), F.xxhash64(F.col(id_col), row).alias("at"))
+    wanted = stay.select(F.xxhash64("_key.id", "_key.hash").alias("at"), "_n")
+    once = keyed.join(wanted.filter("_n = 1").select("at"), "at", "left_semi")
+    again = keyed.join(wanted.filter("_n > 1").select("at"), "at", "left_semi").dropDuplicates(["at"])
+    return once.unionByName(again).select(*columns_of("row", names))

@@ -1,0 +1,157 @@
+import hashlib
+import itertools
+import random
+import re
+import time
+
+import numpy as np
+import pytest
+
+from mailrisk.llm import pii
+from mailrisk.llm.queries import QUERIES
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _plain(text):
+    out = {}
+    for kind, pattern in PATTERNS.items():
+        out[kind] = []
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            odd = sum(int(c) for c in digits[::-1][::2]) + sum(sum(divmod(2 * int(c), 10)) for c in digits[::-1][1::2])
+            good = {
+                "email": True,
+                "ip": kind != "ip" or all(int(p) <= 255 for p in m.group().split(".")),
+                "card": 16 <= len(digits) <= 19 and odd % 10 == 0,
+                "phone": 8 <= len(digits) <= 15,
+            }[kind]
+            if good:
+                out[kind].append(m.span())
+    return out
+
+
+@pytest.fixture(scope="module")
+def field():
+    return pii.train(pii.labelled_table())
+
+
+def test_base_spans_are_those_of_the_patterns():
+    rnd = random.Random(1)
+    for letters in ("ab@.-+1 2(", "0123456789 -.+", "a@b.c%_+-"):
+        for _ in range(6000):
+            text = "".join(rnd.choice(letters) for _ in range(rnd.randrange(45)))
+            assert pii.base_spans(text) == _plain(text), text
+    assert pii.base_spans("٣٤٥ +٣ 1.2.3.٤") == _plain("٣٤٥ +٣ 1.2.3.٤")
+
+
+def test_long_runs_are_linear():
+    start = time.process_time()
+    for text in ("9" * 300_000, "a" * 300_000 + "@", "1." * 150_000, "a@" * 100_000, "+1" * 100_000, "+1 " * 100_000):
+        pii.base_spans(text)
+    assert time.process_time() - start < 20
+
+
+def test_query_is_the_contract(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = QUERIES["op6_personal_data"](spark, sf_dir).collect()
+    assert {r["doc_id"] for r in rows} == set(texts)
+    for r in rows:
+        base = _plain(texts[r["doc_id"]])
+        listed = [f"{k}:{a}:{b}" for k in PATTERNS for a, b in base[k]]
+        assert [r[f"n_{k}"] for k in PATTERNS] == [len(base[k]) for k in PATTERNS]
+        assert r["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        every = r["spans"].split(",") if r["spans"] else []
+        assert set(listed) <= set(every)
+        order = [(list(PATTERNS).index(s.split(":")[0]), int(s.split(":")[1])) for s in every]
+        assert order == sorted(order)
+
+
+def test_field_learns_its_table_and_others_like_it(field):
+    for seed, least in ((11, 0.98), (77, 0.95)):
+        table = pii.labelled_table(seed)
+        got = pii.field_spans([t for t, _ in table], field)
+        assert np.mean([sorted(a) == sorted(b) for a, (_, b) in zip(got, table)]) >= least
+
+
+def test_written_out_forms_are_added(field):
+    cases = {
+        "please write to bob at example dot com today": "email", "call (555) 123-4567 now": "phone",
+        "the card 4111.1111.1111.1111 was used": "card", "server 10 . 20 . 30 . 40 is down": "ip",
+    }
+    for text, kind in cases.items():
+        ((base, every),) = pii.all_spans([text], field)
+        assert not any(base.values()) and len(every[kind]) == 1
+    clean = ["Version 2.0 of 4 May 2021", "we met at noon. dot the i", "password=ab12cd", "1 2 3 4 5", "key AKIA1234ABCD5678", "3.14 and 2.71"]
+    assert all(not any(every.values()) for _, every in pii.all_spans(clean, field))
+
+
+def test_added_spans_touch_no_base_span(field):
+    text = "mail a.b@c.example.com or +1 (555) 123-4567 4111111111111111 or call (555) 765-4321"
+    ((base, every),) = pii.all_spans([text], field)
+    assert all(set(base[k]) <= set(every[k]) for k in pii.KINDS)
+    held = [s for k in pii.KINDS for s in base[k]]
+    for k in pii.KINDS:
+        for a, b in set(every[k]) - set(base[k]):
+            assert all(b <= x or y <= a for x, y in held)
+
+
+def test_viterbi_is_brute_force(field):
+    rng = np.random.default_rng(6)
+    n_shapes, t = len(field.shapes), len(pii.TAGS)
+    for length in (1, 2, 4):
+        rows = rng.integers(0, n_shapes, (5, length))
+        rows[1, 1:] = pii.BEYOND
+        emit = field.scores(rows)
+        got = pii.viterbi(field, rows)
+        for i in range(5):
+            n = int((rows[i] >= 0).sum())
+
+            def score(path):
+                s = field.first[path[0]] + pii._STARTS[path[0]] + emit[i, 0, path[0]]
+                for k in range(1, n):
+                    s += field.move[path[k - 1], path[k]] + pii._RULES[path[k - 1], path[k]] + emit[i, k, path[k]]
+                return s
+
+            best = max(itertools.product(range(t), repeat=n), key=score)
+            assert score(tuple(got[i, :n])) == pytest.approx(score(best))
+
+
+def test_neighbourhoods_give_what_the_whole_text_gives(field):
+    """Cutting quiet stretches out changes nothing: against chains over all tokens at once."""
+    rnd = random.Random(8)
+    table = pii.labelled_table(5)
+    for _ in range(40):
+        parts = []
+        for text, _ in rnd.sample(table, 6):
+            parts += [text, " ".join("quiet" for _ in range(rnd.choice([0, 2, 12, 30, 300])))]
+        text = " ".join(parts)
+        tokens = [m.span() for m in pii._TOKEN.finditer(text)]
+        kinds = [pii.shape(text[a:b]) for a, b in tokens]
+        other = len(field.shapes)
+        wide = pii.ShapeField(field.shapes, np.pad(field.emit, ((0, 0), (0, 1), (0, 0))), field.move, field.first)
+        want = []
+        for a, b in pii._chains(tokens, kinds):
+            row = np.array([[field.shapes.get(k, other) for k in kinds[a:b]]])
+            want += pii._spans_of(tokens[a:b], pii.viterbi(wide, row)[0])
+        assert pii.field_spans([text], field)[0] == sorted(want, key=lambda s: s[1])
+
+
+def test_odd_rows(spark, odd_docs, field):
+    got = pii.find(odd_docs, "doc_id", "text", field)
+    assert got.count() == odd_docs.count() and got.filter("spans <> ''").count() == 0
+    assert pii.find(odd_docs.limit(0), "doc_id", "text", field).count() == 0
+    clean = pii.redact(odd_docs, "text", field)
+    assert clean.columns == odd_docs.columns
+    assert sorted(map(str, clean.collect())) == sorted(map(str, odd_docs.collect()))
+
+
+def test_redaction(spark, field):
+    assert pii.redact_text("a x@y.zz b +1 555 123 4567.", {"email": [(2, 8)], "ip": [], "card": [(14, 20)], "phone": [(11, 26)]}) == "a [EMAIL] b [PHONE]."
+    df = spark.createDataFrame([(1, "mail x@y.example now"), (2, None)], "doc_id bigint, text string")
+    assert [r["text"] for r in pii.redact(df, "text", field).orderBy("doc_id").collect()] == ["mail [EMAIL] now", None]
