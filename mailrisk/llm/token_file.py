@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from mailrisk.llm.common import over_batches, store
 from mailrisk.llm.tokens import worker_encoder
+from mailrisk.operators.joins import lookup_join
 
 END_ID = 0
 MAX_CODE_BITS = 18
@@ -51,10 +52,12 @@ def id_counts(ids: DataFrame, dtype: str) -> pd.DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for data in batch.column("ids"):
-                found = np.bincount(np.frombuffer(data.as_buffer(), dtype=dtype), minlength=len(total))
-                found[: len(total)] += total
-                total = found
+            column = batch.column("ids")  # its documents lie end to end in one buffer
+            first, last = np.frombuffer(column.buffers()[1], dtype=np.int32)[[column.offset, column.offset + len(column)]]
+            ids = np.frombuffer(column.buffers()[2], dtype=np.uint8)[first:last].view(dtype)
+            found = np.bincount(ids, minlength=len(total))
+            found[: len(total)] += total
+            total = found
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
@@ -307,7 +310,7 @@ def _read(spark: SparkSession, path: str, field: str, value, kind: pa.DataType)
     sizes = blocks.select("part", F.aggregate("n_tokens", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
     sizes = sizes.groupBy("part").agg(F.sum("n").alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    named = blocks.join(before, "part").select(
+    named = lookup_join(blocks, before, "part", spread="block", how="inner").select(
         (F.col("before") + F.col("first_token")).alias("first"), "doc_ids", "n_tokens", "n_bytes", "checkpoints", "data"
     )
     name = field.split()[0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 from pyspark import Broadcast
@@ -26,11 +27,39 @@ _PIECE = re.compile(
 _PLAIN = re.compile("[\t\n\r -~¡-ſ‐-‧‰-⁞]*")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter a byte-level tokenizer spells each byte with, as the library has it."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    spell = ByteLevel(add_prefix_space=False, use_regex=False)
+    letters: dict[int, str] = {}
+    for c in map(chr, [*range(0x180), *range(0x2000, 0x2060)]):  # all bytes of what _PLAIN lets through
+        ((spelled, _),) = spell.pre_tokenize_str(c)
+        letters.update(zip(c.encode(), spelled))
+    return letters
+
+
+class _Pieces(dict):
+    """Ids of pieces by the tokenizer's model; the first CACHE_PIECES short ones are remembered."""
+
+    def __init__(self, model, dtype: str):
+        super().__init__()
+        self._model, self._letters = model, _byte_letters()
+        self._kind = "H" if dtype == "<u2" else "I"
+
+    def __missing__(self, piece: str) -> bytes:
+        spelled = piece.encode().decode("latin-1").translate(self._letters)
+        found = array(self._kind, [t.id for t in self._model.tokenize(spelled)]).tobytes()
+        if len(self) < CACHE_PIECES and len(piece) < 64:
+            self[piece] = found
+        return found
+
+
 class Encoder:
     """Ids of a text as little-endian bytes, two or four a token.
 
     Texts of common characters are cut into the tokenizer's own pieces, and the
-    ids of a piece come from the tokenizers library once.  Any other text, or
+    library's model gives the ids of a piece, most pieces once.  Any other text, or
     any other kind of tokenizer, is encoded by the library as a whole.
     """
 
@@ -49,24 +78,16 @@ class Encoder:
             and not cut.get("add_prefix_space", True)
         )
         self.dtype = "<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self._pieces: dict[str, bytes] = {}
+        self._pieces = _Pieces(self._tokenizer.model, self.dtype) if self._by_piece else {}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        found = self._pieces.get(piece)
-        if found is None:
-            found = self._encode(piece)
-            if len(self._pieces) < CACHE_PIECES and len(piece) < 64:
-                self._pieces[piece] = found
-        return found
-
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self._by_piece and _PLAIN.fullmatch(text):
-            return b"".join(map(self._piece, _PIECE.findall(text)))
+            return b"".join(map(self._pieces.__getitem__, _PIECE.findall(text)))
         return self._encode(text)
 
 
