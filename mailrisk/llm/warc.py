@@ -1,13 +1,14 @@
 """WARC archives: chunked payloads, segmented records, revisits; and reading them back.
 
 Archives are written by Spark's text writer: a record is one line, and the
-blank lines that end a record are the line separator.  So files are committed
-like any other output and lie in whatever store the path names.
+blank lines that end a record are the line separator.  So files are committed,
+and compressed, like any other output and lie in whatever store the path names.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 from uuid import uuid4
@@ -145,7 +146,12 @@ def write_archives(
                 yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["record"])
 
     records = joined.mapInArrow(run, "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).text(path)
+    records.select(F.col("record").cast("string").alias("value")).write.options(lineSep=END.decode(), compression="gzip").text(path)
+
+
+def gunzipped(data: bytes) -> bytes:
+    """The archive, compressed or not; its size is bounded by what a task wrote."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
 
 
 def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -191,7 +197,7 @@ def _scan(spark: SparkSession, path: str, segments: bool) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows, held = [], 0
-                for fields, block in records_of(content.as_py()):
+                for fields, block in records_of(gunzipped(content.as_py())):
                     number = _number(fields, "warc-segment-number")
                     if (number is not None) != segments:
                         continue
