@@ -109,7 +109,7 @@ class Codebook:
         codes = canonical_codes(bits)
         size = int(ids.max(initial=0)) + 1
         self.bits = np.zeros(size, dtype=np.int64)
-        self.codes = np.zeros(size, dtype=np.int64)
+        self.codes = np.zeros(size, dtype=np.uint64)
         self.bits[ids], self.codes[ids] = bits, codes
         self.width = int(bits.max(initial=1))
         order = np.argsort(codes << (self.width - bits), kind="stable")
@@ -122,23 +122,25 @@ class Codebook:
         """(bytes, byte length of each document, checkpoint bit offsets) of documents laid end to end."""
         bits = self.bits[ids]
         ends = np.cumsum(bits)
-        last = np.cumsum(counts) - 1
-        doc_bits = np.diff(ends[last], prepend=0)
+        doc_bits = np.diff(ends[np.cumsum(counts) - 1], prepend=0)
         doc_bytes = (doc_bits + 7) >> 3
         shift = (np.cumsum(doc_bytes) - doc_bytes) * 8 - (np.cumsum(doc_bits) - doc_bits)
         at = ends - bits + np.repeat(shift, counts)
-        window = self.codes[ids] << (32 - bits - (at & 7))
-        place = at >> 3
+        # a code lies in one 32-bit word or two; codes of a word add up, as their bits are apart
+        place = at >> 5
+        window = self.codes[ids] << (64 - bits - (at & 31)).astype(np.uint64)
+        starts = np.flatnonzero(np.diff(place, prepend=-1))
         total = int(doc_bytes.sum())
-        out = np.zeros(total + 4, dtype=np.float64)
-        for k in range(4):
-            out += np.bincount(place + k, weights=(window >> (24 - 8 * k)) & 255, minlength=total + 4)
+        words = np.zeros(total // 4 + 2, dtype=np.uint64)
+        words[place[starts]] += np.add.reduceat(window >> np.uint64(32), starts)
+        words[place[starts] + 1] += np.add.reduceat(window & np.uint64(0xFFFFFFFF), starts)
+        data = words.astype(">u4").view(np.uint8)[:total]
         first = np.cumsum(counts) - counts
         marks = [np.arange(f, f + n, CHECKPOINT) for f, n in zip(first.tolist(), counts.tolist())]
         n_marks = [len(m) for m in marks]
         start = (np.cumsum(doc_bytes) - doc_bytes) * 8
         offsets = at[np.concatenate(marks)] - np.repeat(start, n_marks)
-        return out[:total].astype(np.uint8), doc_bytes, offsets
+        return data, doc_bytes, offsets
 
     def decode(self, data: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Ids of the segments that begin at the given bits, laid end to end.
