@@ -26,7 +26,7 @@ LAYER = 16
 #: Candidates a point's neighbours are chosen from.
 CANDIDATES = 48
 #: Width of the search on the lowest layer.
-BEAM = 96
+BEAM = 192
 TOP = 10
 SEED = 5
 _BLOCK = 512
