@@ -25,6 +25,7 @@ DEFAULT_CHARSET = "utf-8"
 
 _ANY_LINK = rf"(https?://[{LINK}]+|www\.[{LINK}]+)"
 _LINK_HOST = rf"^(https?://[{HOST}]+|www\.[{HOST}]*)"
+# Characters cleaning turns into blanks (fixed values).
 _ODD_CHARS = r"[\x00-\x1F\x7F-\x9F\x{200C}\x{A0}]"
 _BLANKS = r"(?U)\s+"
 _EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailrisk.functions import text as X
 from mailrisk.operators.joins import BROADCAST_ROWS, lookup_join
@@ -67,9 +70,24 @@ def suspension_window(
 ) -> DataFrame:
     """Mails sent after ``days`` days before suspension; ``upper`` ends at the suspension.
 
-    Both bounds are strict below and inclusive above, as the cohort is defined.
+    The lower bound is strict, the upper one inclusive, as the cohort is
+    defined.  The days that can matter at all are found first, in one row, so
+    the scan of the mails skips the history before and, with ``upper``, after.
     """
     sent = F.col(email_date)
+    first, last = suspended.agg(F.min("created_at"), F.max("created_at")).first()
+    if first is None:
+        return join_suspensions(mails.limit(0), suspended, spread, rows)
+
+    def at(time: datetime) -> Column:
+        # a time without zone is written out: as a literal it would take one
+        zoned = isinstance(suspended.schema["created_at"].dataType, T.TimestampType)
+        return F.lit(time) if zoned else F.lit(time.isoformat(sep=" ")).cast("timestamp_ntz")
+
+    # an hour more than needed: a day can have 25 of them
+    mails = mails.filter(sent > at(first - timedelta(days=days, hours=1)))
+    if upper:
+        mails = mails.filter(sent <= at(last + timedelta(hours=1)))
     joined = join_suspensions(mails, suspended, spread, rows)
     start = F.col("created_at") - F.make_dt_interval(F.lit(days))
     inside = sent > start

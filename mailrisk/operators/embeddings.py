@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, HashingTF, Normalizer, StandardScaler
+from pyspark.ml.feature import PCA, CountVectorizerModel, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -29,13 +29,26 @@ def centroid(df: DataFrame, by: str = "dataset", vector: str = "embedding") -> D
 
 
 def mean_pool(tokens: DataFrame, doc: str = "doc") -> DataFrame:
-    """Mean of the token vectors a document's mask keeps; null when it keeps none."""
-    kept = tokens.filter("mask = 1").groupBy(doc).agg(mean_vector(F.col("vec")).alias("embedding"))
-    return tokens.select(doc).distinct().join(kept, doc, "left")
+    """Mean of the token vectors a document's mask keeps; null when it keeps none.
+
+    One aggregate: tokens that are not kept count as zero vectors, and the mean
+    over all tokens is scaled to the mean over the kept ones.
+    """
+    kept = F.coalesce(F.col("mask") == 1, F.lit(False)).cast("double")
+    masked = F.transform(F.col("vec"), lambda x: x.cast("double") * kept)
+    sums = tokens.groupBy(doc).agg(
+        vector_to_array(Summarizer.mean(array_to_vector(masked))).alias("_mean"),
+        F.count(F.lit(1)).alias("_all"),
+        F.sum(kept).alias("_kept"),
+    )
+    scale = F.col("_all") / F.nullif(F.col("_kept"), F.lit(0.0))
+    scaled = F.when(scale.isNotNull(), F.transform("_mean", lambda x: x * scale))
+    return sums.select(doc, scaled.alias("embedding"))
 
 
 def first_token_pool(tokens: DataFrame, doc: str = "doc") -> DataFrame:
-    return tokens.groupBy(doc).agg(F.min_by("vec", "pos").alias("embedding"))
+    """The vector of each document's token at position 0."""
+    return tokens.filter("pos = 0").select(doc, F.col("vec").alias("embedding"))
 
 
 def _pairs(table: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -92,7 +105,8 @@ def nearest_set(similarity: DataFrame, of: str, first: str, second: str) -> Data
 def pca_kmeans(
     df: DataFrame, k: int = 2, seed: int = 42, vector: str = "embedding"
 ) -> tuple[DataFrame, DataFrame]:
-    """(points, centres): plane coordinates ``x``, ``y`` and cluster of every row, and of the centres."""
+    """(points, centres): plane coordinates ``x``, ``y`` and cluster of every row, and of the
+    centres, which also have their ``centre`` among the vectors."""
     rows = df.withColumn("_raw", array_to_vector(_doubles(F.col(vector))))
     scaler = StandardScaler(inputCol="_raw", outputCol="_f", withMean=True, withStd=False).fit(rows)
     # k-means reads its input many times; partitions lost with an executor are rebuilt
@@ -102,8 +116,8 @@ def pca_kmeans(
     centred.unpersist()
     points = _coordinates(clusters.transform(plane.transform(scaler.transform(rows))))
     centres = df.sparkSession.createDataFrame(
-        [(i, c.tolist()) for i, c in enumerate(clusters.clusterCenters())],
-        "cluster int, c array<double>",
+        [(i, c.tolist(), (c + scaler.mean.toArray()).tolist()) for i, c in enumerate(clusters.clusterCenters())],
+        "cluster int, c array<double>, centre array<double>",
     ).withColumn("_f", array_to_vector("c"))
     centres = _coordinates(plane.transform(centres)).drop("c")
     return points.drop("_raw", "_f"), centres.drop("_f")
@@ -117,9 +131,16 @@ def _coordinates(df: DataFrame) -> DataFrame:
 def embed_text(
     df: DataFrame, text: str, dim: int = 256, out: str = "embedding"
 ) -> DataFrame:
-    """One vector of length one per text from hashed word counts; row-wise, no shuffle."""
-    counted = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim).transform(
-        df.withColumn("_words", words(F.col(text)))
-    )
+    """One vector of length one per text from hashed word counts; row-wise, no shuffle.
+
+    The place of a word is the start of its MD5; ``dim`` is a power of 16.
+    """
+    digits = len(f"{dim:x}") - 1
+    if dim != 16**digits or digits < 1:
+        raise ValueError("dim must be a power of 16")
+    places = F.transform(words(F.col(text)), lambda w: F.substring(F.md5(w), 1, digits))
+    names = [f"{i:0{digits}x}" for i in range(dim)]
+    counter = CountVectorizerModel.from_vocabulary(names, inputCol="_places", outputCol="_tf")
+    counted = counter.transform(df.withColumn("_places", places))
     scaled = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(counted)
     return scaled.select(*df.columns, vector_to_array("_unit", "float32").alias(out))

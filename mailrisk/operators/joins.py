@@ -2,16 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a frame of narrow rows is proven small: counts at most ``rows`` + 1 of them."""
-    return df.limit(rows + 1).count() <= rows
+def _width(c: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, nearly."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)):
+            return F.greatest(F.size(c), F.lit(0)) * 8 + 16
+        each = F.aggregate(c, F.lit(0), lambda n, x: n + _width(x, kind.elementType).cast("int"))
+        return F.coalesce(each, F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(c[f.name], f.dataType) for f in kind), F.lit(8))
+    if isinstance(kind, T.MapType):
+        return _width(F.map_keys(c), T.ArrayType(kind.keyType)) + _width(F.map_values(c), T.ArrayType(kind.valueType))
+    return F.lit(8)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row in memory, nearly."""
+    return sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16))
+
+
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a frame is proven small: at most ``rows`` rows and ``size`` bytes; looks at no more rows than that."""
+    seen = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
+    return seen[0] <= rows and (seen[1] or 0) <= size
 
 
 def lookup_join(
@@ -23,7 +47,7 @@ def lookup_join(
     rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join a large frame to a lookup table of narrow rows.
+    """Join a large frame to a lookup table.
 
     A lookup of checked size is broadcast, so the large side is not shuffled.
     Beyond that both sides are shuffled on (key, salt): rows of one hot key (or

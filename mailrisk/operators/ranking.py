@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailrisk.operators.joins import lookup_join
+from mailrisk.session import stored
 
-_SPLIT_SAMPLE = 8192  # keys on the driver while choosing range bounds
-_ROWS_PER_RANGE = 2_000_000
-_MAX_RANGES = 512
-
+ROWS_PER_RANGE = 1_000_000
 
 _FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -27,17 +23,28 @@ def latest_per_user(
     per task before the shuffle.  Fixed-width columns are taken one by one: the
     aggregate then hashes, where a struct would make it sort its input.  Equal
     times pick the same row for every column, since all see the rows in the
-    same order.
+    same order.  With text columns only the times are aggregated, and the rows
+    that have them are looked up: texts are neither sorted nor aggregated, but
+    for users with several such rows, of which one stays.
     """
     rows = df.filter(F.col(user).isNotNull() & F.col(created).isNotNull())
     others = [c for c in df.columns if c not in (user, created)]
     if tie is None and all(isinstance(df.schema[c].dataType, _FIXED_WIDTH) for c in others):
         latest = [F.max_by(c, created).alias(c) for c in others]
         return rows.groupBy(user).agg(F.max(created).alias(created), *latest).select(df.columns)
-    # among equal times the smaller tie value must be the larger key
-    key = F.col(created) if tie is None else F.struct(F.col(created), (-F.col(tie)).alias("t"))
-    best = rows.groupBy(user).agg(F.max_by(F.struct(created, *others), key).alias("_row"))
-    return best.select(user, "_row.*").select(df.columns)
+    best = rows.groupBy(user).agg(F.max(created).alias(created))
+    if tie is not None:
+        tied = rows.join(best, [user, created], "left_semi")
+        best = tied.groupBy(user, created).agg(F.min(tie).alias(tie))
+    return _rows_of(rows, best, user).select(df.columns)
+
+
+def _rows_of(rows: DataFrame, keys: DataFrame, user: str) -> DataFrame:
+    """One of the rows of each user that have the key values of ``keys``; null equals null."""
+    named = keys.toDF(*[f"_{c}" for c in keys.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys.columns]
+    found = rows.join(named, same, "left_semi")
+    return found.dropDuplicates([user])
 
 
 def latest_per_key_ranked(df: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -48,10 +55,14 @@ def latest_per_key_ranked(df: DataFrame, key: str, *order: Column) -> DataFrame:
 
 
 def first_record_per_user(df: DataFrame, user: str, *order: str) -> DataFrame:
-    """The row with the smallest ``order`` values of each user, e.g. file then event."""
-    others = [c for c in df.columns if c != user]
-    first = F.min_by(F.struct(*others), F.struct(*order))
-    return df.groupBy(user).agg(first.alias("_row")).select(user, "_row.*")
+    """The row with the smallest ``order`` values of each user, e.g. file then event.
+
+    Only the order columns are aggregated; the whole rows, bodies included, are
+    looked up by them.  Of several rows with the same values one stays.
+    """
+    first = df.groupBy(user).agg(F.min(F.struct(*order)).alias("_first"))
+    keys = first.select(user, *[F.col("_first")[c].alias(c) for c in order])
+    return _rows_of(df, keys, user).select(user, *[c for c in df.columns if c != user])
 
 
 def sort_by_score(df: DataFrame, score: str, key: str) -> DataFrame:
@@ -74,20 +85,20 @@ def sample_n(df: DataFrame, n: int, by: str, key: str, seed: int = 42) -> DataFr
     """Exactly n rows of each set without replacement, the same ones for the same seed.
 
     All rows of a set that has fewer than n; rows whose set is null belong to
-    none.  ``key`` must be unique in its set.  A count of hash prefixes finds
-    the prefix the n-th row falls in; only the keys of that one prefix are
-    ranked, so no task ever holds a set, and the full rows are read once.
+    none.  ``key`` must be unique in its set.  The order is that of the MD5 of
+    key and seed.  A count of hash prefixes finds the prefix the n-th row falls
+    in; only the keys of that one prefix are ranked, so no task ever holds a
+    set, and the full rows are read once.
     """
-    bits = 16
 
     def hashed(frame: DataFrame) -> DataFrame:
-        return frame.withColumn("_hash", F.xxhash64(F.col(key), F.lit(seed)))
+        return frame.withColumn("_hash", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}"))))
 
     keys = hashed(df.filter(F.col(by).isNotNull()).select(by, key))
-    keys = keys.withColumn("_slot", F.shiftright("_hash", 64 - bits))
+    keys = keys.withColumn("_slot", F.substring("_hash", 1, 4))
     counts = keys.groupBy(by, "_slot").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    # rows before each slot; at most 2^bits rows per set
+    # rows before each slot; at most 16^4 rows per set
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
     # the slot with the n-th row; a set without one is taken whole
     edge = before.filter((F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n)).drop("_n")
@@ -100,16 +111,9 @@ def sample_n(df: DataFrame, n: int, by: str, key: str, seed: int = 42) -> DataFr
     return rows.filter(taken).select(df.columns)
 
 
-def _range_number(key: Column, bounds: list[Column]) -> Column:
-    """How many of the sorted ``bounds`` are <= key, by binary search in one expression."""
-
-    def pick(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < bounds[mid], pick(lo, mid)).otherwise(pick(mid + 1, hi))
-
-    return pick(0, len(bounds))
+def range_count(df: DataFrame, rows: int = ROWS_PER_RANGE) -> int:
+    """Ranges of about ``rows`` rows each."""
+    return max(1, -(-df.count() // rows))
 
 
 def with_row_index(
@@ -117,39 +121,24 @@ def with_row_index(
 ) -> DataFrame:
     """Zero-based position of each row in the order of ``order_by`` (together unique, not null).
 
-    A plain global ``row_number`` sends everything to one task.  Here the key
-    space is cut into ranges by a small fixed sample of keys; ranges are
-    counted, and rows are numbered inside their range on top of the counts
-    before it.  The cut is a constant expression, so a recomputed task gives
-    the same numbers.
+    A plain global ``row_number`` sends everything to one task.  Here rows are
+    sorted by range, one range for every ``ROWS_PER_RANGE`` rows, and stored with
+    their place in the range; what is left is to add the rows of the ranges
+    before.  The stored table fixes the places, so nothing that is computed
+    again later can change a number.
     """
-    keys = df.select(*order_by)
-    if ranges is None:
-        ranges = max(1, min(_MAX_RANGES, math.ceil(keys.count() / _ROWS_PER_RANGE)))
-    order = [F.asc(c) for c in order_by]
-    bounds: list[Column] = []
-    if ranges > 1:
-        sample = keys.orderBy(F.xxhash64(*order_by), *order).limit(_SPLIT_SAMPLE)
-        picked = sorted(tuple(r) for r in sample.collect())
-        step = len(picked) / ranges
-        cuts = sorted({picked[int(i * step)] for i in range(1, ranges)})
-        types = [df.schema[c].dataType for c in order_by]
-        bounds = [
-            F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(cut, types, order_by)])
-            for cut in cuts
-        ]
-    ranged = df.withColumn("_range", _range_number(F.struct(*order_by), bounds))
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    count = ranges or range_count(df)
+    ordered = df.repartitionByRange(count, *order_by).sortWithinPartitions(*order_by)
+    # the upper bits of this id are the partition, the lower 33 the place in it
+    placed = stored(ordered.withColumn("_place", F.monotonically_increasing_id()), "row-index")
+    placed = placed.withColumn("_range", F.shiftright("_place", 33))
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per range, at most _MAX_RANGES: one task and a broadcast are safe
+    # one narrow row per range: small even for 10^11 rows
     starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return (
-        ranged.withColumn("_inside", inside)
-        .join(F.broadcast(starts), "_range")
-        .withColumn(name, F.col("_start") + F.col("_inside") - 1)
-        .drop("_range", "_inside", "_start")
-    )
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = lookup_join(placed, starts, "_range", spread="_place", how="inner")
+    return numbered.withColumn(name, F.col("_start") + inside).drop("_range", "_place", "_start")
 
 
 def batch_name(batch_no: Column, size: int, rows: int | None = None) -> Column:

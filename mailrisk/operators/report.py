@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailrisk.operators.joins import fits_broadcast
+
 BINS = 50
 THRESHOLD = 0.99
 
@@ -54,37 +56,36 @@ def score_histogram(
     """Equal-width bins between the smallest and largest score of each group.
 
     Empty bins count 0; the last bin holds its upper edge; a group of one value
-    gets edges half a unit to either side.  Two passes over ``df``: one for the
-    edges, one that counts equal scores before binning them (scores are 6-digit
-    numbers, so what is shuffled does not grow with the rows).  Hand in a stored
-    table where scores are costly to compute.
+    gets edges half a unit to either side; a null group is a group.  Two passes
+    over ``df``: one for the edges, one that bins each row and counts, so at
+    most ``bins`` rows per group and task are shuffled.  Hand in a stored table
+    where scores are costly to compute.
     """
     rows = df.filter(F.col(score).isNotNull())
     if threshold is not None:
         rows = rows.filter(F.col(score) >= threshold)
-    counted = rows.groupBy(*by, F.col(score).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
-    edges = counted.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    flat = F.col("_lo") == F.col("_hi")
+    edges = rows.groupBy(*by).agg(F.min(score).alias("_min"), F.max(score).alias("_max"))
+    flat = F.col("_min") == F.col("_max")
     edges = edges.select(
-        *by,
-        F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("lo"),
-        F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("hi"),
-    )
-    spot = F.floor((F.col("_x") - F.col("lo")) * bins / (F.col("hi") - F.col("lo")))
-    filled = (
-        counted.join(edges, by)
-        .withColumn("bin", F.least(spot, F.lit(bins - 1)) + 1)
-        .groupBy(*by, "bin")
-        .agg(F.sum("_n").alias("n"))
+        *[F.col(c).alias(f"_{c}") for c in by],
+        F.when(flat, F.col("_min") - 0.5).otherwise(F.col("_min")).alias("_lo"),
+        F.when(flat, F.col("_max") + 0.5).otherwise(F.col("_max")).alias("_hi"),
     )
+    if fits_broadcast(edges):
+        edges = F.broadcast(edges)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    spot = F.floor((F.col(score) - F.col("_lo")) * bins / (F.col("_hi") - F.col("_lo")))
+    spot = F.least(spot, F.lit(bins - 1)) + 1
+    group = [*by, "_lo", "_hi"]
+    counted = rows.select(*by, score).join(edges, same).groupBy(*group, spot.alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    filled = counted.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("_bin", "_n"))).alias("_counts"))
     numbers = F.sequence(F.lit(1).cast("bigint"), F.lit(bins).cast("bigint"))
-    grid = edges.withColumn("bin", F.explode(numbers))
-    width = (F.col("hi") - F.col("lo")) / bins
-    return grid.join(filled, [*by, "bin"], "left").select(
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    return filled.withColumn("bin", F.explode(numbers)).select(
         *by,
         "bin",
-        (F.col("lo") + (F.col("bin") - 1) * width).alias("bin_start"),
-        F.coalesce("n", F.lit(0)).alias("n"),
+        (F.col("_lo") + (F.col("bin") - 1) * width).alias("bin_start"),
+        F.coalesce(F.col("_counts")[F.col("bin")], F.lit(0)).alias("n"),
     )
 
 

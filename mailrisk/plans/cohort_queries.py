@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mailrisk.functions import text as X
 from mailrisk.operators import cohort, geo, language, ranking, rows
-from mailrisk.operators.bayes import VOCABULARY
+from mailrisk.operators.bayes import SLOTS
 from mailrisk.plans import jobs
 from mailrisk.plans import standins as I
 from mailrisk.plans.registry import query, spread_table, table
@@ -77,10 +77,10 @@ def _(spark, d):
 @query(
     "user_email_stats",
     """SELECT c_custkey AS "user", count(o_orderkey) AS email_count FROM customer
-    LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority LIKE '1%' GROUP BY 1""",
+    LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""",
 )
 def _(spark, d):
-    mails = table(spark, d, "orders").filter("o_orderpriority LIKE '1%'").select(F.col("o_custkey").alias("user_id"))
+    mails = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"))
     return cohort.user_email_stats(table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")), mails)
 
 
@@ -159,7 +159,7 @@ def _(spark, d):
 
 
 def _mark(code):
-    return lambda texts: [f"[{code}] {t}" for t in texts]
+    return lambda: lambda texts: [f"[{code}] {t}" for t in texts]
 
 
 _FR_MARK = "CASE WHEN d.lang = 'fr' THEN '[fr] ' ELSE '' END"
@@ -170,15 +170,16 @@ _FR_MARK = "CASE WHEN d.lang = 'fr' THEN '[fr] ' ELSE '' END"
     f"""SELECT e.user_id, e.event_id::VARCHAR AS msg_id, e.ts::DATE::TIMESTAMP AS email_date, s.created_at,
       d.lang, {_FR_MARK} || d.source AS subject, {_FR_MARK} || {I.clean_sql(I.shorten_sql('d.text'))} AS translated_text, {_LINK} AS "HTML_File_Link"
     FROM events e JOIN ({I.SUSPENDED_SQL}) s ON e.user_id = s.user_id AND e.ts::DATE::TIMESTAMP > s.created_at - INTERVAL 3 DAY
-    JOIN documents d ON d.doc_id = e.user_id LEFT JOIN labels l ON l.doc_id = e.event_id""",
+    JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents) LEFT JOIN labels l ON l.doc_id = e.event_id""",
 )
 def _(spark, d):
-    """Every mail of a user has the document of the user's number as body."""
+    """The bodies are the documents, in turn."""
     docs = table(spark, d, "documents").select(
-        F.col("doc_id").alias("user_id"), "lang", F.col("source").alias("subject"), F.col("text").alias("email_text")
+        "doc_id", "lang", F.col("source").alias("subject"), F.col("text").alias("email_text")
     )
-    events = table(spark, d, "events").select("event_id", "user_id", "ts")
-    mails = events.join(docs, "user_id").select(
+    number = F.col("event_id") % docs.count()
+    events = table(spark, d, "events").select("event_id", "user_id", "ts", number.alias("doc_id"))
+    mails = events.join(docs, "doc_id").select(
         "user_id",
         F.col("event_id").cast("string").alias("msg_id"),
         F.col("ts").cast("date").cast("timestamp_ntz").alias("email_date"),
@@ -288,11 +289,11 @@ def _fails_on_short(texts):
 )
 def _(spark, d):
     docs = spread_table(spark, d, "documents").select("doc_id", "lang", "text")
-    out = language.translate(docs, {"fr": _mark("fr"), "de": _fails_on_short}, "text")
+    out = language.translate(docs, {"fr": _mark("fr"), "de": lambda: _fails_on_short}, {"text": "translated_text"})
     return out.select("doc_id", "translated_text")
 
 
-# Multinomial naive Bayes on character trigrams, add-one smoothing, fitted on all documents.
+# Multinomial naive Bayes on hashed character trigrams, add-one smoothing, fitted on all documents.
 _LETTERS = r"string_split_regex(lower(text), '[^\p{L}]+')"
 
 
@@ -303,17 +304,15 @@ def language_sql(texts: str) -> str:
         return f"""SELECT * EXCLUDE (word), unnest(list_transform(range(1, length(word) + 1), lambda i: substr(' ' || word || ' ', i::INT, 3))) AS gram
           FROM (SELECT * EXCLUDE (text), unnest(list_filter({_LETTERS}, lambda x: x <> '')) AS word FROM ({source}))"""
 
-    return f"""WITH every AS (SELECT lang, gram, count(*) AS n FROM ({grams('SELECT lang, text FROM documents')}) GROUP BY ALL),
-  lg AS (SELECT * FROM every WHERE gram IN (SELECT gram FROM every GROUP BY gram ORDER BY sum(n) DESC, gram LIMIT {VOCABULARY})),
-  v AS (SELECT count(DISTINCT gram) AS size FROM lg),
+    return f"""WITH lg AS (SELECT lang, {I.slot_sql('gram')} AS slot, count(*) AS n FROM ({grams('SELECT lang, text FROM documents')}) GROUP BY ALL),
   tot AS (SELECT lang, sum(n) AS total FROM lg GROUP BY lang),
-  pri AS (SELECT lang, ln(total + 2.0) - ln(sum(total) OVER () + 2.0 * count(*) OVER ()) AS pi FROM tot),
+  pri AS (SELECT lang, ln(count(*) + 1.0) - ln(sum(count(*)) OVER () + count(*) OVER ()) AS pi FROM documents GROUP BY lang),
   x AS ({texts}),
-  dg AS (SELECT id, gram, count(*) AS n FROM ({grams('SELECT * FROM x')}) WHERE gram IN (SELECT gram FROM lg) GROUP BY ALL),
-  hit AS (SELECT id, lang, sum(dg.n * ln(lg.n + 1.0)) AS s FROM dg JOIN lg USING (gram) GROUP BY ALL),
+  dg AS (SELECT id, {I.slot_sql('gram')} AS slot, count(*) AS n FROM ({grams('SELECT * FROM x')}) GROUP BY ALL),
+  hit AS (SELECT id, lang, sum(dg.n * ln(lg.n + 1.0)) AS s FROM dg JOIN lg USING (slot) GROUP BY ALL),
   len AS (SELECT x.id, coalesce(sum(n), 0) AS n FROM x LEFT JOIN dg USING (id) WHERE regexp_matches(text, '\\p{{L}}') GROUP BY x.id),
-  sc AS (SELECT len.id, tot.lang, pi + coalesce(hit.s, 0) - len.n * ln(total + size) AS score
-    FROM len CROSS JOIN tot CROSS JOIN v JOIN pri USING (lang) LEFT JOIN hit ON hit.id = len.id AND hit.lang = tot.lang)
+  sc AS (SELECT len.id, tot.lang, pi + coalesce(hit.s, 0) - len.n * ln(total + {SLOTS}.0) AS score
+    FROM len CROSS JOIN tot JOIN pri USING (lang) LEFT JOIN hit ON hit.id = len.id AND hit.lang = tot.lang)
   SELECT x.id, coalesce(arg_max(lang, score), 'N/A') AS detected FROM x LEFT JOIN sc USING (id) GROUP BY x.id"""
 
 
@@ -350,30 +349,39 @@ def _(spark, d):
     return ranking.sort_by_score(I.scored_mails(spark, d).select("msg_id", "dataset", "two_score"), "two_score", "msg_id")
 
 
-_REVIEWED = ["user_id", "msg_id", "subject", "content_type", "translated_text", "dataset", "two_score"]
+# Review columns made from the number of a mail, in SQL.
+_REVIEWED = {
+    "user_id": "msg_id % 150",
+    "sg_event_id": "lpad(msg_id::VARCHAR, 12, '0')",
+    "subject": "'s' || msg_id",
+    "email_from": "'from' || (msg_id % 150) || '@a.example'",
+    "email_to": "'to' || msg_id || '@b.example'",
+    "email_date": "'2024-01-0' || (msg_id % 9 + 1)",
+    "originating_ip": "'1.2.3.' || (msg_id % 250)",
+    "originating_ip_country": "'C' || (msg_id % 7)",
+    "lang": "CASE WHEN msg_id % 4 = 0 THEN 'fr' ELSE 'en' END",
+    "content_type": "CASE WHEN msg_id % 3 = 0 THEN 'text/html' ELSE 'text/plain' END",
+    "translated_text": "'t' || msg_id",
+}
 
 
 @query(
     "review_sample",
-    f"""SELECT msg_id AS user_id, msg_id, 's' || msg_id AS subject, 'text/plain' AS content_type, '' AS translated_text, dataset, two_score
+    f"""SELECT msg_id, dataset, two_score, {', '.join(f'{v} AS {k}' for k, v in _REVIEWED.items())}
     FROM ({I.SCORED_SQL}) QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY two_score DESC, msg_id) <= 50""",
 )
 def _(spark, d):
-    mails = I.scored_mails(spark, d).withColumns(
-        {
-            "user_id": F.col("msg_id"),
-            "subject": F.concat(F.lit("s"), F.col("msg_id").cast("string")),
-            "content_type": F.lit("text/plain"),
-            "translated_text": F.lit(""),
-            **{c: F.lit(None).cast("string") for c in ("sg_event_id", "email_from", "email_to", "email_date")},
-            **{c: F.lit(None).cast("string") for c in ("originating_ip", "originating_ip_country", "lang")},
-        }
-    )
+    columns = {k: F.expr(v.replace("msg_id::VARCHAR", "cast(msg_id AS string)")) for k, v in _REVIEWED.items()}
+    mails = I.scored_mails(spark, d).withColumns(columns)
     frames = {name: mails.filter(F.col("dataset") == name).drop("dataset") for name in ("Suspended User", "Good User")}
-    return jobs.review_sample(frames, "two_score").select(*_REVIEWED)
+    return jobs.review_sample(frames, "two_score")
 
 
-@query("sample_n", None)
+@query(
+    "sample_n",
+    f"""SELECT id, dataset FROM ({I.SETS_SQL}) WHERE dataset IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY md5(id || '/42'), id) <= 100""",
+)
 def _(spark, d):
     sets = I.embedding_sets(spark, d).select("id", "dataset")
     return ranking.sample_n(sets, 100, "dataset", "id")

@@ -14,7 +14,7 @@ from mailrisk.plans.registry import query, spread_table, table
 from mailrisk.plans.text_queries import bayes_sql
 from mailrisk.session import scratch_path
 from mailrisk.sources import readers, writers
-from mailrisk.streaming.incremental import ingest_new_files
+from mailrisk.streaming.incremental import ingest_incremental
 
 
 @query("extract_messages", I.EXTRACTED_SQL)
@@ -74,31 +74,43 @@ def _(spark, d):
 
 
 def _raw_documents(spark, d):
-    """Raw events whose messages are the documents and whose other fields come from the events of that number."""
-    events = I.raw_events(spark, d).select(
-        F.expr("cast(substring(event.payload.msgid, 2) AS bigint)").alias("msg_id"), "event"
-    )
+    """Raw events, each with a document as its message: the documents in turn, and their source before the subject."""
+    number = F.expr("cast(substring(event.payload.msgid, 2) AS bigint)") % table(spark, d, "documents").count()
+    events = I.raw_events(spark, d).select(number.alias("msg_id"), "event")
     docs = I.document_messages(spark, d).select("msg_id", "source", F.col("mime").alias("raw_mime"))
     payload = F.col("event.payload")
     payload = payload.withField("subject", F.concat("source", F.lit(" "), payload["subject"]))
     return events.join(docs, "msg_id").select("raw_mime", F.struct(payload.alias("payload")).alias("event"))
 
 
-_SUBJECTS = """SELECT doc_id AS id, source || ' ' || CASE WHEN value >= 5 THEN event_type || ' ' || props ELSE '' END AS text
-  FROM documents JOIN events ON event_id = doc_id"""
+_NUMBER = "event_id % (SELECT count(*) FROM documents)"
+_SUBJECTS = f"""SELECT event_id AS id, source || ' ' || CASE WHEN value >= 5 THEN event_type || ' ' || props ELSE '' END AS text
+  FROM events JOIN documents ON doc_id = {_NUMBER}"""
+_INGESTED = f"""SELECT f.user_id, f.msg_id, f.sg_event_id, s.text AS subject, f.email_from, f.email_to, f.email_date, f.originating_ip,
+      c.originating_ip_country, l.detected AS lang, x.content_type, x.email_text, nullif(x.html, '') AS html
+    FROM events e JOIN ({I.EXTRACTED_SQL}) x ON x.msg_id = e.{_NUMBER} JOIN ({I.FLAT_SQL}) f ON f.msg_id = 'm' || e.event_id
+    JOIN ({COUNTRY_SQL}) c USING (event_id) JOIN ({_SUBJECTS}) s ON s.id = e.event_id
+    JOIN ({language_sql(_SUBJECTS)}) l ON l.id = e.event_id"""
+_MAIL = ["user_id", "msg_id", "sg_event_id", "subject", "email_from", "email_to", "email_date", "originating_ip"]
+_MAIL += ["originating_ip_country", "lang", "content_type", "email_text", "html"]
 
 
-@query(
-    "ingest_job",
-    f"""SELECT 'm' || x.msg_id AS msg_id, s.text AS subject, l.detected AS lang, x.content_type, x.email_text, x.html,
-      c.originating_ip_country, NULL::VARCHAR AS error
-    FROM ({I.EXTRACTED_SQL}) x JOIN ({COUNTRY_SQL}) c ON c.event_id = x.msg_id JOIN ({_SUBJECTS}) s ON s.id = x.msg_id
-    JOIN ({language_sql(_SUBJECTS)}) l ON l.id = x.msg_id""",
-)
+def _ingested(spark, path):
+    """Mails with their HTML bodies, from the tables of an ingest; nothing may be in quarantine."""
+    if readers.scan_parquet(spark, f"{path}/quarantine").count():
+        raise AssertionError("records in quarantine")
+    html = readers.scan_parquet(spark, f"{path}/html").select("msg_id", "html")
+    return readers.scan_parquet(spark, f"{path}/mails").join(html, "msg_id", "left").select(*_MAIL)
+
+
+@query("ingest_job", _INGESTED)
 def _(spark, d):
     language = fit_language(spread_table(spark, d, "documents"))
-    out = jobs.ingest(_raw_documents(spark, d), I.nation_ranges(spark, d), language)
-    return out.select("msg_id", "subject", "lang", "content_type", "email_text", "html", "originating_ip_country", "error")
+    path = scratch_path(spark, "ingest")
+    _raw_documents(spark, d).write.json(f"{path}/in")
+    raw = readers.scan_json_lines(spark, f"{path}/in")
+    jobs.write_ingested(raw, f"{path}/out", I.nation_ranges(spark, d), language)
+    return _ingested(spark, f"{path}/out")
 
 
 @query(
@@ -119,7 +131,7 @@ def _(spark, d):
 
 
 def _mark(code):
-    return lambda texts: [f"[{code}] {t}" for t in texts]
+    return lambda: lambda texts: [f"[{code}] {t}" for t in texts]
 
 
 @query(
@@ -183,25 +195,19 @@ def _(spark, d):
     raise AssertionError("duplicate columns were let through")
 
 
-@query(
-    "ingest_incremental",
-    f"SELECT * EXCLUDE (mime), 'text/plain' AS content_type, substr(mime, 13) AS email_text, '' AS html, NULL::VARCHAR AS parse_error FROM ({I.FLAT_SQL})",
-)
+@query("ingest_incremental", _INGESTED)
 def _(spark, d):
     """Files of two event types, then all: the second run must add only the new ones, a third nothing."""
+    language = fit_language(spread_table(spark, d, "documents"))
     base = scratch_path(spark, "incremental")
-    raw = I.raw_events(spark, d).drop("day")
     run = dict(source=f"{base}/in", target=f"{base}/out", checkpoint=f"{base}/state")
-    early = F.col("event_type").isin("view", "click")
-
-    def take(batch):
-        return messages.extract_messages(rows.flatten_event(batch))
-
-    raw.filter(early).drop("event_type").write.mode("append").json(f"{base}/in")
-    ingest_new_files(spark, **run, transform=take)
-    raw.filter(~early).drop("event_type").write.mode("append").json(f"{base}/in")
-    ingest_new_files(spark, **run, transform=take)
-    if ingest_new_files(spark, **run, transform=take):
+    run |= dict(ranges=I.nation_ranges(spark, d), language=language)
+    raw = _raw_documents(spark, d)
+    early = F.expr("cast(substring(event.payload.msgid, 2) AS bigint)") % 3 == 0
+    raw.filter(early).write.mode("append").json(f"{base}/in")
+    ingest_incremental(spark, **run)
+    raw.filter(~early).write.mode("append").json(f"{base}/in")
+    ingest_incremental(spark, **run)
+    if ingest_incremental(spark, **run):
         raise AssertionError("a run without new files wrote rows")
-    out = readers.scan_parquet(spark, f"{base}/out")
-    return out.drop("batch", "s3_path")
+    return _ingested(spark, f"{base}/out")

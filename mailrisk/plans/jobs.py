@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailrisk import schema as S
 from mailrisk.functions import text as X
-from mailrisk.operators import cohort, geo, messages, ranking, report, rows
+from mailrisk.operators import cohort, embeddings, geo, messages, ranking, report, rows
 from mailrisk.operators.bayes import BayesModel
 from mailrisk.operators.language import Translator, detect_language, translate
 from mailrisk.operators.scoring import TextModel, score_all
+from mailrisk.session import stored
+from mailrisk.sources import readers, writers
 
 
 def ingest(
@@ -20,7 +22,7 @@ def ingest(
 ) -> DataFrame:
     """Raw events to extracted mails with country, language, bodies and ``error``.
 
-    One lazy plan without a shuffle: country is a broadcast range lookup,
+    One plan in which no body is shuffled: country is a broadcast range lookup,
     language and text are row-wise.  Rows with an ``error`` are for quarantine.
     """
     flat = messages.decode_subject(rows.flatten_event(raw))
@@ -32,6 +34,32 @@ def ingest(
     )
 
 
+def write_ingested(
+    raw: DataFrame,
+    path: str,
+    ranges: DataFrame,
+    language: BayesModel,
+    ranges6: DataFrame | None = None,
+    batch: int = 0,
+) -> None:
+    """Raw events, as read by ``scan_json_lines``, to the tables of an ingest.
+
+    Messages are parsed once, into ``parsed``; from there come ``mails``,
+    ``html`` (one row per body) and ``quarantine`` (record, file, reason), each
+    with a folder ``batch=<batch>`` that a repeated run overwrites.  Raw bodies
+    are not stored again.  Nothing is lost: a record is a mail or in quarantine.
+    """
+    good, bad = readers.split_bad_records(raw)
+    spark = raw.sparkSession
+    writers.write_parquet(ingest(good, ranges, language, ranges6), f"{path}/parsed/batch={batch}")
+    parsed, failed = split_errors(spark.read.parquet(f"{path}/parsed/batch={batch}"))
+    writers.write_parquet(parsed.drop("html"), f"{path}/mails/batch={batch}")
+    writers.write_html_bodies(parsed, f"{path}/html/batch={batch}")
+    names = [c for c in failed.columns if c not in ("error", "s3_path")]
+    failed = failed.select(F.to_json(F.struct(*names)).alias("record"), "s3_path", F.col("error").alias("reason"))
+    writers.write_parquet(bad.unionByName(failed), f"{path}/quarantine/batch={batch}")
+
+
 def suspended_cohort(
     mails: DataFrame,
     notes: DataFrame,
@@ -53,7 +81,7 @@ def split_errors(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def preprocess(
-    extracted: DataFrame, translators: Mapping[str, Translator] | None = None
+    extracted: DataFrame, translators: Mapping[str, Callable[[], Translator]] | None = None
 ) -> DataFrame:
     """Add link domains, cleaned text and translations of text and subject."""
     df = extracted.withColumns(
@@ -65,23 +93,21 @@ def preprocess(
     )
     if not translators:
         return df.withColumn("translated_text", F.col("cleaned_text"))
-    df = translate(df, translators, "cleaned_text", out="translated_text")
-    return translate(df, translators, "subject", out="subject")
+    return translate(df, translators, {"cleaned_text": "translated_text", "subject": "subject"})
 
 
 def labeling_sheet(
     mails: DataFrame,
     suspended: DataFrame,
     links: DataFrame,
-    translators: Mapping[str, Translator] | None = None,
+    translators: Mapping[str, Callable[[], Translator]] | None = None,
     days: int = 3,
     dropped: Iterable[str] = ("filename", "email_text", "cleaned_text", "content_type", "s3_path", "mime"),
 ) -> DataFrame:
     """Mails of the days before suspension, translated, with file links, without body and model columns."""
     window = cohort.suspension_window(mails, suspended, days=days)
     if translators:
-        window = translate(window, translators, "subject", out="subject")
-        window = translate(window, translators, "cleaned_text", out="translated_text")
+        window = translate(window, translators, {"subject": "subject", "cleaned_text": "translated_text"})
     linked = cohort.attach_file_links(window, links)
     rows.assert_has_column(linked, "filename")
     return rows.drop_matching(rows.drop_columns(linked, *dropped), ("_label", "_score"))
@@ -90,7 +116,7 @@ def labeling_sheet(
 def score(
     mails: DataFrame,
     models: list[TextModel],
-    translators: Mapping[str, Translator] | None = None,
+    translators: Mapping[str, Callable[[], Translator]] | None = None,
 ) -> DataFrame:
     """Cleaned text, subject with body, link domains and every model's columns, as one plan."""
     df = mails.withColumn("cleaned_text", X.clean_email_text("email_text"))
@@ -101,7 +127,7 @@ def score(
         }
     )
     if translators:
-        df = translate(df, translators, "subject_body", out="translated_text")
+        df = translate(df, translators, {"subject_body": "translated_text"})
     else:
         df = df.withColumn("translated_text", F.col("subject_body"))
     return score_all(df, models)
@@ -118,13 +144,64 @@ def review_sample(
 
 
 def score_report(
-    frames: dict[tuple[str, str], DataFrame], models: list[str]
+    frames: dict[tuple[str, str], DataFrame], models: list[str], histograms: bool = False
 ) -> DataFrame:
-    """Label figures per data set, kind of input (text or url) and model."""
+    """Label figures per data set, kind of input (text or url) and model.
+
+    With ``histograms`` each row also has ``histogram``, the number of rows in
+    each of the bins between its smallest and largest score, and
+    ``histogram_above``, the same for scores at or above the threshold.
+    """
     parts = [
         report.long_scores(df, models, []).withColumns(
             {"dataset": F.lit(dataset), "input": F.lit(kind)}
         )
         for (dataset, kind), df in frames.items()
     ]
-    return report.model_report(rows.union_frames(*parts), ["dataset", "input", "model"])
+    long, by = rows.union_frames(*parts), ["dataset", "input", "model"]
+    if not histograms:
+        return report.model_report(long, by)
+    long = stored(long, "scores")  # scores can be costly, and three aggregates read them
+    out = report.model_report(long, by)
+    for name, threshold in (("histogram", None), ("histogram_above", report.THRESHOLD)):
+        bins = report.score_histogram(long, by, threshold=threshold)
+        counts = F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda b: b["n"])
+        out = out.join(bins.groupBy(*by).agg(counts.alias(name)), by, "left")
+    return out
+
+
+def compare_embeddings(
+    corpus: DataFrame,
+    others: Mapping[str, DataFrame],
+    positive: str,
+    negative: str,
+    text: str = "text",
+    label: str = "label",
+    key: str = "id",
+    per_set: int | None = None,
+    dim: int = 256,
+) -> DataFrame:
+    """(id, dataset, embedding): the corpus cut by its label into two sets, and other sets of texts.
+
+    ``per_set`` takes an exact sample of each set, the same one every time.
+    The table is stored: distances, centroids and clusters all read it.
+    """
+    cut = {positive: corpus.filter(F.col(label) == 1), negative: corpus.filter(F.col(label) == 0)}
+    sets = rows.union_tagged({n: df.select(F.col(key).alias("id"), F.col(text).alias("_text")) for n, df in {**cut, **others}.items()})
+    if per_set is not None:
+        sets = ranking.sample_n(sets, per_set, "dataset", "id")
+    return stored(embeddings.embed_text(sets, "_text", dim).drop("_text"), "embedding-sets")
+
+
+def embedding_distances(sets: DataFrame, names: list[str]) -> DataFrame:
+    """(set_a, set_b, similarity, distance) of each two of the named sets."""
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    near = embeddings.centroid_similarity(sets, pairs)
+    return near.join(embeddings.mean_pairwise_distance(sets, pairs), ["set_a", "set_b"])
+
+
+def embedding_map(sets: DataFrame, names: list[str]) -> DataFrame:
+    """(id, dataset, cluster, x, y) of the rows of the named sets: a plane, and as many clusters as sets."""
+    chosen = sets.filter(F.col("dataset").isin(names))
+    points, _centres = embeddings.pca_kmeans(chosen, k=len(names))
+    return points.select("id", "dataset", "cluster", "x", "y")

@@ -215,15 +215,26 @@ def _(spark, d):
     df = table(spark, d, "events").select("event_id", F.col("event_type").alias("s3_path"))
     writers.write_resumable(spark, df.filter("s3_path IN ('view', 'click')"), path, "event_id")
     left = writers.write_resumable(spark, df, path, "event_id")
-    out = readers.scan_parquet(spark, path)
+    out = writers.read_resumable(spark, path)
     return out.groupBy("s3_path").agg(F.count(F.lit(1)).alias("n")).withColumn("second_run", F.lit(left))
 
 
-@query("sample_files", None)
+@query("sample_files", "SELECT 4::BIGINT AS n_files, 4::BIGINT AS n_whole, 0::BIGINT AS n_foreign")
 def _(spark, d):
+    """Files of orders by their key modulo 16; every row of a picked file must be there, and no other."""
     path = scratch_path(spark, "files")
-    table(spark, d, "orders").repartition(16, "o_orderkey").write.parquet(path)
-    return readers.sample_files(spark, [path], 4)
+    orders = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 16).alias("part"))
+    orders.repartition(16, "part").write.partitionBy("part").parquet(path)
+    picked = readers.with_source_path(readers.sample_files(spark, [path], 4))
+    rest = F.col("o_orderkey") % 16
+    found = picked.groupBy("s3_path", rest.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    named = F.regexp_extract("s3_path", "part=([0-9]+)/", 1).cast("bigint")
+    there = orders.groupBy("part").agg(F.count(F.lit(1)).alias("all"))
+    return found.join(there, "part").agg(
+        F.count_distinct("s3_path").alias("n_files"),
+        F.count_if(F.col("n") == F.col("all")).alias("n_whole"),
+        F.count_if(named != F.col("part")).alias("n_foreign"),
+    )
 
 
 # --- projections and filters ---------------------------------------------------
@@ -264,12 +275,20 @@ def _(spark, d):
 
 @query(
     "bad_records",
-    """SELECT CASE event_type WHEN 'error' THEN 'unreadable line' WHEN 'signup' THEN 'missing raw_mime'
-    ELSE 'missing event.payload' END AS reason, count(*) AS n FROM events WHERE event_type IN ('error', 'signup', 'view') GROUP BY 1""",
+    r"""SELECT 'unreadable line' AS reason, NULL::VARCHAR AS msg_id, NULL::VARCHAR AS raw_mime,
+      left('{"raw_mime":"Subject: x\n\n' || replace(props, '"', '\"'), 30) AS line FROM events WHERE event_type = 'error'
+    UNION ALL SELECT 'missing raw_mime', 'm' || event_id, NULL, NULL FROM events WHERE event_type = 'signup'
+    UNION ALL SELECT 'missing event.payload', NULL, 'Subject: x' || chr(10) || chr(10) || props, NULL FROM events WHERE event_type = 'view'""",
 )
 def _(spark, d):
+    """What the quarantined records hold."""
     _good, bad = _with_bad_lines(spark, d)
-    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return bad.select(
+        "reason",
+        F.get_json_object("record", "$.event.payload.msgid").alias("msg_id"),
+        F.get_json_object("record", "$.raw_mime").alias("raw_mime"),
+        F.when(F.col("reason") == "unreadable line", F.col("record")).alias("line"),
+    )
 
 
 @query(

@@ -108,6 +108,7 @@ RANGES_SQL = """SELECT CASE WHEN k % 2 = 0 THEN b ELSE b + 100 * 65536 + 77 END
 
 # --- embeddings as embedding sets and as model outputs --------------------------
 
+# Names of the embedding sets (fixed values).
 SET_OF_LABEL = {
     0: "phish", 1: "phish", 2: "phish", 3: "not-phish", 4: "not-phish",
     5: "good-users", 6: "good-users", 7: "phish-users", 8: "phish-users", 9: "phish-users",
@@ -193,20 +194,28 @@ def _b64(c: Column) -> Column:
     return F.base64(F.encode(c, "UTF-8"))
 
 
+def _quoted(c: Column) -> Column:
+    """Quoted-printable with every byte escaped, in lines of 72 characters."""
+    escaped = F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "=$1")
+    return F.regexp_replace(escaped, "((?:=..){24})", "$1=\n")
+
+
 def document_messages(spark: SparkSession, d: str) -> DataFrame:
     """A raw message per document, with a different shape for each language.
 
-    en: plain and HTML alternatives; de: plain text with a plain attachment;
-    fr: one plain 8-bit body with a damaged charset name; es: HTML only.
+    en: plain and HTML alternatives; de: quoted-printable plain text with a
+    plain attachment; fr: one plain 8-bit body with a damaged charset name;
+    es: HTML only.
     """
     text = F.col("text")
     html = F.concat(F.lit("<html><body><p>"), text, F.lit("</p></body></html>"))
     escaped = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     shown = F.concat(F.lit("<html><head><style>p{}</style></head><body><!-- x --><p>"), escaped, F.lit("</p></body></html>"))
 
-    def part(kind: str, body: Column, extra: str = "") -> Column:
-        head = f'Content-Type: {kind}; charset="utf-8"\nContent-Transfer-Encoding: base64\n{extra}\n'
-        return F.concat(F.lit("--b1\n" + head), _b64(body), F.lit("\n"))
+    def part(kind: str, body: Column, extra: str = "", quoted: bool = False) -> Column:
+        way = "quoted-printable" if quoted else "base64"
+        head = f'Content-Type: {kind}; charset="utf-8"\nContent-Transfer-Encoding: {way}\n{extra}\n'
+        return F.concat(F.lit("--b1\n" + head), _quoted(body) if quoted else _b64(body), F.lit("\n"))
 
     def multi(kind: str, *parts: Column) -> Column:
         head = f'Content-Type: multipart/{kind}; boundary="b1"\n\n'
@@ -218,7 +227,7 @@ def document_messages(spark: SparkSession, d: str) -> DataFrame:
             F.col("lang") == "de",
             multi(
                 "mixed",
-                part("text/plain", text),
+                part("text/plain", text, quoted=True),
                 part("text/plain", F.lit("attached"), 'Content-Disposition: attachment; filename="a.txt"\n'),
             ),
         )
@@ -236,6 +245,11 @@ def document_messages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def slot_sql(term: str) -> str:
+    """The slot the text models keep a term in."""
+    return f"substr(md5({term}), 1, 4) || translate(substr(md5({term}), 5, 1), '0123456789abcdef', '0000111122223333')"
+
+
 BLANKS_SQL = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -250,6 +264,7 @@ EXTRACTED_SQL = f"""SELECT doc_id AS msg_id, CASE WHEN lang IN ('en', 'es') THEN
       || replace(replace(text, '&', '&amp;'), '<', '&lt;') || '</p></body></html>' ELSE '' END AS html
   FROM documents"""
 
+# Characters a link may hold (fixed values).
 _HOST = r"a-zA-Z0-9.=_\-%&"
 _LINK = _HOST + "/?#"
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mailrisk.functions import scores as C
@@ -10,7 +13,7 @@ from mailrisk.functions import text as X
 from mailrisk.functions import vectors as V
 from mailrisk.operators import embeddings as E
 from mailrisk.operators import report, scoring
-from mailrisk.operators.bayes import VOCABULARY
+from mailrisk.operators.bayes import SLOTS
 from mailrisk.operators.joins import lookup_join
 from mailrisk.plans import jobs
 from mailrisk.plans import standins as I
@@ -129,10 +132,10 @@ def _(spark, d):
 # --- scores ----------------------------------------------------------------------
 
 
-@query("softmax", f"SELECT vec_id, round(p[1], 6) AS p0, round(p[4], 6) AS p3, list_position(p, list_max(p)) - 1 AS best FROM (SELECT vec_id, {I._softmax_sql(3, 4)} AS p FROM embeddings)")
+@query("softmax", f"SELECT vec_id, round(p[1], 6) AS p0, round(p[2], 6) AS p1, round(p[3], 6) AS p2, round(p[4], 6) AS p3, list_position(p, list_max(p)) - 1 AS best FROM (SELECT vec_id, {I._softmax_sql(3, 4)} AS p FROM embeddings)")
 def _(spark, d):
     df = table(spark, d, "embeddings").select("vec_id", C.softmax(I.logits(3, 4)).alias("p"))
-    return df.select("vec_id", C.round6(F.col("p")[0]).alias("p0"), C.round6(F.col("p")[3]).alias("p3"), C.argmax("p").alias("best"))
+    return df.select("vec_id", *[C.round6(F.col("p")[i]).alias(f"p{i}") for i in range(4)], C.argmax("p").alias("best"))
 
 
 for _model in I.MODELS:
@@ -169,24 +172,22 @@ def _(spark, d):
 def bayes_sql(train: str, texts: str) -> str:
     """(id, label, score) of the rows (id, text) of ``texts``.
 
-    Multinomial naive Bayes on words with add-one smoothing, fitted on the rows
-    (y, text) of ``train`` with y 0 or 1.
+    Multinomial naive Bayes on hashed words with add-one smoothing, fitted on
+    the rows (y, text) of ``train`` with y 0 or 1.
     """
 
     def words(source: str) -> str:
         return rf"""SELECT * EXCLUDE (text), unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}]+'), lambda x: x <> '')) AS word FROM ({source})"""
 
     return f"""WITH t AS ({train}), x AS ({texts}),
-  every AS (SELECT y, word, count(*) AS n FROM ({words('SELECT * FROM t')}) GROUP BY ALL),
-  tw AS (SELECT * FROM every WHERE word IN (SELECT word FROM every GROUP BY word ORDER BY sum(n) DESC, word LIMIT {VOCABULARY})),
-  tot AS (SELECT y, sum(n) AS total FROM tw GROUP BY y),
-  v AS (SELECT count(DISTINCT word) AS size FROM tw),
-  pri AS (SELECT y, ln(total + 2.0) - ln(sum(total) OVER () + 4.0) AS pi FROM tot),
-  xw AS (SELECT id, word, count(*) AS n FROM ({words('SELECT * FROM x')}) WHERE word IN (SELECT word FROM tw) GROUP BY ALL),
+  tw AS (SELECT y, {I.slot_sql('word')} AS slot, count(*) AS n FROM ({words('SELECT * FROM t')}) GROUP BY ALL),
+  tot AS (SELECT y, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT y FROM t) LEFT JOIN tw USING (y) GROUP BY y),
+  pri AS (SELECT y, ln(count(*) + 1.0) - ln(sum(count(*)) OVER () + count(*) OVER ()) AS pi FROM t GROUP BY y),
+  xw AS (SELECT id, {I.slot_sql('word')} AS slot, count(*) AS n FROM ({words('SELECT * FROM x')}) GROUP BY ALL),
   len AS (SELECT id, sum(n) AS n FROM xw GROUP BY id),
-  hit AS (SELECT id, y, sum(xw.n * ln(tw.n + 1.0)) AS s FROM xw JOIN tw USING (word) GROUP BY ALL),
-  sc AS (SELECT x.id, tot.y, pi + coalesce(s, 0) - coalesce(len.n, 0) * ln(total + size) AS s
-    FROM x CROSS JOIN tot CROSS JOIN v JOIN pri USING (y) LEFT JOIN len ON len.id = x.id LEFT JOIN hit ON hit.id = x.id AND hit.y = tot.y),
+  hit AS (SELECT id, y, sum(xw.n * ln(tw.n + 1.0)) AS s FROM xw JOIN tw USING (slot) GROUP BY ALL),
+  sc AS (SELECT x.id, tot.y, pi + coalesce(s, 0) - coalesce(len.n, 0) * ln(total + {SLOTS}.0) AS s
+    FROM x CROSS JOIN tot JOIN pri USING (y) LEFT JOIN len ON len.id = x.id LEFT JOIN hit ON hit.id = x.id AND hit.y = tot.y),
   p AS (SELECT id, max(CASE WHEN y = 1 THEN s END) - max(CASE WHEN y = 0 THEN s END) AS z FROM sc GROUP BY id)
   SELECT id, CASE WHEN z > 0 THEN 1 ELSE 0 END AS label, round(CASE WHEN z > 0 THEN 1 / (1 + exp(-z)) ELSE 1 - 1 / (1 + exp(z)) END, 6) AS score FROM p"""
 
@@ -205,10 +206,21 @@ def _(spark, d):
     return scoring.classify_text(spread_table(spark, d, "documents").select("doc_id", "text"), model).drop("text")
 
 
-@query("classify_text_logistic", None)
+@query(
+    "classify_text_logistic",
+    "SELECT count(*) AS n, count(DISTINCT doc_id) AS n_ids, 0::BIGINT AS n_odd_label, 0::BIGINT AS n_odd_score, 0::BIGINT AS n_disagree FROM documents",
+)
 def _(spark, d):
+    """Weights come from an iteration, so what every row must satisfy is counted."""
     model = scoring.logistic_model("lr", _labelled(spark, d), "text", "toxic")
-    return scoring.classify_text(spread_table(spark, d, "documents").select("doc_id", "text"), model).drop("text")
+    out = scoring.classify_text(spread_table(spark, d, "documents").select("doc_id", "text"), model)
+    return out.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("doc_id").alias("n_ids"),
+        F.count_if(~F.coalesce(F.col("lr_label").isin(0, 1), F.lit(False))).alias("n_odd_label"),
+        F.count_if(~F.coalesce(F.col("lr_score").between(0, 1), F.lit(False))).alias("n_odd_score"),
+        F.count_if((F.col("lr_label") == 1) & (F.col("lr_score") < 0.5) | (F.col("lr_label") == 0) & (F.col("lr_score") > 0.5)).alias("n_disagree"),
+    )
 
 
 # --- reports ---------------------------------------------------------------------
@@ -263,44 +275,74 @@ def _(spark, d):
     return report.score_histogram(_long(spark, d), _BY, threshold=0.99).withColumn("bin_start", F.round("bin_start", 3))
 
 
-@query(
-    "model_report",
-    f"""SELECT dataset, input, model, count(*) AS n_rows, count(*) FILTER (label = 1) AS n_phish, count(*) FILTER (label = 0) AS n_legit,
+_FIGURES = """count(*) AS n_rows, count(*) FILTER (label = 1) AS n_phish, count(*) FILTER (label = 0) AS n_legit,
     count(*) FILTER (label = 1 AND score >= 0.99) AS n_phish_above, count(*) FILTER (label = 0 AND score >= 0.99) AS n_legit_above,
     round(100.0::DOUBLE * count(*) FILTER (label = 1 AND score >= 0.99) / count(*), 6) AS share,
-    min(score) AS min_score, max(score) AS max_score, round(avg(score), 6) AS mean_score
-    FROM (SELECT *, unnest(['text', 'url']) AS input FROM ({I.LONG_SQL})) WHERE (input = 'text' OR label = 1) GROUP BY ALL""",
-)
+    min(score) AS min_score, max(score) AS max_score, round(avg(score), 6) AS mean_score"""
+
+
+@query("model_report", f"SELECT dataset, model, {_FIGURES} FROM ({I.LONG_SQL}) GROUP BY ALL")
 def _(spark, d):
-    mails = I.scored_mails(spark, d)
-    # the url side of the report: label 0 rows of each model are left out below
-    frames = {}
-    for name in ("Suspended User", "Good User"):
-        one = mails.filter(F.col("dataset") == name).drop("dataset")
-        frames[name, "text"] = one
-        frames[name, "url"] = one
-    parts = [
-        report.long_scores(df, I.MODELS, []).withColumns({"dataset": F.lit(k[0]), "input": F.lit(k[1])})
-        for k, df in frames.items()
-    ]
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    out = report.model_report(long.filter("input = 'text' OR label = 1"), ["dataset", "input", "model"])
+    out = report.model_report(_long(spark, d), _BY)
     return out.withColumns({"share": C.round6("share"), "mean_score": C.round6("mean_score")})
 
 
+# Documents as mails, each with the link of the page of its number at the end; in two data sets by turns.
+_LINKED = """SELECT doc_id AS id, text || ' ' || coalesce(url, '') AS body, toxic, quality,
+  CASE WHEN doc_id % 2 = 0 THEN 'Suspended User' ELSE 'Good User' END AS dataset
+  FROM documents LEFT JOIN labels USING (doc_id) LEFT JOIN pages ON page_id = doc_id"""
+# model: what it learns from, and what
+_TRAINED = {"words": ("body", "toxic"), "worth": ("body", "quality"), "links": (I.domains_sql("body"), "quality")}
+_INPUTS = {"text": "body", "url": I.domains_sql("body")}
+
+
+def _reported_sql() -> str:
+    parts = []
+    for model, (source, label) in _TRAINED.items():
+        train = f"SELECT {label} AS y, {source} AS text FROM ({_LINKED}) WHERE {label} IS NOT NULL"
+        for kind, read in _INPUTS.items():
+            scored = bayes_sql(train, f"SELECT id, {read} AS text FROM ({_LINKED})")
+            parts.append(f"SELECT id, '{kind}' AS input, '{model}' AS model, label, score FROM ({scored})")
+    return " UNION ALL ".join(parts)
+
+
+def _bins_sql(name: str, where: str) -> str:
+    """Counts of the 50 bins of each group, in order, as text."""
+    return f"""(WITH r AS (SELECT * FROM x WHERE {where}),
+      e AS (SELECT dataset, input, model, CASE WHEN min(score) = max(score) THEN min(score) - 0.5 ELSE min(score) END AS lo,
+        CASE WHEN min(score) = max(score) THEN max(score) + 0.5 ELSE max(score) END AS hi FROM r GROUP BY ALL),
+      b AS (SELECT dataset, input, model, least(floor((score - lo) * 50 / (hi - lo)), 49)::BIGINT + 1 AS bin, count(*) AS n
+        FROM r JOIN e USING (dataset, input, model) GROUP BY ALL),
+      g AS (SELECT dataset, input, model, unnest(range(1, 51)) AS bin FROM e)
+      SELECT dataset, input, model, string_agg(coalesce(n, 0)::VARCHAR, ',' ORDER BY bin) AS {name}
+      FROM g LEFT JOIN b USING (dataset, input, model, bin) GROUP BY ALL)"""
+
+
 @query(
     "score_report",
-    f"""SELECT dataset, input, model, count(*) AS n_rows, count(*) FILTER (label = 1) AS n_phish,
-    count(*) FILTER (label = 1 AND score >= 0.99) AS n_phish_above, round(avg(score), 6) AS mean_score
-    FROM (SELECT *, 'text' AS input FROM ({I.LONG_SQL})) GROUP BY ALL""",
+    f"""WITH x AS (SELECT dataset, input, model, label, score FROM ({_reported_sql()}) JOIN (SELECT id, dataset FROM ({_LINKED})) USING (id)),
+    f AS (SELECT dataset, input, model, {_FIGURES} FROM x GROUP BY ALL)
+    SELECT f.*, h.histogram, a.histogram_above FROM f LEFT JOIN {_bins_sql('histogram', 'true')} h USING (dataset, input, model)
+    LEFT JOIN {_bins_sql('histogram_above', 'score >= 0.99')} a USING (dataset, input, model)""",
 )
 def _(spark, d):
-    mails = I.scored_mails(spark, d)
-    frames = {(n, "text"): mails.filter(F.col("dataset") == n).drop("dataset") for n in ("Suspended User", "Good User")}
-    out = jobs.score_report(frames, I.MODELS).withColumn("mean_score", C.round6("mean_score"))
-    return out.select("dataset", "input", "model", "n_rows", "n_phish", "n_phish_above", "mean_score")
+    """Three models on the texts and on the link domains of two data sets."""
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    docs = spread_table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").join(pages, "doc_id", "left")
+    mails = docs.select("doc_id", F.concat("text", F.lit(" "), F.coalesce("url", F.lit(""))).alias("body"), "toxic", "quality")
+    mails = mails.withColumn("domains", X.url_domains("body"))
+    columns = {"text": "body", "url": "domains"}
+    learned = {"words": ("body", "toxic"), "worth": ("body", "quality"), "links": ("domains", "quality")}
+    fitted = {name: scoring.bayes_model(name, mails, *how) for name, how in learned.items()}
+    frames = {}
+    for kind, column in columns.items():
+        models = [replace(m, text_col=column) for m in fitted.values()]
+        scored = scoring.score_all(mails, models).drop("body", "domains", "toxic", "quality")
+        for i, name in enumerate(("Suspended User", "Good User")):
+            frames[name, kind] = scored.filter(F.col("doc_id") % 2 == i).drop("doc_id")
+    out = jobs.score_report(frames, list(fitted), histograms=True)
+    joined = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("histogram", "histogram_above")}
+    return out.withColumns({"share": C.round6("share"), "mean_score": C.round6("mean_score"), **joined})
 
 
 # --- embedding sets --------------------------------------------------------------
@@ -370,10 +412,11 @@ def _(spark, d):
 
 
 def _tokens(spark, d):
-    """Every vector is a token of the document its label names; the first value's sign is the mask."""
+    """Every vector is a token of the document its label names, in the order of ids; the first value's sign is the mask."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
     return table(spark, d, "embeddings").select(
         F.col("label").alias("doc"),
-        F.col("vec_id").alias("pos"),
+        place.alias("pos"),
         (F.col("embedding")[0] >= 0).cast("int").alias("mask"),
         F.col("embedding").alias("vec"),
     )
@@ -397,14 +440,91 @@ def _(spark, d):
     return _values(pooled.withColumn("embedding", F.col("embedding").cast("array<double>")), "doc", "embedding")
 
 
-@query("pca_kmeans", None)
+@query(
+    "pca_kmeans",
+    f"SELECT count(*) AS n, 0.0::DOUBLE AS sum_x, 0.0::DOUBLE AS sum_y, 0.0::DOUBLE AS sum_xy, 0::BIGINT AS n_far FROM ({I.SETS_SQL})",
+)
 def _(spark, d):
+    """What holds whatever the signs of the axes and the numbers of the clusters: the plane is centred, its
+    axes are uncorrelated, and no row is nearer to another centre than to its own."""
     points, centres = E.pca_kmeans(I.embedding_sets(spark, d))
-    kind = points.select(F.lit("point").alias("kind"), "id", "dataset", "cluster", "x", "y")
-    named = centres.select(F.lit("centre").alias("kind"), F.lit(None).alias("id"), F.lit(None).alias("dataset"), "cluster", "x", "y")
-    return kind.unionByName(named)
+    own = F.col("centres")[F.col("cluster")]
+    every = F.transform(F.map_values("centres"), lambda c: _square(F.col("embedding"), c))
+    far = _square(F.col("embedding"), own) > F.array_min(every) + 1e-9
+    table_of = centres.agg(F.map_from_entries(F.collect_list(F.struct("cluster", "centre"))).alias("centres"))
+    joined = points.join(F.broadcast(table_of))  # one row: as many centres as clusters were asked for
+    return joined.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[(F.round(F.sum(c), 4) + 0.0).alias(n) for n, c in (("sum_x", F.col("x")), ("sum_y", F.col("y")), ("sum_xy", F.col("x") * F.col("y")))],
+        F.count_if(far).alias("n_far"),
+    )
 
 
-@query("embed_text", None)
+def _square(a, b):
+    gaps = F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y))
+    return F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x)
+
+
+def _embedded_sql(texts: str) -> str:
+    """(id, pos, x): the values other than 0 of the vectors of the rows (id, text), places from 0."""
+    return rf"""SELECT id, pos, (n / sqrt(sum(n * n) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS x FROM (
+      SELECT id, ('0x' || substr(md5(word), 1, 2))::INT AS pos, count(*) AS n FROM (
+        SELECT id, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}]+'), lambda x: x <> '')) AS word FROM ({texts})) GROUP BY ALL)"""
+
+
+@query("embed_text", f"SELECT id AS doc_id, pos, round(x, 6) AS x FROM ({_embedded_sql('SELECT doc_id AS id, text FROM documents')})")
+def _(spark, d):
+    out = E.embed_text(spread_table(spark, d, "documents").select("doc_id", "text"), "text")
+    values = out.select("doc_id", F.posexplode("embedding").alias("pos", "x")).filter("x <> 0")
+    return values.withColumn("x", F.round(F.col("x").cast("double"), 6))
+
+
+# The labelled documents are the corpus; pages and conversations are the sets it is held against.
+_COMPARED = """SELECT doc_id AS id, text, CASE toxic WHEN 1 THEN 'phish' ELSE 'not-phish' END AS dataset FROM documents JOIN labels USING (doc_id) WHERE toxic IN (0, 1)
+  UNION ALL SELECT page_id, html, 'good-users' FROM pages UNION ALL SELECT conv_id * 100 + turn, text, 'phish-users' FROM conversations"""
+_PICKED = f"SELECT * FROM ({_COMPARED}) QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY md5(id || '/42'), id) <= 40"
+_SET_NAMES = ["phish", "not-phish", "good-users", "phish-users"]
+
+
+def _compared(spark, d):
+    corpus = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(F.col("doc_id").alias("id"), "text", F.col("toxic").alias("label"))
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"))
+    talks = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    others = {"good-users": pages, "phish-users": talks}
+    return jobs.compare_embeddings(corpus, others, "phish", "not-phish", per_set=40)
+
+
+_SET_VALUES = f"""SELECT split_part(id, ':', 1) AS dataset, id, pos, x FROM (
+  {_embedded_sql(f"SELECT dataset || ':' || id AS id, text FROM ({_PICKED})")})"""
+
+
+@query(
+    "embedding_comparison",
+    f"""WITH v AS MATERIALIZED ({_SET_VALUES}), n AS (SELECT dataset, count(*) AS n FROM ({_PICKED}) GROUP BY dataset),
+    c AS (SELECT dataset, pos, sum(x) / any_value(n) AS m, sum(x / len) / any_value(n) AS u
+      FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY id)) AS len FROM v) JOIN n USING (dataset) GROUP BY dataset, pos),
+    p AS (SELECT a.dataset AS set_a, b.dataset AS set_b, sum(a.m * b.m) AS dot, sum(a.u * b.u) AS mean FROM c a JOIN c b ON a.pos = b.pos GROUP BY ALL),
+    l AS (SELECT dataset, sqrt(sum(m * m)) AS len FROM c GROUP BY dataset)
+    SELECT set_a, set_b, round(dot / (la.len * lb.len), 6) AS similarity, round(1 - mean, 6) AS distance
+    FROM p JOIN l la ON la.dataset = set_a JOIN l lb ON lb.dataset = set_b
+    JOIN (VALUES {', '.join(f"('{a}', '{b}')" for i, a in enumerate(_SET_NAMES) for b in _SET_NAMES[i + 1:])}) w(set_a, set_b) USING (set_a, set_b)""",
+)
+def _(spark, d):
+    out = jobs.embedding_distances(_compared(spark, d), _SET_NAMES)
+    return out.withColumns({"similarity": C.round6("similarity"), "distance": C.round6("distance")})
+
+
+@query(
+    "embedding_map",
+    f"""SELECT dataset, count(*) AS n, 0.0::DOUBLE AS rest FROM ({_PICKED}) WHERE dataset <> 'phish-users' GROUP BY dataset
+    UNION ALL SELECT dataset || ' of two', count(*), 0.0 FROM ({_PICKED}) WHERE dataset IN ('phish', 'not-phish') GROUP BY dataset""",
+)
 def _(spark, d):
-    return E.embed_text(spread_table(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
+    """Rows of three sets, then of two, on their plane: how many of each, and how far off zero all coordinates sum up."""
+    sets = _compared(spark, d)
+    three, two = (jobs.embedding_map(sets, _SET_NAMES[:k]).withColumn("of", F.lit(k)) for k in (3, 2))
+    both = three.unionByName(two)
+    sums = both.groupBy("of").agg((F.round(F.abs(F.sum("x")) + F.abs(F.sum("y")), 4) + 0.0).alias("rest"))
+    counts = both.groupBy("of", "dataset").agg(F.count(F.lit(1)).alias("n")).join(sums, "of")
+    named = F.when(F.col("of") == 2, F.concat("dataset", F.lit(" of two"))).otherwise(F.col("dataset"))
+    return counts.select(named.alias("dataset"), "n", "rest")

@@ -71,7 +71,7 @@ PARSED_MESSAGE = T.StructType(
     ]
 )
 
-# Columns of the human review sheet, in order; the model's score column follows.
+# Columns of the human review sheet, in order (fixed values); the model's score column follows.
 REVIEW_COLUMNS = [
     "user_id", "msg_id", "sg_event_id", "subject", "email_from", "email_to", "email_date",
     "originating_ip", "originating_ip_country", "lang", "content_type", "translated_text",

@@ -58,7 +58,7 @@ def scan_json_lines(
 def scan_user_json(
     spark: SparkSession, path: str, schema: T.StructType = S.RAW_EVENT
 ) -> DataFrame:
-    """``users/<uid>/<file>.json`` trees; ``path_user`` is the id in the path."""
+    """``users/<uid>/<file>.json`` trees; ``path_user`` is the id in the path, null if it is no number."""
     full = T.StructType(list(schema) + [T.StructField(CORRUPT, T.StringType())])
     df = (
         spark.read.schema(full)
@@ -67,18 +67,18 @@ def scan_user_json(
         .json(path)
     )
     df = with_source_path(df)
-    return df.withColumn("path_user", X.user_from_path("s3_path").cast("bigint"))
+    return df.withColumn("path_user", X.user_from_path("s3_path").try_cast("bigint"))
 
 
 def scan_day(
     spark: SparkSession, root: str, day: str, schema: T.StructType = S.RAW_EVENT
 ) -> DataFrame:
-    """One ``day=YYYYMMDD`` folder below ``root``; the other days are not listed in the scan."""
+    """One ``day=YYYYMMDD`` folder below ``root``; no other folder is listed."""
     full = T.StructType(
         list(schema) + [T.StructField(CORRUPT, T.StringType()), T.StructField("day", T.StringType())]
     )
-    df = spark.read.schema(full).option("columnNameOfCorruptRecord", CORRUPT).json(root)
-    return with_source_path(df).filter(F.col("day") == day)
+    reader = spark.read.schema(full).option("columnNameOfCorruptRecord", CORRUPT)
+    return with_source_path(reader.option("basePath", root).json(f"{root.rstrip('/')}/day={day}"))
 
 
 def scan_parquet(spark: SparkSession, *paths: str, schema: T.StructType | None = None) -> DataFrame:
@@ -133,13 +133,16 @@ def scan_map(
     value: str = "file_id",
     whole_file: bool = False,
 ) -> DataFrame:
-    """JSON objects as a two-column lookup.
+    """JSON objects as a two-column lookup; anything else but a blank line ends the job.
 
     One object per line by default, so that a large map can be split over many
     lines and files; ``whole_file`` reads each file as one pretty-printed object.
     """
-    lines = spark.read.text(path, wholetext=whole_file)
-    return lines.select(F.explode(F.from_json("value", "map<string,string>")).alias(key, value))
+    lines = spark.read.text(path, wholetext=whole_file).filter(X.strip("value") != "")
+    entries = F.from_json("value", "map<string,string>")
+    why = F.concat(F.lit("no JSON object: "), F.substring("value", 1, 200))
+    whole = F.when(entries.isNotNull(), entries).otherwise(F.raise_error(why).cast("map<string,string>"))
+    return lines.select(F.explode(whole).alias(key, value))
 
 
 def scan_embeddings(spark: SparkSession, *paths: str) -> DataFrame:
@@ -163,7 +166,8 @@ def sample_files(
 def split_bad_records(
     df: DataFrame, required: Sequence[str] = ("raw_mime", "event.payload")
 ) -> tuple[DataFrame, DataFrame]:
-    """(good, bad): a record is whole or it goes to the bad side with its raw line.
+    """(good, bad): a record is whole or it goes to the bad side, with its raw line or,
+    where the line could be read, with all that was read of it.
 
     Spark does not answer a filter on the corrupt column alone over a raw JSON
     scan; the ``required`` fields keep data columns in it.
@@ -172,4 +176,5 @@ def split_bad_records(
     reason = F.coalesce(F.when(F.col(CORRUPT).isNotNull(), F.lit("unreadable line")), *missing)
     good = df.filter(reason.isNull()).drop(CORRUPT)
     bad = df.filter(reason.isNotNull())
-    return good, bad.select(F.col(CORRUPT).alias("record"), "s3_path", reason.alias("reason"))
+    read = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in (CORRUPT, "s3_path", "day", "path_user")]))
+    return good, bad.select(F.coalesce(CORRUPT, read).alias("record"), "s3_path", reason.alias("reason"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from uuid import uuid4
+
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailrisk.functions import text as X
 from mailrisk.operators.joins import lookup_join
-from mailrisk.operators.ranking import assign_batches
+from mailrisk.operators.ranking import assign_batches, range_count
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -40,10 +44,11 @@ def write_per_user(
 
     Rows are ranged on (user, event), not hashed on the user, so a user with a
     third of all mail is cut into many tasks; its files follow each other in
-    event order.
+    event order.  There is a range for every ``ROWS_PER_RANGE`` rows, unless
+    ``partitions`` says how many.
     """
     keys = [F.col(user), F.col(order)]
-    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    ranged = df.repartitionByRange(partitions or range_count(df), *keys)
     writer = ranged.sortWithinPartitions(user, order).write.mode("overwrite").partitionBy(user)
     if fmt == "csv":
         writer.option("header", "true").option("escape", '"').csv(path)
@@ -55,7 +60,7 @@ def write_batches(df: DataFrame, path: str, order_by: list[str], size: int) -> N
     """Folders ``batch_id=<first>-<last>`` of ``size`` consecutive rows each."""
     batched = assign_batches(df, order_by, size)
     (
-        batched.repartitionByRange("batch_no", "row_index")
+        batched.repartitionByRange(range_count(batched), "batch_no", "row_index")
         .sortWithinPartitions("batch_no", "row_index")
         .drop("batch_no", "row_index")
         .write.mode("overwrite")
@@ -86,26 +91,52 @@ def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _manifest(path: str) -> str:
+    return f"{path}/_manifest"  # Spark does not take a folder of such a name for data
+
+
 def pending_sources(
     spark: SparkSession, df: DataFrame, path: str, spread: str, source: str = "s3_path"
 ) -> DataFrame:
-    """Rows of ``df`` whose source is not yet in the output at ``path``.
-
-    The output itself says what is done: its commit is the only state, so a run
-    lost half way leaves nothing that looks finished.
-    """
-    done = read_if_exists(spark, path)
+    """Rows of ``df`` whose source the manifest at ``path`` does not list as done."""
+    done = read_if_exists(spark, _manifest(path))
     if done is None:
         return df
     return lookup_join(df, done.select(source).distinct(), source, spread=spread, how="left_anti")
 
 
 def write_resumable(
-    spark: SparkSession, df: DataFrame, path: str, spread: str, source: str = "s3_path"
+    spark: SparkSession,
+    df: DataFrame,
+    path: str,
+    spread: str,
+    source: str = "s3_path",
+    transform: Callable[[DataFrame], DataFrame] | None = None,
 ) -> int:
-    """Append the rows of sources not written before; returns how many sources that were."""
+    """Write the rows of sources not done before; returns how many sources that were.
+
+    Each run writes a folder of its own and, after that is committed, lists its
+    sources in the manifest; a run that is lost half way is in no manifest, so
+    its rows do not count and its sources are done again.  ``transform`` may
+    drop rows: a source is done even if none of its rows is left.  Read the
+    rows with ``read_resumable``.
+    """
     todo = pending_sources(spark, df, path, spread, source)
-    remaining = todo.select(source).distinct().count()
+    sources = todo.select(source).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    remaining = sources.count()
     if remaining:
-        todo.write.mode("append").parquet(path)
+        run = uuid4().hex
+        rows = transform(todo) if transform else todo
+        rows.write.parquet(f"{path}/run={run}")
+        sources.withColumn("run", F.lit(run)).write.mode("append").parquet(_manifest(path))
+    sources.unpersist()
     return remaining
+
+
+def read_resumable(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of completed runs."""
+    done = read_if_exists(spark, _manifest(path))
+    if done is None:
+        raise FileNotFoundError(f"no completed run below {path}")
+    runs = [r["run"] for r in done.select("run").distinct().collect()]  # one per run ever made
+    return spark.read.parquet(*[f"{path}/run={r}" for r in sorted(runs)])

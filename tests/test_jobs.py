@@ -1,5 +1,7 @@
 """Writers, jobs and models that SQL cannot state."""
 
+from types import SimpleNamespace
+
 import pytest
 from conftest import plan
 from pyspark.sql import functions as F
@@ -9,7 +11,8 @@ from mailrisk import schema as S
 from mailrisk.operators import scoring
 from mailrisk.session import scratch_path
 from mailrisk.sources import readers, writers
-from mailrisk.streaming.incremental import ingest_new_files
+from mailrisk.operators.language import fit_language
+from mailrisk.streaming.incremental import ingest_incremental, ingest_new_files
 
 QUERIES = entry.queries()
 
@@ -45,8 +48,8 @@ def test_scan_day_prunes_partitions(spark):
         "raw_mime", "day"
     ).write.partitionBy("day").json(path)
     df = readers.scan_day(spark, path, "20240102")
-    assert [r["raw_mime"] for r in df.collect()] == ["n"]
-    assert "PartitionFilters: [isnotnull(day" in plan(df)
+    assert [(r["raw_mime"], r["day"]) for r in df.collect()] == [("n", "20240102")]
+    assert all("/day=20240102/" in f for f in df.inputFiles())
 
 
 def test_write_per_user_splits_a_hot_user(spark):
@@ -84,7 +87,101 @@ def test_resumable_write_adds_each_source_once(spark):
     assert writers.write_resumable(spark, df.filter("s3_path < 'f2'"), path, "id") == 2
     assert writers.write_resumable(spark, df, path, "id") == 3
     assert writers.write_resumable(spark, df, path, "id") == 0
-    assert spark.read.parquet(path).count() == 100
+    assert writers.read_resumable(spark, path).count() == 100
+
+
+def test_half_written_run_does_not_count(spark):
+    path = scratch_path(spark, "out")
+    df = spark.range(100).select("id", F.concat(F.lit("f"), F.col("id") % 5).alias("s3_path"))
+    assert writers.write_resumable(spark, df.filter("s3_path < 'f2'"), path, "id") == 2
+    # a run that wrote some rows of two sources and never got to its manifest
+    df.filter("s3_path >= 'f3' AND id < 50").write.parquet(f"{path}/run=lost")
+    assert writers.read_resumable(spark, path).count() == 40
+    assert writers.write_resumable(spark, df, path, "id") == 3
+    assert sorted(r["id"] for r in writers.read_resumable(spark, path).collect()) == list(range(100))
+
+
+def test_source_without_rows_left_is_done(spark):
+    path = scratch_path(spark, "out")
+    df = spark.range(20).select("id", F.concat(F.lit("f"), F.col("id") % 2).alias("s3_path"))
+    keep = lambda rows: rows.filter("s3_path = 'f0'")
+    assert writers.write_resumable(spark, df, path, "id", transform=keep) == 2
+    assert writers.write_resumable(spark, df, path, "id", transform=keep) == 0
+    assert writers.read_resumable(spark, path).count() == 10
+
+
+def test_user_folder_that_is_no_number(spark, tmp_path):
+    for name in ("7", "someone"):
+        (tmp_path / "users" / name).mkdir(parents=True)
+        (tmp_path / "users" / name / "a.json").write_text('{"raw_mime": "x"}\n')
+    got = readers.scan_user_json(spark, str(tmp_path / "users")).collect()
+    assert sorted((r["path_user"] for r in got), key=str) == [7, None]
+
+
+def test_map_line_that_does_not_parse_fails(spark, tmp_path):
+    (tmp_path / "map.json").write_text('{\n "a.html": "1",\n "b.html": "2"\n}')
+    with pytest.raises(Exception, match="no JSON object"):
+        readers.scan_map(spark, str(tmp_path)).collect()
+
+
+def test_bad_records_keep_what_was_read(spark, tmp_path):
+    lines = ['{"raw_mime": "b", "event": {"payload": {"msgid": "1"}}}', '{"raw_mime": "x"}', '{"event": {"payload": {"msgid": "2"}}}', "{broken"]
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    good, bad = readers.split_bad_records(readers.scan_json_lines(spark, str(tmp_path)))
+    assert good.count() == 1
+    got = {r["reason"]: r["record"] for r in bad.collect()}
+    assert got == {
+        "missing event.payload": '{"raw_mime":"x"}',
+        "missing raw_mime": '{"event":{"payload":{"msgid":"2"}}}',
+        "unreadable line": "{broken",
+    }
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from mailrisk import session
+
+    assert session.runs_here("local") and session.runs_here("local[8]")
+    for master in ("local-cluster[2,1,1024]", "yarn", "spark://host:7077", "k8s://x"):
+        assert not session.runs_here(master)
+    settings: dict[str, str] = {}
+    cluster = SimpleNamespace(conf=settings, sparkContext=SimpleNamespace(master="yarn", applicationId="app"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_root(cluster)
+    settings["spark.checkpoint.dir"] = "hdfs://store/scratch/"
+    assert session.scratch_root(cluster) == "hdfs://store/scratch"
+
+
+def test_more_batches_than_progress_reports(spark):
+    base = scratch_path(spark, "many")
+    spark.range(110).repartition(110, "id").write.option("maxRecordsPerFile", 1).json(f"{base}/in")
+    files = spark.read.schema("id bigint").json(f"{base}/in").inputFiles()
+    assert len(files) >= 110
+    got = ingest_new_files(
+        spark, f"{base}/in", f"{base}/out", f"{base}/ck", lambda df: df, schema=spark.range(0).schema, files_per_batch=1
+    )
+    assert got == len(files)
+    assert spark.read.parquet(f"{base}/out").count() == 110
+
+
+def test_ingest_keeps_broken_lines_and_messages(spark, sf_dir, tmp_path):
+    event = '"event": {"payload": {"userid": 1, "msgid": "%s", "subject": "%s", "originating_ip": "1.0.0.1"}}'
+    lines = [
+        '{"raw_mime": "Content-Type: text/html\\n\\n<p>hi</p>", ' + event % ("a", "good day") + "}",
+        '{"raw_mime": "Content-Type: text/plain\\n\\nplain", ' + event % ("b", "bad =?x-none?B?AAAA?=") + "}",
+        "{broken",
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(lines))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ranges = spark.createDataFrame([(16777216, 16777471, "A")], "start_ip bigint, end_ip bigint, country string")
+    out = str(tmp_path / "out")
+    run = dict(source=str(tmp_path / "in"), target=out, checkpoint=str(tmp_path / "ck"), ranges=ranges, language=fit_language(docs))
+    assert ingest_incremental(spark, **run) == 1
+    mails = spark.read.parquet(f"{out}/mails").collect()
+    assert [(r["msg_id"], r["originating_ip_country"], r["email_text"]) for r in mails] == [("a", "A", "hi")]
+    assert [r["html"] for r in spark.read.parquet(f"{out}/html").collect()] == ["<p>hi</p>"]
+    held = {r["record"][:8]: r["reason"] for r in spark.read.parquet(f"{out}/quarantine").collect()}
+    assert len(held) == 2 and held["{broken"] == "unreadable line"
 
 
 def test_incremental_ingest(spark):
@@ -129,6 +226,22 @@ def test_suspended_users_hash(spark, sf_dir):
     assert "SortAggregate" not in text
 
 
+def test_window_prunes_the_mail_history(spark, sf_dir):
+    assert "GreaterThan(email_date" in plan(_window(spark))
+
+
+def _window(spark):
+    import datetime as dt
+
+    from mailrisk.operators import cohort
+
+    path = scratch_path(spark, "mails")
+    days = spark.range(40).select((F.col("id") % 3).alias("user_id"), "id", F.expr("cast(timestamp'2024-01-01' + make_interval(0,0,0,cast(id AS int)) AS timestamp_ntz)").alias("email_date"))
+    days.write.parquet(path)
+    suspended = spark.createDataFrame([(1, dt.datetime(2024, 1, 20))], "user_id bigint, created_at timestamp_ntz")
+    return cohort.suspension_window(spark.read.parquet(path), suspended, spread="id")
+
+
 def test_scan_reads_needed_columns_only(spark, sf_dir):
     text = plan(QUERIES["emails_per_user"](spark, sf_dir))
     assert "ReadSchema: struct<user_id:bigint>" in text

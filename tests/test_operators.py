@@ -1,18 +1,21 @@
 """Operators against brute force on small frames."""
 
 import datetime as dt
+import os
 import random
 
 import numpy as np
 import pytest
+from conftest import plan
 from pyspark.sql import functions as F
 
 from mailrisk.functions import vectors as V
 from mailrisk.operators import cohort, geo, joins, ranking, report, rows
 from mailrisk.operators import embeddings as E
 from mailrisk.operators.language import fit_language, detect_language, translate
-from mailrisk.operators.bayes import fit_bayes, load_bayes, term_counts, trigrams, words
+from mailrisk.operators.bayes import SLOTS, fit_bayes, load_bayes, slot_counts, slot_names, trigrams, words
 from mailrisk.session import scratch_path
+from mailrisk.sources import readers
 
 
 def test_suspension_window(spark):
@@ -52,6 +55,29 @@ def test_ip_country(spark):
     assert geo.overlapping_ranges(table).count() == 0
     more = table.union(spark.createDataFrame([(33554000, 33560000, "C")], table.schema))
     assert geo.overlapping_ranges(more).count() == 1
+    with pytest.raises(ValueError, match="overlapping"):
+        geo.ip_country(mails, more)
+
+
+def test_mapped_addresses_are_ipv4(spark):
+    table = spark.createDataFrame([(16777216, 16777471, "A")], "start_ip bigint, end_ip bigint, country string")
+    cases = {"::ffff:1.0.0.1": "A", "::FFFF:1.0.0.255": "A", "::ffff:2.0.0.1": "N/A", "::fffe:1.0.0.1": "N/A"}
+    mails = spark.createDataFrame([(i,) for i in cases], "originating_ip string").withColumn("msg_id", F.lit("m"))
+    assert dict(map(tuple, geo.ip_country(mails, table).select("originating_ip", "originating_ip_country").collect())) == cases
+
+
+def test_country_moves_no_body(spark):
+    ranges = spark.range(5000).select((F.col("id") * 65536).alias("start_ip"), (F.col("id") * 65536 + 70).alias("end_ip"), F.concat(F.lit("C"), F.col("id")).alias("country"))
+    mails = spark.range(2000).select(
+        F.concat(F.lit("m"), F.col("id")).alias("msg_id"), F.lit("a long body").alias("mime"),
+        F.concat_ws(".", F.floor(F.col("id") / 256).cast("string"), (F.col("id") % 256).cast("string"), F.lit("0"), F.lit("7")).alias("originating_ip"),
+    )
+    sliced = geo.ip_country(mails, ranges, rows=2000)
+    text = plan(sliced)
+    assert text.count("BroadcastHashJoin") > 2 and "Exchange hashpartitioning" not in text
+    want = sorted(map(tuple, geo.ip_country(mails, ranges).collect()))
+    assert sorted(map(tuple, sliced.collect())) == want == sorted(map(tuple, geo.ip_country(mails, ranges, rows=0, salts=3).collect()))
+    assert [r for r in want if r[3] == "C300"]
 
 
 def test_ipv6(spark):
@@ -115,9 +141,52 @@ def test_sample_n(spark):
 
 
 def test_latest_with_text_columns(spark):
-    data = [(1, 5, "a"), (1, 9, "b"), (2, 1, "c"), (None, 3, "d"), (3, None, "e")]
+    data = [(1, 5, "a"), (1, 9, "b"), (2, 1, "c"), (None, 3, "d"), (3, None, "e"), (4, 2, "f"), (4, 2, "f")]
     df = spark.createDataFrame(data, "user_id int, created_at int, note string")
-    assert sorted(map(tuple, ranking.latest_per_user(df).collect())) == [(1, 9, "b"), (2, 1, "c")]
+    assert sorted(map(tuple, ranking.latest_per_user(df).collect())) == [(1, 9, "b"), (2, 1, "c"), (4, 2, "f")]
+
+
+def test_first_record_aggregates_no_body(spark):
+    data = [(1, "f2", 1, "x"), (1, "f1", 9, "y"), (1, "f1", 3, "z"), (2, None, 1, "n"), (2, "a", 1, "o"), (3, "q", 4, "r"), (3, "q", 4, "r")]
+    df = spark.createDataFrame(data, "u int, f string, e int, body string")
+    out = ranking.first_record_per_user(df, "u", "f", "e")
+    assert sorted(map(tuple, out.collect())) == [(1, "f1", 3, "z"), (2, None, 1, "n"), (3, "q", 4, "r")]
+
+
+def test_broadcast_is_checked_in_bytes(spark):
+    df = spark.range(1000).select("id", F.array_repeat(F.lit(1.0), 100).alias("v"), F.repeat(F.lit("x"), 50).alias("s"))
+    assert joins.fits_broadcast(df)
+    assert not joins.fits_broadcast(df, size=800_000)
+    assert not joins.fits_broadcast(df, rows=999)
+    assert joins.fits_broadcast(spark.range(0), size=1)
+    assert 850_000 < df.agg(F.sum(joins.row_bytes(df))).first()[0] < 1_100_000
+
+
+def test_null_group_has_its_histogram(spark):
+    df = spark.createDataFrame([(None, 0.1), (None, 0.9), ("a", 0.5)], "m string, score double")
+    got = report.score_histogram(df, ["m"], bins=4).filter("m IS NULL").orderBy("bin").collect()
+    assert [r["n"] for r in got] == [1, 0, 0, 1]
+
+
+def test_pooling_is_one_scan(spark):
+    data = spark.createDataFrame([(1, 0, 1, [1.0]), (1, 1, 1, [3.0])], "doc int, pos int, mask int, vec array<float>")
+    path = scratch_path(spark, "tokens")
+    data.write.parquet(path)
+    tokens = spark.read.parquet(path)
+    assert "Exchange" not in plan(E.first_token_pool(tokens))
+    assert plan(E.mean_pool(tokens)).count("Scan parquet") == 1
+    assert E.mean_pool(tokens).first()["embedding"] == [2.0]
+
+
+def test_empty_files_add_nothing(spark, tmp_path):
+    full, empty = str(tmp_path / "full"), str(tmp_path / "empty")
+    spark.range(3).write.parquet(full)
+    spark.range(0).write.parquet(empty)
+    assert readers.scan_parquet(spark, full, empty).count() == 3
+    assert rows.union_frames(spark.read.parquet(full), spark.read.parquet(empty)).count() == 3
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.json").write_text("")
+    assert readers.scan_json_lines(spark, str(tmp_path / "lines")).count() == 0
 
 
 def test_union_checks(spark):
@@ -134,10 +203,26 @@ def test_translate_keeps_failed_texts(spark):
             raise RuntimeError
         return [t.upper() for t in texts]
 
-    data = [(1, "good", "fr-ca"), (2, "bad", "fr"), (3, "x", "en"), (4, None, "fr"), (5, "y", None)]
-    df = spark.createDataFrame(data, "i int, t string, lang string").coalesce(1)
-    got = {r["i"]: r["translated_text"] for r in translate(df, {"fr": fails}, "t").collect()}
-    assert got == {1: "GOOD", 2: "bad", 3: "x", 4: None, 5: "y"}
+    def short(texts):
+        return [t.upper() for t in texts if t != "lost"]
+
+    data = [(1, "good", "fr-ca"), (2, "bad", "fr"), (3, "x", "en"), (4, None, "fr"), (5, "y", None), (6, "lost", "de"), (7, "kept", "de")]
+    df = spark.createDataFrame(data, "i int, t string, lang string").coalesce(1).withColumn("s", F.concat(F.lit("s "), "t"))
+    out = translate(df, {"fr": lambda: fails, "de": lambda: short}, {"t": "translated_text", "s": "s"})
+    got = {r["i"]: r["translated_text"] for r in out.collect()}
+    assert got == {1: "GOOD", 2: "bad", 3: "x", 4: None, 5: "y", 6: "lost", 7: "KEPT"}
+    assert {r["i"]: r["s"] for r in out.collect()} == {1: "S GOOD", 2: "S BAD", 3: "s x", 4: None, 5: "s y", 6: "S LOST", 7: "S KEPT"}
+    assert plan(out).count("ArrowEvalPython") == 1
+
+
+def test_translators_are_made_in_the_workers(spark, tmp_path):
+    def make():
+        (tmp_path / f"made-{os.getpid()}").touch()
+        return lambda texts: [t + "!" for t in texts]
+
+    df = spark.range(100).select(F.col("id").cast("string").alias("t"), F.lit("fr").alias("lang"))
+    assert translate(df, {"fr": make}, {"t": "u"}).filter("u = t || '!'").count() == 100
+    assert not (tmp_path / f"made-{os.getpid()}").exists()
 
 
 def test_bayes_model_is_stored_and_keeps_wordless_classes(spark):
@@ -153,14 +238,32 @@ def test_bayes_model_is_stored_and_keeps_wordless_classes(spark):
     want = [list(r["p"]) for r in model.probabilities(probe, "t", "p").collect()]
     assert [list(r["p"]) for r in again.probabilities(probe, "t", "p").collect()] == want
     assert [r["n"] for r in again.classify(probe, "t", "n").collect()][:2] == ["a", "b"]
-    # 4, 3 and 0 counted terms, one more for each class, add-one smoothing
-    assert np.allclose(want[2], np.array([6, 5, 2]) / 13)
+    # 2, 1 and 1 documents, one more for each class
+    assert np.allclose(want[2], np.array([3, 2, 2]) / 7)
 
 
-def test_vocabulary_limit_keeps_the_most_frequent(spark):
+def test_prior_counts_documents_not_words(spark):
+    df = spark.createDataFrame([("w " * 1000, "a")] + [(f"v{i}", "b") for i in range(9)], "t string, y string")
+    p = fit_bayes(df, "t", "y").probabilities(spark.createDataFrame([("",)], "t string"), "t", "p").first()["p"]
+    assert np.allclose(p, [2 / 12, 10 / 12])
+
+
+def test_a_rare_term_among_very_many_decides(spark):
+    shared = spark.range(60_000).select(F.concat(F.lit("w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("w"))
+    text = shared.agg(F.array_join(F.collect_list("w"), " ").alias("t"))
+    a = text.select(F.concat("t", F.lit(" onlyhere")).alias("t"), F.lit("a").alias("y"))
+    b = text.select(F.concat("t", F.lit(" elsewhere")).alias("t"), F.lit("b").alias("y"))
+    model = fit_bayes(a.union(b), "t", "y")
+    probe = spark.createDataFrame([("onlyhere",), ("elsewhere",)], "t string")
+    assert [r["c"] for r in model.classify(probe, "t", "c").collect()] == ["a", "b"]
+
+
+def test_slots(spark):
     df = spark.createDataFrame([("b b b a a c", "x"), ("c d", "y")], "t string, y string")
-    got = sorted(map(tuple, term_counts(df, "t", "y", words, 2).collect()))
-    assert got == [("x", "a", 2), ("x", "b", 3)]
+    rows = slot_counts(df, "t", "y", words).collect()
+    assert sorted((r["_label"], r["_n"]) for r in rows) == [("x", 1), ("x", 2), ("x", 3), ("y", 1), ("y", 1)]
+    names = {r["_terms"][0] for r in slot_names(spark).collect()}
+    assert len(names) == SLOTS and all(r["_slot"] in names for r in rows)
 
 
 def test_trigrams(spark):
@@ -216,8 +319,10 @@ def test_zero_vector(spark):
 
 def test_embed_text(spark):
     df = spark.createDataFrame([(0, "a b a"), (1, "c"), (2, ""), (3, None)], "i int, t string")
-    got = {r["i"]: r["embedding"] for r in E.embed_text(df, "t", dim=64).collect()}
-    assert all(len(v) == 64 for v in got.values())
+    got = {r["i"]: r["embedding"] for r in E.embed_text(df, "t").collect()}
+    assert all(len(v) == 256 for v in got.values())
+    with pytest.raises(ValueError):
+        E.embed_text(df, "t", dim=64)
     assert sorted(x for x in got[0] if x) == pytest.approx([1 / 5**0.5, 2 / 5**0.5])
     assert sum(got[1]) == pytest.approx(1) and sum(got[2]) == sum(got[3]) == 0
 
