@@ -118,10 +118,9 @@ def _(spark, d):
     "SELECT lang = 'en' AS good, count(*) AS n FROM documents GROUP BY 1",
 )
 def _(spark, d):
-    """Messages with a charset no codec can decode text with go to quarantine."""
+    """Events whose message is missing go to quarantine."""
     raw = I.document_messages(spark, d)
-    broken = F.concat(F.lit("Content-Type: text/plain; charset=base64\n\n"), F.col("source"))
-    raw = raw.withColumn("mime", F.when(F.col("lang") == "en", F.col("mime")).otherwise(broken))
+    raw = raw.withColumn("mime", F.when(F.col("lang") == "en", F.col("mime")))
     path = scratch_path(spark, "ingest")
     extracted = messages.extract_messages(raw).withColumnRenamed("parse_error", "error")
     writers.write_parquet(extracted.select("msg_id", "email_text", "error"), path)

@@ -83,6 +83,18 @@ def _(spark, d):
     return readers.scan_csv(spark, path, docs.schema)
 
 
+@query(
+    "write_numbered_csv",
+    f"""SELECT row_number() OVER (ORDER BY dataset, msg_id) - 1 AS row, msg_id, dataset, two_score FROM ({I.SCORED_SQL})""",
+)
+def _(spark, d):
+    path = scratch_path(spark, "sheet")
+    sheet = I.scored_mails(spark, d).select("msg_id", "dataset", "two_score")
+    writers.write_csv(sheet, path, number_by=["dataset", "msg_id"])
+    stored = T.StructType([T.StructField("row", T.LongType()), *sheet.schema])
+    return readers.scan_csv(spark, path, stored)
+
+
 @query("scan_warehouse", "SELECT user_id, count(*) AS email_count FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY user_id")
 def _(spark, d):
     table(spark, d, "events").createOrReplaceTempView("mail_log")

@@ -24,6 +24,7 @@ SETTINGS = {
 
 _local_roots: dict[str, str] = {}
 _shipped: set[str] = set()
+_made: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "mailrisk", master: str | None = None, **extra: str) -> SparkSession:
@@ -80,7 +81,22 @@ def runs_here(master: str) -> bool:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared scratch folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what this application put in the scratch folder; returns how many tables that were.
+
+    For the end of a job, when nothing will read a stored step again.
+    """
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -12,15 +12,25 @@ from pyspark.sql import functions as F
 
 from mailrisk.functions import text as X
 from mailrisk.operators.joins import lookup_join
-from mailrisk.operators.ranking import assign_batches, range_count
+from mailrisk.operators.ranking import assign_batches, range_count, with_row_index
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Headered CSV; cells with quotes or line breaks read back unchanged."""
+def write_csv(
+    df: DataFrame, path: str, mode: str = "overwrite", number_by: list[str] | None = None
+) -> None:
+    """Headered CSV; cells with quotes or line breaks read back unchanged.
+
+    With ``number_by`` the first column, ``row``, is the place of the row in that
+    order, from 0, and the files follow each other in it.
+    """
+    if number_by:
+        numbered = with_row_index(df, number_by, "row")
+        ranged = numbered.repartitionByRange(range_count(numbered), "row").sortWithinPartitions("row")
+        df = ranged.select("row", *[F.col(f"`{c}`") for c in df.columns])
     (
         df.write.mode(mode)
         .option("header", "true")

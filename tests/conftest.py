@@ -11,7 +11,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    from mailrisk.session import build_session
+    from mailrisk.session import build_session, clear_scratch
 
     session = build_session(
         "tests",
@@ -24,6 +24,7 @@ def spark():
         },
     )
     yield session
+    clear_scratch(session)
     session.stop()
 
 

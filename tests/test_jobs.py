@@ -151,6 +151,16 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
     assert session.scratch_root(cluster) == "hdfs://store/scratch"
 
 
+def test_scratch_is_cleared(spark, tmp_path, monkeypatch):
+    from mailrisk import session
+
+    monkeypatch.setattr(session, "_made", {})
+    monkeypatch.setattr(session, "scratch_root", lambda spark: str(tmp_path))
+    kept = session.stored(spark.range(3), "step")
+    assert kept.count() == 3 and len(list(tmp_path.iterdir())) == 1
+    assert session.clear_scratch(spark) == 1 and not list(tmp_path.iterdir())
+
+
 def test_more_batches_than_progress_reports(spark):
     base = scratch_path(spark, "many")
     spark.range(110).repartition(110, "id").write.option("maxRecordsPerFile", 1).json(f"{base}/in")
