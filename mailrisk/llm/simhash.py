@@ -143,7 +143,8 @@ def drop_near_copies(df: DataFrame, id_col: str, text_col: str, shingle: int = S
     groups = group_fingerprints(fps, "_key", max_bits)
     stay = store(groups.select(F.col("component_id").alias("_key")).distinct().join(fps.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")), "_key"), "simhash-stay")
     keyed = df.select(whole_row(df).alias("row"), F.xxhash64(F.col(id_col), row).alias("at"))
-    wanted = stay.select(F.xxhash64("_key.id", "_key.hash").alias("at"), "_n")
+    # the keys grow with the documents: joined by a shuffle at every size, never broadcast
+    wanted = stay.select(F.xxhash64("_key.id", "_key.hash").alias("at"), "_n").hint("merge")
     once = keyed.join(wanted.filter("_n = 1").select("at"), "at", "left_semi")
     again = keyed.join(wanted.filter("_n > 1").select("at"), "at", "left_semi").dropDuplicates(["at"])
     return once.unionByName(again).select(*columns_of("row", names))
