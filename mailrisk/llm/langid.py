@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailrisk.llm.common import bounded_sample, crc_of_id
+from mailrisk.llm.common import crc_of_id
 
 #: Labelled documents the network learns from, at most.
 SAMPLE = 4000
@@ -151,15 +151,29 @@ def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, sample: int =
     share = {c: min(1.0, max(sample / total, sample / 20 / n)) for c, n in counts.items()}
     place = F.xxhash64(F.col(id_col).cast("string"), F.lit(SEED))
     limit = F.element_at(F.create_map(*[x for c, s in share.items() for x in (F.lit(c), F.lit(_threshold(s)))]), F.col(label_col))
-    picked = bounded_sample(usable.filter(place <= limit), id_col, 2 * sample).collect()
+    picked = usable.filter(place <= limit).select(
+        F.xxhash64(F.col(id_col).cast("string")).alias("at"), F.col(label_col).alias("label"), F.col(text_col).alias("text")
+    )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = [_some_windows(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("label"), pa.array(some, pa.binary())], ["at", "label", "windows"])
+
+    # a few windows of each document leave the executors, never a text
+    kind = picked.schema["label"].dataType.simpleString()
+    learned = picked.mapInArrow(cut, f"at bigint, label {kind}, windows binary")
+    rows = learned.orderBy("at", "label", "windows").limit(2 * sample).collect()
     classes = sorted(counts)
-    x, y = [], []
-    for row in picked:
-        all_windows = windows(row[text_col].encode())
-        for k in np.unique(np.linspace(0, len(all_windows) - 1, SAMPLE_WINDOWS).astype(int)):
-            x.append(all_windows[k])
-            y.append(classes.index(row[label_col]))
-    return train(np.array(x), np.array(y), classes)
+    x = [np.frombuffer(r["windows"], dtype=np.uint8).reshape(-1, WINDOW) for r in rows]
+    y = np.repeat([classes.index(r["label"]) for r in rows], [len(w) for w in x])
+    return train(np.concatenate(x), y, classes)
+
+
+def _some_windows(text: str) -> bytes:
+    """Up to ``SAMPLE_WINDOWS`` windows, evenly over the text, end to end."""
+    every = windows(text.encode())
+    return every[np.unique(np.linspace(0, len(every) - 1, SAMPLE_WINDOWS).astype(int))].tobytes()
 
 
 def _threshold(share: float) -> int:
