@@ -13,6 +13,8 @@ MOST = 2
 SEED = "mix"
 #: Expected copies are whole multiples of 2^-24, so prefix sums are exact in any order.
 UNIT = 1 << 24
+#: Random starts drawn for a source; the one that comes nearest to its target is taken.
+STARTS = 64
 #: Lanes per million rows; a source's rows of one size class are dealt to the lanes.
 LANES = 16
 
@@ -25,7 +27,7 @@ def word_count(text: Column) -> Column:
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """Add ``target`` to a table with one row per source (``source``, ``source_size``).
+    """Add ``target`` to a table with one row per source (``source``, ``source_size``), small for any corpus.
 
     Sources weigh ``weights`` in turn, by code point, null last.  The target of
     a source is its weight times a common level, or ``most`` times its size if
@@ -54,6 +56,20 @@ def _hashed(text: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("bigint")
 
 
+def _best_starts(lots: DataFrame, seed: str) -> DataFrame:
+    """(_named, _source, _start) from the lots of each source: few rows, however many documents."""
+    name = F.when(F.col("_named"), F.concat(F.lit("="), "_source")).otherwise("")
+    draws = lots.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
+    draws = draws.withColumn("_start", _hashed(F.concat_ws("|", F.lit(seed), F.col("_draw").cast("string"), name), 6))
+    first = F.col("_before") + F.col("_start")
+    copies = F.shiftright(first + F.col("_n") * F.col("_rate"), 24) - F.shiftright(first, 24)
+    # mean sizes in sixteenths of a word: whole numbers add up the same in any order
+    words = F.sum(copies * F.expr("(_words * 16) div _n")).alias("_taken")
+    sums = draws.groupBy("_named", "_source", "_draw", "_start", "target").agg(words)
+    off = F.struct(F.abs(F.col("_taken") - F.col("target") * 16), F.col("_draw"))
+    return sums.groupBy("_named", "_source").agg(F.min_by("_start", off).alias("_start"))
+
+
 def plan_copies(
     df: DataFrame, id_col: str, source_col: str, size_col: str,
     weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED,
@@ -63,7 +79,10 @@ def plan_copies(
     Within a source the expected copies of its documents are summed in the
     order of size class, lane, size and id; a random start, fixed by the seed
     and the source, is added; each whole number crossed is one copy.  Order by
-    size keeps the words taken close to the target.  A source's rows are spread
+    size keeps the words taken close to the target.  In a small source its few
+    longest documents decide how close, so of ``STARTS`` random starts the one
+    is taken whose copies of each lot, at the mean size of the lot, come nearest
+    to the target.  A source's rows are spread
     over lanes, whose number grows with the table, and only lane totals are
     summed across; so no source, however large, is one task.  Equal rows are
     separate documents.  Null sizes count as 0, and null ids as one id.  Columns
@@ -87,11 +106,11 @@ def plan_copies(
     named = per_source.withColumn("source", F.when(F.col("_named"), F.col("_source")))
     wanted = targets(named, weights, share, most).select("_named", "_source", "source_size", "target")
     rate = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0)) * UNIT), F.lit(0)).cast("bigint")
-    start = _hashed(F.concat(F.lit(f"{seed}|"), F.when(F.col("_named"), F.concat(F.lit("="), "_source")).otherwise("")), 6)
     lanes_before = Window.partitionBy("_named", "_source").orderBy("_class", "_lane").rowsBetween(Window.unboundedPreceding, -1)
     lots = totals.join(wanted, ["_named", "_source"]).withColumn("_rate", rate)
-    lots = lots.withColumn("_before", start + F.coalesce(F.sum(F.col("_n") * F.col("_rate")).over(lanes_before), F.lit(0)))
-    lots = lots.drop("_n", "_words")
+    lots = lots.withColumn("_before", F.coalesce(F.sum(F.col("_n") * F.col("_rate")).over(lanes_before), F.lit(0)))
+    lots = lots.join(_best_starts(lots, seed), ["_named", "_source"])
+    lots = lots.withColumn("_before", F.col("_before") + F.col("_start")).drop("_n", "_words", "_start")
     through = Window.partitionBy(*place).orderBy("_size", "_id").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("_before") + F.sum("_rate").over(through)
     crossed = F.shiftright(upto, 24) - F.shiftright(upto - F.col("_rate"), 24)
@@ -130,16 +149,29 @@ t AS (
   FROM l),
 r AS (
   SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size * {UNIT}) END::BIGINT AS rate,
-         ('0x' || substr(md5('{SEED}|' || CASE WHEN source IS NULL THEN '' ELSE '=' || source END), 1, 6))::BIGINT AS start
+         CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS name
   FROM t),
+placed AS (
+  SELECT *, floor(sqrt(size))::BIGINT AS class,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT
+           % (SELECT {LANES} * greatest(1, (count(*) + 999999) // 1000000) FROM documents) AS lane
+  FROM sized),
+lots AS (SELECT source, class, lane, count(*) AS n, sum(size)::BIGINT AS words FROM placed GROUP BY ALL),
+summed AS (
+  SELECT r.name, r.target, r.rate, n, words,
+         (coalesce(sum(n) OVER (PARTITION BY r.name ORDER BY class, lane ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * r.rate)::BIGINT AS before
+  FROM lots JOIN r ON lots.source IS NOT DISTINCT FROM r.source),
+drawn AS (
+  SELECT *, ('0x' || substr(md5('{SEED}|' || draw || '|' || name), 1, 6))::BIGINT AS start
+  FROM summed CROSS JOIN range({STARTS}) d(draw)),
+tried AS (
+  SELECT name, draw, start, target,
+         sum((((before + start + n * rate) >> 24) - ((before + start) >> 24)) * (words * 16 // n))::BIGINT AS taken
+  FROM drawn GROUP BY ALL),
+chosen AS (SELECT name, start FROM tried QUALIFY row_number() OVER (PARTITION BY name ORDER BY abs(taken::DOUBLE - target * 16), draw) = 1),
 p AS (
   SELECT d.doc_id, d.size, r.source_size, r.target, r.rate,
-         r.start + r.rate * row_number() OVER (
-           PARTITION BY d.source
-           ORDER BY floor(sqrt(d.size)),
-                    ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT
-                      % (SELECT {LANES} * greatest(1, (count(*) + 999999) // 1000000) FROM documents),
-                    d.size, d.doc_id NULLS FIRST) AS upto
-  FROM sized d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+         c.start + r.rate * row_number() OVER (PARTITION BY d.source ORDER BY class, lane, d.size, d.doc_id NULLS FIRST) AS upto
+  FROM placed d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN chosen c USING (name))
 SELECT doc_id, size, source_size, target, ((upto >> 24) - ((upto - rate) >> 24)) * size AS taken FROM p
 """
