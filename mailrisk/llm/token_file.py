@@ -29,7 +29,7 @@ MAX_CODE_BITS = 18
 CHECKPOINT = 256
 BLOCK_TOKENS = 1 << 18
 #: Bytes of text per part of the id range.
-PART_BYTES = 32 << 20
+PART_BYTES = 64 << 20
 _STEP_BYTES = 1 << 20
 
 
