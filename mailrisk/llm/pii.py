@@ -305,7 +305,7 @@ BEYOND = -1
 _CELLS = 1 << 16
 
 
-def _chains(tokens: list[tuple[int, int]], kinds: list[str]) -> Iterator[tuple[int, int]]:
+def _chains(kinds: list[str]) -> Iterator[tuple[int, int]]:
     """Runs of tokens within ``REACH`` of a loud one.
 
     Every other token is O by rule, in training data too: a span has a loud
@@ -337,7 +337,7 @@ def field_spans(texts: list[str], field: ShapeField) -> list[list[tuple[str, int
     for row, text in enumerate(texts):
         for tokens in _neighbourhoods(text):
             kinds = [shape(text[a:b]) for a, b in tokens]
-            for a, b in _chains(tokens, kinds):
+            for a, b in _chains(kinds):
                 chains.append((row, tokens[a:b], [field.shapes.get(k, other) for k in kinds[a:b]]))
     chains.sort(key=lambda c: (len(c[2]), c[0], c[1][0]))
     at = 0

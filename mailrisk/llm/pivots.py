@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mailrisk.llm.common import bounded_sample, components, heavy_join, store
 from mailrisk.llm.hnsw import usable
+from mailrisk.operators.joins import lookup_join
 
 #: Reference points for the vectors of each length, at most.
 PIVOTS = 256
@@ -179,8 +180,8 @@ def link_classes(classes: DataFrame, least: float = MIN_COSINE, shared: int = SH
     members = entries.groupBy("label", "dim", "pivot").agg(F.count(F.lit(1)).alias("members"))
     long = store(members.filter(F.col("members") > BLOCK), "pivot-lists")
     long = long.select("label", "dim", "pivot", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    # lists of more than BLOCK members are few: at most (NEAREST - SHARED + 1) / BLOCK of the rows
-    placed = entries.join(long, ["label", "dim", "pivot"], "left")
+    # broadcast if its size allows, else by (list, salt): a long list is many tasks either way
+    placed = lookup_join(entries, long, ["label", "dim", "pivot"], spread="rep")
     blocks = F.coalesce("blocks", F.lit(1))
     block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     placed = placed.withColumn("blocks", blocks).withColumn("block", block)

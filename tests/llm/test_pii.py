@@ -136,7 +136,7 @@ def test_neighbourhoods_give_what_the_whole_text_gives(field):
         other = len(field.shapes)
         wide = pii.ShapeField(field.shapes, np.pad(field.emit, ((0, 0), (0, 1), (0, 0))), field.move, field.first)
         want = []
-        for a, b in pii._chains(tokens, kinds):
+        for a, b in pii._chains(kinds):
             row = np.array([[field.shapes.get(k, other) for k in kinds[a:b]]])
             want += pii._spans_of(tokens[a:b], pii.viterbi(wide, row)[0])
         assert pii.field_spans([text], field)[0] == sorted(want, key=lambda s: s[1])
