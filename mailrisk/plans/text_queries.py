@@ -491,7 +491,7 @@ def _compared(spark, d):
     pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"))
     talks = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
     others = {"good-users": pages, "phish-users": talks}
-    return jobs.compare_embeddings(corpus, others, "phish", "not-phish", per_set=40)
+    return jobs.compare_embeddings(corpus, others, "phish", "not-phish")
 
 
 _SET_VALUES = f"""SELECT split_part(id, ':', 1) AS dataset, id, pos, x FROM (

@@ -1,0 +1,16 @@
+"""The comparison of embedding sets counts all rows of the sets."""
+
+import pytest
+from compare import connect, difference
+
+import __spark_entry__ as entry
+from mailrisk.plans import text_queries as Q
+
+
+@pytest.mark.parametrize("name", ["embedding_comparison", "embedding_map"])
+def test_every_row_of_the_sets_counts(spark, sf_dir, name):
+    con = connect(sf_dir)
+    assert con.sql(f"SELECT max(n) FROM (SELECT count(*) AS n FROM ({Q._COMPARED}) GROUP BY dataset)").fetchall()[0][0] > 40
+    whole = entry.oracle_sql()[name].replace(Q._PICKED, Q._COMPARED)
+    assert "<= 40" not in whole
+    assert difference(entry.queries()[name](spark, sf_dir).toArrow(), con.sql(whole).to_arrow_table()) is None
