@@ -59,8 +59,9 @@ class Encoder:
     """Ids of a text as little-endian bytes, two or four a token.
 
     Texts of common characters are cut into the tokenizer's own pieces, and the
-    library's model gives the ids of a piece, most pieces once.  Any other text, or
-    any other kind of tokenizer, is encoded by the library as a whole.
+    library's model gives the ids of a piece, most pieces once.  Any other text, one
+    that holds the name of an added token, or any other kind of tokenizer, is encoded
+    by the library as a whole.
     """
 
     def __init__(self, definition: str):
@@ -68,8 +69,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(definition)
-        self._tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         spec = json.loads(definition)
+        self._added = [t["content"] for t in spec.get("added_tokens") or []]  # their names in a text are one id each
         cut = spec.get("pre_tokenizer") or {}
         self._by_piece = (
             not spec.get("normalizer")
@@ -86,7 +87,7 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self._by_piece and _PLAIN.fullmatch(text):
+        if self._by_piece and _PLAIN.fullmatch(text) and not any(name in text for name in self._added):
             return b"".join(map(self._pieces.__getitem__, _PIECE.findall(text)))
         return self._encode(text)
 
