@@ -173,7 +173,8 @@ def search(graph: Graph, query_ids: np.ndarray, queries: np.ndarray, top: int =
             if len(near) > top and s > near[-1][0]:
                 break
             # of equal vectors only the smallest ids can be among the nearest
-            near += [(s, int(i)) for i in graph.owners[p][: top + 1] if i != query_id]
+            own = graph.owners[p]
+            near += [(s, int(i)) for i in own[own != query_id][:top]]
             near.sort()
         out += [(query_id, i, s) for s, i in near[:top]]
     return out
