@@ -139,12 +139,13 @@ def _gradients(net: ByteNetwork, x: np.ndarray, y: np.ndarray) -> list[np.ndarra
 def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> ByteNetwork | None:
     """The network learned from rows with a label and a letter in their text; None if there are none.
 
-    Learns from at most ``sample`` documents, the same share of each label's
-    rows unless that leaves a label out: each label has at least
-    ``sample / 20`` of its rows, or all.
+    Learns from about ``sample`` documents, the same share of each label's
+    rows unless that leaves a label out: each label, however many there are,
+    has about ``sample / 20`` of its rows at least, or all.  So the sample, which
+    the driver holds, grows by that much a label.
     """
     usable = df.filter(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(id_col, text_col, label_col)
-    counts = {r[0]: r[1] for r in usable.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(sample // 20).collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy(label_col).count().collect()}
     if not counts:
         return None
     total = sum(counts.values())
@@ -163,7 +164,7 @@ def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, sample: int =
     # a few windows of each document leave the executors, never a text
     kind = picked.schema["label"].dataType.simpleString()
     learned = picked.mapInArrow(cut, f"at bigint, label {kind}, windows binary")
-    rows = learned.orderBy("at", "label", "windows").limit(2 * sample).collect()
+    rows = learned.orderBy("at", "label", "windows").limit(max(2 * sample, sample + len(counts) * sample // 20)).collect()
     classes = sorted(counts)
     x = [np.frombuffer(r["windows"], dtype=np.uint8).reshape(-1, WINDOW) for r in rows]
     y = np.repeat([classes.index(r["label"]) for r in rows], [len(w) for w in x])
