@@ -482,7 +482,6 @@ def _(spark, d):
 # The labelled documents are the corpus; pages and conversations are the sets it is held against.
 _COMPARED = """SELECT doc_id AS id, text, CASE toxic WHEN 1 THEN 'phish' ELSE 'not-phish' END AS dataset FROM documents JOIN labels USING (doc_id) WHERE toxic IN (0, 1)
   UNION ALL SELECT page_id, html, 'good-users' FROM pages UNION ALL SELECT conv_id * 100 + turn, text, 'phish-users' FROM conversations"""
-_PICKED = f"SELECT * FROM ({_COMPARED}) QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY md5(id || '/42'), id) <= 40"
 _SET_NAMES = ["phish", "not-phish", "good-users", "phish-users"]
 
 
@@ -495,12 +494,12 @@ def _compared(spark, d):
 
 
 _SET_VALUES = f"""SELECT split_part(id, ':', 1) AS dataset, id, pos, x FROM (
-  {_embedded_sql(f"SELECT dataset || ':' || id AS id, text FROM ({_PICKED})")})"""
+  {_embedded_sql(f"SELECT dataset || ':' || id AS id, text FROM ({_COMPARED})")})"""
 
 
 @query(
     "embedding_comparison",
-    f"""WITH v AS MATERIALIZED ({_SET_VALUES}), n AS (SELECT dataset, count(*) AS n FROM ({_PICKED}) GROUP BY dataset),
+    f"""WITH v AS MATERIALIZED ({_SET_VALUES}), n AS (SELECT dataset, count(*) AS n FROM ({_COMPARED}) GROUP BY dataset),
     c AS (SELECT dataset, pos, sum(x) / any_value(n) AS m, sum(x / len) / any_value(n) AS u
       FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY id)) AS len FROM v) JOIN n USING (dataset) GROUP BY dataset, pos),
     p AS (SELECT a.dataset AS set_a, b.dataset AS set_b, sum(a.m * b.m) AS dot, sum(a.u * b.u) AS mean FROM c a JOIN c b ON a.pos = b.pos GROUP BY ALL),
@@ -516,8 +515,8 @@ def _(spark, d):
 
 @query(
     "embedding_map",
-    f"""SELECT dataset, count(*) AS n, 0.0::DOUBLE AS rest FROM ({_PICKED}) WHERE dataset <> 'phish-users' GROUP BY dataset
-    UNION ALL SELECT dataset || ' of two', count(*), 0.0 FROM ({_PICKED}) WHERE dataset IN ('phish', 'not-phish') GROUP BY dataset""",
+    f"""SELECT dataset, count(*) AS n, 0.0::DOUBLE AS rest FROM ({_COMPARED}) WHERE dataset <> 'phish-users' GROUP BY dataset
+    UNION ALL SELECT dataset || ' of two', count(*), 0.0 FROM ({_COMPARED}) WHERE dataset IN ('phish', 'not-phish') GROUP BY dataset""",
 )
 def _(spark, d):
     """Rows of three sets, then of two, on their plane: how many of each, and how far off zero all coordinates sum up."""
