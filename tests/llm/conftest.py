@@ -20,9 +20,7 @@ def plain_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 #: Texts every text operator must take: null, empty, white space, one word, marks, letters of many kinds, very long.
