@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrisk.llm import hnsw, langid, mixing, packing, pii, pivots, quality, search, simhash, token_file, warc
+from mailrisk.llm import collocation, hnsw, langid, mixing, packing, pii, pivots, quality, search, simhash, token_file, warc
 from mailrisk.llm.tokens import share_tokenizer
 from mailrisk.session import scratch_path
 
@@ -83,6 +83,10 @@ def op10_embedding_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_copies(vectors, "vec_id", "embedding", "label").withColumnRenamed("id", "vec_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"), "text", "lang")
+
+
 def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return search.search(docs, "doc_id", "text", items, "item_id", "text")
@@ -92,7 +96,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_language, op3_token_file, op4_warc, op5_mixing, op6_personal_data, op7_quality, op8_packing,
-        op9_nearest, op10_embedding_copies, op12_search,
+        op9_nearest, op10_embedding_copies, op11_collocations, op12_search,
     )
 }
 
@@ -141,5 +145,6 @@ ORACLES: dict[str, str] = {
     "op5_mixing": mixing.ORACLE_SQL,
     "op9_nearest": _OP9,
     "op10_embedding_copies": _OP10,
+    "op11_collocations": collocation.ORACLE_SQL,
     "op12_search": search.ORACLE_SQL,
 }

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailrisk.llm.common import store
-from mailrisk.llm.tokenize import BREAK, byte_table, text_chunks, words_of
+from mailrisk.llm.tokenize import BREAK, byte_table, numbered, text_chunks, word_runs
 
 #: A term is a run of these bytes: digits, letters, and all of every character beyond ASCII.
 _TABLE = byte_table(lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)
@@ -45,7 +45,7 @@ SCALE, SATURATION, LENGTH = 1000, 12, 25
 
 
 def terms(text: str | None) -> list[bytes]:
-    return words_of([(text or "").encode()], _TABLE)
+    return [t for run in word_runs([(text or "").encode()], _TABLE) for t in run]
 
 
 class _Known(dict):
@@ -71,8 +71,7 @@ def postings(docs: DataFrame, id_col: str, text_col: str, vocabulary: list[bytes
         for batch in batches:
             ids, texts = batch.columns
             for first, held in text_chunks(texts):
-                found = words_of(held, _TABLE)
-                number = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+                number = numbered(held, _TABLE, known.__getitem__)
                 doc = np.cumsum(number == -2)
                 n = np.bincount(doc[number != -2], minlength=len(held))
                 hit = number >= 0
