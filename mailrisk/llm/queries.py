@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrisk.llm import collocation, hnsw, langid, mixing, packing, pii, pivots, quality, search, simhash, token_file, warc
+from mailrisk.llm import collocation, hnsw, langid, mixing, packing, pii, pivots, quality, search, simhash, token_file, warc, wrapper
 from mailrisk.llm.tokens import share_tokenizer
 from mailrisk.session import scratch_path
 
@@ -92,11 +92,15 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(docs, "doc_id", "text", items, "item_id", "text")
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_language, op3_token_file, op4_warc, op5_mixing, op6_personal_data, op7_quality, op8_packing,
-        op9_nearest, op10_embedding_copies, op11_collocations, op12_search,
+        op9_nearest, op10_embedding_copies, op11_collocations, op12_search, op13_main_text,
     )
 }
 
@@ -147,4 +151,5 @@ ORACLES: dict[str, str] = {
     "op10_embedding_copies": _OP10,
     "op11_collocations": collocation.ORACLE_SQL,
     "op12_search": search.ORACLE_SQL,
+    "op13_main_text": wrapper.ORACLE_SQL,
 }
