@@ -46,9 +46,10 @@ TOP = 2000
 
 #: Words a shard counts at most, and so what a task holds.
 SHARD_WORDS = 2_500_000
-#: Text bytes per prefix range, and most ranges; the ends of ranges, of at most 48 bytes a word, go to all tasks.
-RANGE_BYTES = 32 << 20
-MAX_RANGES = 1 << 16
+#: Text bytes per prefix range, by the memory of a task (about 40 bytes per byte of text at most), and most ranges:
+#: the ends of ranges, of at most 48 bytes a word, go to all tasks.
+RANGE_BYTES = 8 << 20
+MAX_RANGES = 1 << 18
 _CUT_BYTES = 48
 _MARK_EVERY = 256
 
