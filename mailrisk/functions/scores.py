@@ -95,3 +95,10 @@ def majority_vote(response: ColumnLike) -> Column:
     packed = F.upper(F.replace(F.coalesce(_col(response), F.lit("")), F.lit(" "), F.lit("")))
     votes = F.slice(F.regexp_extract_all(packed, F.lit("(TRUE|FALSE)"), 1), 1, 5)
     return F.when(F.size(F.filter(votes, lambda v: v == "TRUE")) >= 3, 1).otherwise(0)
+
+
+def answer_shares(answers: ColumnLike) -> Column:
+    """[share of no, share of yes] among a generator's outputs for one prompt; no output at all is a no."""
+    flags = F.transform(_col(answers), lambda a: parse_boolean(extract_answer(a)))
+    yes = F.coalesce(F.size(F.filter(flags, lambda f: f == 1)) / F.nullif(F.size(flags), F.lit(0)), F.lit(0.0))
+    return F.array(F.lit(1.0) - yes, yes)

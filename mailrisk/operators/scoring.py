@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
@@ -120,3 +121,57 @@ def external_model(
         return with_logits.withColumn(out, C.softmax("_logits")).drop("_logits")
 
     return TextModel(name, text_col, probabilities, classes)
+
+
+# Several answers to each of a list of prompts.
+Generator = Callable[[list[str], int], list[list[str]]]
+
+
+def prompted_answers(
+    df: DataFrame, text: str, make_generator: Callable[[], Generator], samples: int = 5, batch_size: int = 16, out: str = "answers"
+) -> DataFrame:
+    """Add the ``samples`` outputs of a text generator for the prompt of each text.
+
+    ``make_generator`` is called once in each Python worker.  The generator gets
+    up to ``batch_size`` prompts at a time, so that all samples of a prompt come
+    from one call; it may repeat the prompt before its answer.  A missing text
+    counts as empty.
+    """
+
+    def make_predict() -> Callable[[np.ndarray], np.ndarray]:
+        generate = make_generator()
+
+        def predict(prompts: np.ndarray) -> np.ndarray:
+            texts = [str(p) for p in prompts.reshape(-1)]
+            answers = generate(texts, samples)
+            if len(answers) != len(texts) or any(len(a) != samples for a in answers):
+                raise ValueError(f"a generator must give {samples} answers to each of {len(texts)} prompts")
+            table = np.empty((len(texts), samples), dtype=object)
+            table[:] = answers
+            return table
+
+        return predict
+
+    call = predict_batch_udf(make_predict, return_type=T.ArrayType(T.StringType()), batch_size=batch_size)
+    return df.withColumn(out, call(C.build_prompt(F.coalesce(F.col(text), F.lit("")))))
+
+
+def prompted_model(
+    name: str,
+    text_col: str,
+    make_generator: Callable[[], Generator],
+    samples: int = 5,
+    batch_size: int = 16,
+) -> TextModel:
+    """A text generator asked whether a text is phishing, several times over.
+
+    Each answer is read as a boolean, an unclear one as no; the label is the
+    majority's (a tie is no) and the score the share of answers that agree with
+    phishing.  Only the generator is Python, prompt, answers and vote are columns.
+    """
+
+    def probabilities(df: DataFrame, column: str, out: str) -> DataFrame:
+        answered = prompted_answers(df, column, make_generator, samples, batch_size, "_answers")
+        return answered.withColumn(out, C.answer_shares("_answers")).drop("_answers")
+
+    return TextModel(name, text_col, probabilities)

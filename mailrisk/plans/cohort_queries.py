@@ -162,24 +162,14 @@ def _mark(code):
     return lambda: lambda texts: [f"[{code}] {t}" for t in texts]
 
 
-_FR_MARK = "CASE WHEN d.lang = 'fr' THEN '[fr] ' ELSE '' END"
-
-
-@query(
-    "labeling_sheet",
-    f"""SELECT e.user_id, e.event_id::VARCHAR AS msg_id, e.ts::DATE::TIMESTAMP AS email_date, s.created_at,
-      d.lang, {_FR_MARK} || d.source AS subject, {_FR_MARK} || {I.clean_sql(I.shorten_sql('d.text'))} AS translated_text, {_LINK} AS "HTML_File_Link"
-    FROM events e JOIN ({I.SUSPENDED_SQL}) s ON e.user_id = s.user_id AND e.ts::DATE::TIMESTAMP > s.created_at - INTERVAL 3 DAY
-    JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents) LEFT JOIN labels l ON l.doc_id = e.event_id""",
-)
-def _(spark, d):
-    """The bodies are the documents, in turn."""
+def _sheet_mails(spark, d):
+    """Mails whose bodies are the documents, in turn."""
     docs = table(spark, d, "documents").select(
         "doc_id", "lang", F.col("source").alias("subject"), F.col("text").alias("email_text")
     )
     number = F.col("event_id") % docs.count()
     events = table(spark, d, "events").select("event_id", "user_id", "ts", number.alias("doc_id"))
-    mails = events.join(docs, "doc_id").select(
+    return events.join(docs, "doc_id").select(
         "user_id",
         F.col("event_id").cast("string").alias("msg_id"),
         F.col("ts").cast("date").cast("timestamp_ntz").alias("email_date"),
@@ -191,8 +181,20 @@ def _(spark, d):
         F.lit(1).alias("two_label"),
         F.lit(0.5).alias("two_score"),
     )
-    translators = {"fr": _mark("fr")}
-    return jobs.labeling_sheet(mails, _suspended(spark, d), _file_links(spark, d), translators)
+
+
+_FR_MARK = "CASE WHEN d.lang = 'fr' THEN '[fr] ' ELSE '' END"
+
+
+@query(
+    "labeling_sheet",
+    f"""SELECT e.user_id, e.event_id::VARCHAR AS msg_id, e.ts::DATE::TIMESTAMP AS email_date, s.created_at,
+      d.lang, {_FR_MARK} || d.source AS subject, {_FR_MARK} || {I.clean_sql(I.shorten_sql('d.text'))} AS translated_text, {_LINK} AS "HTML_File_Link"
+    FROM events e JOIN ({I.SUSPENDED_SQL}) s ON e.user_id = s.user_id AND e.ts::DATE::TIMESTAMP > s.created_at - INTERVAL 3 DAY
+    JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents) LEFT JOIN labels l ON l.doc_id = e.event_id""",
+)
+def _(spark, d):
+    return jobs.labeling_sheet(_sheet_mails(spark, d), _suspended(spark, d), _file_links(spark, d), {"fr": _mark("fr")})
 
 
 @query(

@@ -15,6 +15,7 @@ from mailrisk.operators.language import Translator, detect_language, translate
 from mailrisk.operators.scoring import TextModel, score_all
 from mailrisk.session import stored
 from mailrisk.sources import readers, writers
+from mailrisk.sources.runs import Output, run_job
 
 
 def ingest(
@@ -96,6 +97,23 @@ def preprocess(
     return translate(df, translators, {"cleaned_text": "translated_text", "subject": "subject"})
 
 
+def write_preprocessed(
+    extracted: DataFrame,
+    path: str,
+    translators: Mapping[str, Callable[[], Translator]] | None = None,
+    msg_id: str = "msg_id",
+    source: str = "s3_path",
+) -> int:
+    """Preprocess the mails of new sources into ``texts`` and ``domains`` (a row per mail and link domain)."""
+
+    def domains(_todo: DataFrame, done: dict[str, DataFrame]) -> DataFrame:
+        each = F.explode(F.split("url_domains", " "))
+        return done["texts"].select(msg_id, each.alias("domain")).filter("domain <> ''")
+
+    outputs = [Output("texts", lambda todo, _: preprocess(todo, translators)), Output("domains", domains)]
+    return run_job(extracted, path, outputs, spread=msg_id, source=source)
+
+
 def labeling_sheet(
     mails: DataFrame,
     suspended: DataFrame,
@@ -113,6 +131,24 @@ def labeling_sheet(
     return rows.drop_matching(rows.drop_columns(linked, *dropped), ("_label", "_score"))
 
 
+def write_labeling_sheet(
+    mails: DataFrame,
+    suspended: DataFrame,
+    links: DataFrame,
+    path: str,
+    translators: Mapping[str, Callable[[], Translator]] | None = None,
+    days: int = 3,
+    source: str = "s3_path",
+    order: tuple[str, ...] = ("user_id", "msg_id"),
+) -> int:
+    """Labelling sheet of new sources as numbered CSV, ``sheet``, and in ``unmapped`` how many of its mails have no file."""
+    outputs = [
+        Output("sheet", lambda todo, _: labeling_sheet(todo, suspended, links, translators, days), csv=True, number_by=order),
+        Output("unmapped", lambda _, done: cohort.count_unmapped(done["sheet"], links)),
+    ]
+    return run_job(mails, path, outputs, spread="msg_id", source=source)
+
+
 def score(
     mails: DataFrame,
     models: list[TextModel],
@@ -133,6 +169,23 @@ def score(
     return score_all(df, models)
 
 
+def write_scores(
+    mails: DataFrame,
+    models: list[TextModel],
+    path: str,
+    translators: Mapping[str, Callable[[], Translator]] | None = None,
+    source: str = "s3_path",
+) -> int:
+    """Score the mails of new sources: ``scores`` has every model's columns, ``figures`` the counts and shares of each model."""
+    names = [m.name for m in models]
+
+    def figures(_todo: DataFrame, done: dict[str, DataFrame]) -> DataFrame:
+        return report.model_report(report.long_scores(done["scores"], names, []), ["model"])
+
+    outputs = [Output("scores", lambda todo, _: score(todo, models, translators)), Output("figures", figures)]
+    return run_job(mails, path, outputs, spread="msg_id", source=source)
+
+
 def review_sample(
     frames: dict[str, DataFrame], score_col: str, n: int = 50, key: str = "msg_id"
 ) -> DataFrame:

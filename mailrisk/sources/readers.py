@@ -89,7 +89,7 @@ def scan_parquet(spark: SparkSession, *paths: str, schema: T.StructType | None =
     return reader.parquet(*paths)
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
     """Headered CSV whose cells may hold quotes and line breaks."""
     return (
         spark.read.schema(schema)
@@ -99,6 +99,7 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         .option("escape", '"')
         # an empty cell is null and a quoted empty cell is "": no text may stand for null
         .option("nullValue", "\x00")
+        .options(**options)
         .csv(path)
     )
 

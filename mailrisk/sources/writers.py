@@ -20,7 +20,7 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_csv(
-    df: DataFrame, path: str, mode: str = "overwrite", number_by: list[str] | None = None
+    df: DataFrame, path: str, mode: str = "overwrite", number_by: list[str] | None = None, **options: str
 ) -> None:
     """Headered CSV; cells with quotes or line breaks read back unchanged.
 
@@ -38,6 +38,7 @@ def write_csv(
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", "false")
         .option("ignoreTrailingWhiteSpace", "false")
+        .options(**options)
         .csv(path)
     )
 
