@@ -259,6 +259,48 @@ def _(spark, d):
     return out.drop("originating_ip")
 
 
+# Networks in networks: a nation's first octet, in it those of suppliers (16 bits) and of customers (24 and 28 bits).
+_NETWORKS = """SELECT (n_nationkey::BIGINT + 1) * 16777216 AS start, 8 AS bits, n_name AS country FROM nation WHERE n_nationkey % 5 <> 4
+  UNION ALL SELECT (s_suppkey::BIGINT % 40) * 16777216 + (s_suppkey::BIGINT % 256) * 65536, 16, CASE WHEN s_suppkey % 9 > 0 THEN 'S' || s_nationkey END FROM supplier
+  UNION ALL SELECT (c_custkey::BIGINT % 40) * 16777216 + (c_custkey::BIGINT % 256) * 65536 + (c_custkey::BIGINT % 250) * 256, 24, 'C' || c_nationkey FROM customer
+  UNION ALL SELECT (c_custkey::BIGINT % 60) * 16777216 + (c_custkey::BIGINT * 3 % 256) * 65536 + (c_custkey::BIGINT % 250) * 256 + 240, 28, 'D' || c_nationkey FROM customer"""
+
+
+def _networks(spark, d):
+    def written(name, key, octets, bits, country):
+        k = F.col(key).cast("bigint")
+        text = F.concat_ws(".", *[o(k).cast("string") for o in octets])
+        return table(spark, d, name).select(F.concat(text, F.lit(f"/{bits}")).alias("network"), country.alias("country"))
+
+    def zero(k):
+        return F.lit(0)
+
+    nation = written("nation", "n_nationkey", [lambda k: k + 1, zero, zero, lambda k: F.lit(9)], 8, F.col("n_name"))
+    nation = nation.join(table(spark, d, "nation").filter("n_nationkey % 5 <> 4").select(F.col("n_name").alias("country")), "country")
+    wide = F.when(F.col("s_suppkey") % 9 > 0, F.concat(F.lit("S"), F.col("s_nationkey").cast("string")))
+    supplier = written("supplier", "s_suppkey", [lambda k: k % 40, lambda k: k % 256, lambda k: F.lit(7), zero], 16, wide)
+    of = [F.concat(F.lit(x), F.col("c_nationkey").cast("string")) for x in "CD"]
+    customer = written("customer", "c_custkey", [lambda k: k % 40, lambda k: k % 256, lambda k: k % 250, lambda k: F.lit(1)], 24, of[0])
+    narrow = written("customer", "c_custkey", [lambda k: k % 60, lambda k: k * 3 % 256, lambda k: k % 250, lambda k: F.lit(255)], 28, of[1])
+    return nation.select("network", "country").union(supplier).union(customer).union(narrow)
+
+
+@query(
+    "ip_country_nested",
+    f"""WITH n AS (SELECT start, bits, min(country) AS country FROM ({_NETWORKS}) GROUP BY ALL),
+    m AS (SELECT *, CASE WHEN originating_ip LIKE '%.%' THEN {_IP_NUMBER} END AS ip FROM ({_IP_MAILS})),
+    p AS (SELECT event_id, originating_ip, CASE WHEN NOT ({_PRIVATE}) THEN ip END AS ip FROM m)
+    SELECT event_id, originating_ip, CASE WHEN d.bits > 0 THEN d.country WHEN c.bits > 0 THEN c.country
+      WHEN b.bits > 0 THEN b.country WHEN a.bits > 0 THEN a.country ELSE 'N/A' END AS originating_ip_country
+    FROM p LEFT JOIN n a ON a.bits = 8 AND a.start = ip - ip % 16777216 LEFT JOIN n b ON b.bits = 16 AND b.start = ip - ip % 65536
+    LEFT JOIN n c ON c.bits = 24 AND c.start = ip - ip % 256 LEFT JOIN n d ON d.bits = 28 AND d.start = ip - ip % 16""",
+)
+def _(spark, d):
+    """The narrowest network around an address counts."""
+    v4, _v6 = geo.cidr_ranges(_networks(spark, d))
+    return geo.ip_country(_ip_mails(spark, d), v4, spread="event_id", nested=True)
+
+
 @query(
     "overlapping_ranges",
     f"""SELECT DISTINCT b.start_ip, b.end_ip, b.country FROM (SELECT start_ip, end_ip + 20000000 AS end_ip, country FROM ({I.RANGES_SQL})) a
