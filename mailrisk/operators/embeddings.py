@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, CountVectorizerModel, Normalizer, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import PCA, CountVectorizerModel, Normalizer, StandardScaler, Word2Vec
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailrisk.functions import vectors as V
 from mailrisk.operators.bayes import words
+from mailrisk.operators.joins import lookup_join
 
 
 def _doubles(c: Column) -> Column:
@@ -144,3 +150,109 @@ def embed_text(
     counted = counter.transform(df.withColumn("_places", places))
     scaled = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(counted)
     return scaled.select(*df.columns, vector_to_array("_unit", "float32").alias(out))
+
+
+# --- principal axes ----------------------------------------------------------------
+
+
+def covariance(df: DataFrame, vector: str = "embedding") -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, mean, covariance) of vectors of one length, null and ragged ones left out, in one pass.
+
+    Each task sums its vectors and their products, relative to a first row; the sums
+    of tasks are added in Spark, and one d x d table comes to the driver.
+    """
+    rows = df.filter(F.col(vector).isNotNull()).select(_doubles(F.col(vector)).alias("x"))
+    first = rows.first()
+    if first is None:
+        raise ValueError("no vectors")
+    shift, d = np.array(first["x"]), len(first["x"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, product = 0, np.zeros(d), np.zeros((d, d))
+        for batch in batches:
+            lists = batch.column(0)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, d) - shift
+            n, total, product = n + len(flat), total + flat.sum(0), product + flat.T @ flat
+        if n:
+            values = np.concatenate([[n], total, product[np.triu_indices(d)]])
+            yield pa.RecordBatch.from_arrays([pa.array([values], pa.list_(pa.float64()))], names=["s"])
+
+    parts = rows.filter(F.size("x") == d).mapInArrow(sums, "s array<double>")
+    total = np.array(parts.agg(vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s")).first()["s"])
+    n, mean, upper = int(total[0]), total[1 : d + 1] / total[0], total[d + 1 :]
+    product = np.zeros((d, d))
+    product[np.triu_indices(d)] = upper
+    product = product + np.triu(product, 1).T
+    return n, mean + shift, (product - n * np.outer(mean, mean)) / max(1, n - 1)
+
+
+def principal_axes(df: DataFrame, k: int = 2, vector: str = "embedding") -> DataFrame:
+    """(axis, variance, share, residual, direction) of the ``k`` directions of largest variance.
+
+    ``share`` is the axis' part of all variance; ``residual`` is how far the
+    direction is from the eigen equation of the covariance.
+    """
+    _, _, cov = covariance(df, vector)
+    values, vectors = np.linalg.eigh(cov)
+    rows = []
+    for i in range(1, min(k, len(values)) + 1):
+        v = vectors[:, -i] * (1.0 if vectors[np.argmax(np.abs(vectors[:, -i])), -i] > 0 else -1.0)
+        off = float(np.linalg.norm(cov @ v - values[-i] * v))
+        rows.append((i, float(values[-i]), float(values[-i] / max(np.trace(cov), 1e-300)), off, v.tolist()))
+    return df.sparkSession.createDataFrame(rows, "axis int, variance double, share double, residual double, direction array<double>")
+
+
+# --- token vectors -------------------------------------------------------------------
+
+# Texts to their tokens' vectors (texts, tokens, d) and the mask (texts, tokens); shorter texts are padded with mask 0.
+Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+
+
+def encode_tokens(
+    df: DataFrame, key: str, text: str, make_encoder: Callable[[], Encoder], dim: int, batch_size: int = 32
+) -> DataFrame:
+    """Token table (doc, pos, mask, vec) of an encoder outside Spark, for ``mean_pool`` and ``first_token_pool``.
+
+    ``make_encoder`` is called once in each Python worker, the encoder on up to
+    ``batch_size`` texts.  Padding stays in the table with mask 0; a missing text
+    counts as empty.  Rows of one ``key`` are one document.
+    """
+
+    def make_predict() -> Callable[[np.ndarray], dict[str, np.ndarray]]:
+        encode = make_encoder()
+
+        def predict(texts: np.ndarray) -> dict[str, np.ndarray]:
+            vectors, mask = encode([str(t) for t in texts.reshape(-1)])
+            if vectors.shape != (len(texts), mask.shape[1], dim):
+                raise ValueError(f"an encoder must give vectors of {dim} values for each of {mask.shape[1]} tokens")
+            return {"vecs": vectors.reshape(len(texts), -1).astype(np.float32), "mask": mask.astype(np.int32)}
+
+        return predict
+
+    result = T.StructType([T.StructField("vecs", T.ArrayType(T.FloatType())), T.StructField("mask", T.ArrayType(T.IntegerType()))])
+    call = predict_batch_udf(make_predict, return_type=result, batch_size=batch_size)
+    encoded = df.select(F.col(key).alias("doc"), call(F.coalesce(F.col(text), F.lit(""))).alias("_e"))
+    place = F.col("pos") * dim + 1
+    tokens = encoded.select("doc", "_e.vecs", F.posexplode("_e.mask").alias("pos", "mask"))
+    return tokens.select("doc", "pos", "mask", F.slice("vecs", place, F.lit(dim)).alias("vec"))
+
+
+def learn_word_vectors(df: DataFrame, text: str, dim: int = 64, min_count: int = 5, window: int = 5, seed: int = 42) -> DataFrame:
+    """(word, vec): vectors of the words with at least ``min_count`` occurrences, from the words they stand among.
+
+    Learned by Spark's Word2Vec, whose table of words is held by the driver: raise
+    ``min_count`` with the corpus.  Texts are cut into sentences of 1,000 words.
+    """
+    model = Word2Vec(
+        vectorSize=dim, minCount=min_count, windowSize=window, maxSentenceLength=1000, seed=seed, maxIter=2,
+        numPartitions=max(1, min(16, df.rdd.getNumPartitions())), inputCol="_words", outputCol="_mean",
+    )
+    fitted = model.fit(df.select(words(F.col(text)).alias("_words")))
+    return fitted.getVectors().select("word", vector_to_array("vector", "float32").alias("vec"))
+
+
+def word_tokens(df: DataFrame, key: str, text: str, vectors: DataFrame) -> DataFrame:
+    """Token table (doc, pos, mask, vec) with the learned vector of each word; words without one are left out."""
+    found = df.select(F.col(key).alias("doc"), F.posexplode(words(F.col(text))).alias("pos", "word"))
+    known = lookup_join(found, vectors, "word", spread="doc", how="inner")
+    return known.select("doc", "pos", F.lit(1).alias("mask"), "vec")

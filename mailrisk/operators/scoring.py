@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailrisk.functions import scores as C
-from mailrisk.operators.bayes import fit_bayes, words
+from mailrisk.operators.bayes import features, fit_bayes, words
 
 # Adds an array of class probabilities under the given name.
 Probabilities = Callable[[DataFrame, str, str], DataFrame]
@@ -28,12 +28,17 @@ _RULES = {
 
 @dataclass(frozen=True)
 class TextModel:
-    """A classifier by name, the text column it reads, and how its classes map to a label."""
+    """A classifier by name, the text column it reads, and how its classes map to a label.
+
+    A model that works on word counts has ``from_counts`` too, which takes the
+    column of counts for the text: ``score_all`` counts once for all such models.
+    """
 
     name: str
     text_col: str
     probabilities: Probabilities
     classes: str = "two_class"
+    from_counts: Probabilities | None = None
 
     @property
     def label_col(self) -> str:
@@ -44,29 +49,44 @@ class TextModel:
         return C.score_column_name(self.label_col)
 
 
-def classify_text(df: DataFrame, model: TextModel) -> DataFrame:
-    """Add ``<model>_label`` and ``<model>_score``; a missing text counts as empty."""
-    text, probs = f"_{model.name}_text", f"_{model.name}_probs"
-    filled = df.withColumn(text, F.coalesce(F.col(model.text_col), F.lit("")))
-    scored = model.probabilities(filled, text, probs)
+def _filled(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    return df.withColumn(name, F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _labelled(df: DataFrame, scored: DataFrame, model: TextModel, probs: str) -> DataFrame:
     label, score = _RULES[model.classes]
     return scored.select(
         *df.columns, label(probs).alias(model.label_col), score(probs).alias(model.score_col)
     )
 
 
+def classify_text(df: DataFrame, model: TextModel) -> DataFrame:
+    """Add ``<model>_label`` and ``<model>_score``; a missing text counts as empty."""
+    text, probs = f"_{model.name}_text", f"_{model.name}_probs"
+    scored = model.probabilities(_filled(df, model.text_col, text), text, probs)
+    return _labelled(df, scored, model, probs)
+
+
 def score_all(df: DataFrame, models: list[TextModel]) -> DataFrame:
-    """Every model's columns on one lazy frame."""
+    """Every model's columns on one lazy frame; words of a text column are counted once for all models."""
+    columns = df.columns
+    counted = {c: f"_counts{i}" for i, c in enumerate(dict.fromkeys(m.text_col for m in models if m.from_counts))}
+    for column, name in counted.items():
+        df = features(_filled(df, column, f"{name}_text"), f"{name}_text", words, name).drop(f"{name}_text")
     for model in models:
-        df = classify_text(df, model)
-    return df
+        if model.from_counts:
+            probs = f"_{model.name}_probs"
+            df = _labelled(df, model.from_counts(df, counted[model.text_col], probs), model, probs)
+        else:
+            df = classify_text(df, model)
+    return df.select(*columns, *[c for m in models for c in (m.label_col, m.score_col)])
 
 
 def bayes_model(
     name: str, train: DataFrame, text: str, label: str, text_col: str | None = None
 ) -> TextModel:
     fitted = fit_bayes(train, text, label)
-    return TextModel(name, text_col or text, fitted.probabilities)
+    return TextModel(name, text_col or text, fitted.probabilities, from_counts=fitted.from_features)
 
 
 def logistic_model(

@@ -348,11 +348,14 @@ def language_sql(texts: str) -> str:
         return f"""SELECT * EXCLUDE (word), unnest(list_transform(range(1, length(word) + 1), lambda i: substr(' ' || word || ' ', i::INT, 3))) AS gram
           FROM (SELECT * EXCLUDE (text), unnest(list_filter({_LETTERS}, lambda x: x <> '')) AS word FROM ({source}))"""
 
-    return f"""WITH lg AS (SELECT lang, {I.slot_sql('gram')} AS slot, count(*) AS n FROM ({grams('SELECT lang, text FROM documents')}) GROUP BY ALL),
+    return f"""WITH rl AS (SELECT lang, gram, count(*) AS n FROM ({grams('SELECT lang, text FROM documents')}) GROUP BY ALL),
+  x AS ({texts}),
+  rx AS (SELECT id, gram, count(*) AS n FROM ({grams('SELECT * FROM x')}) GROUP BY ALL),
+  gs AS MATERIALIZED (SELECT gram, {I.slot_sql('gram')} AS slot FROM (SELECT gram FROM rl UNION SELECT gram FROM rx)),
+  lg AS (SELECT lang, slot, sum(n) AS n FROM rl JOIN gs USING (gram) GROUP BY ALL),
   tot AS (SELECT lang, sum(n) AS total FROM lg GROUP BY lang),
   pri AS (SELECT lang, ln(count(*) + 1.0) - ln(sum(count(*)) OVER () + count(*) OVER ()) AS pi FROM documents GROUP BY lang),
-  x AS ({texts}),
-  dg AS (SELECT id, {I.slot_sql('gram')} AS slot, count(*) AS n FROM ({grams('SELECT * FROM x')}) GROUP BY ALL),
+  dg AS (SELECT id, slot, sum(n) AS n FROM rx JOIN gs USING (gram) GROUP BY ALL),
   hit AS (SELECT id, lang, sum(dg.n * ln(lg.n + 1.0)) AS s FROM dg JOIN lg USING (slot) GROUP BY ALL),
   len AS (SELECT x.id, coalesce(sum(n), 0) AS n FROM x LEFT JOIN dg USING (id) WHERE regexp_matches(text, '\\p{{L}}') GROUP BY x.id),
   sc AS (SELECT len.id, tot.lang, pi + coalesce(hit.s, 0) - len.n * ln(total + {SLOTS}.0) AS score

@@ -249,6 +249,21 @@ def _(spark, d):
     )
 
 
+@query("drop_empty_frames", "SELECT o_orderstatus, 2 * count(*) AS n FROM orders GROUP BY o_orderstatus")
+def _(spark, d):
+    """Files without rows, a frame without rows and an empty line file add nothing."""
+    path = scratch_path(spark, "empty")
+    orders = table(spark, d, "orders").select("o_orderstatus")
+    orders.write.parquet(f"{path}/full")
+    orders.limit(0).write.parquet(f"{path}/none")
+    orders.select(F.to_json(F.struct("o_orderstatus")).alias("value")).write.text(f"{path}/lines")
+    orders.limit(0).select("o_orderstatus").write.mode("append").text(f"{path}/lines")
+    files = readers.scan_parquet(spark, f"{path}/full", f"{path}/none")
+    lines = spark.read.schema(orders.schema).json(f"{path}/lines")
+    both = rows.union_frames(files, readers.scan_parquet(spark, f"{path}/none"), lines)
+    return both.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- projections and filters ---------------------------------------------------
 
 

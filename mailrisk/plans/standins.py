@@ -245,9 +245,36 @@ def document_messages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _let_sql(value: str, name: str, body: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _rotate_sql(x: str, bits: int) -> str:
+    return f"((({x} * {1 << bits}) & 4294967295) | ({x} >> {32 - bits}))"
+
+
 def slot_sql(term: str) -> str:
-    """The slot the text models keep a term in."""
-    return f"substr(md5({term}), 1, 4) || translate(substr(md5({term}), 5, 1), '0123456789abcdef', '0000111122223333')"
+    """The slot the text models keep a term in: MurmurHash3 of its UTF-8 bytes with seed 42, the last 18 bits."""
+
+    def times(x: str, by: int) -> str:
+        return f"(({x} * {by}::UBIGINT) & 4294967295)"
+
+    def mixed(k: str) -> str:
+        return times(_let_sql(times(k, 0xCC9E2D51), "k1", _rotate_sql("k1", 15)), 0x1B873593)
+
+    def number(start: str, count: str) -> str:
+        """``count`` bytes from byte ``start`` on, the lowest first."""
+        byte = f"('0x' || substr(h, 2 * ({start} + j) + 1, 2))::UBIGINT * (1::UBIGINT << (8 * j)::UBIGINT)"
+        return f"coalesce(list_sum(list_transform(range({count}), lambda j: {byte})), 0)::UBIGINT"
+
+    step = _let_sql("xor(a, b)", "x", f"(({_rotate_sql('x', 13)} * 5 + 3864292196) & 4294967295)")
+    blocks = f"list_transform(range(n // 4), lambda i: {mixed(number('4 * i', '4'))})"
+    body = f"list_reduce(list_prepend(42::UBIGINT, {blocks}), lambda a, b: {step})"
+    whole = f"xor(xor({body}, {mixed(number('n - n % 4', 'n % 4'))}), n::UBIGINT)"
+    first = _let_sql(whole, "f0", times("xor(f0, f0 >> 16)", 0x85EBCA6B))
+    second = _let_sql(first, "f1", times("xor(f1, f1 >> 13)", 0xC2B2AE35))
+    last = _let_sql(second, "f2", "(xor(f2, f2 >> 16) & 262143)")
+    return _let_sql(f"hex({term})", "h", _let_sql("length(h) // 2", "n", last))
 
 
 BLANKS_SQL = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

@@ -180,10 +180,13 @@ def bayes_sql(train: str, texts: str) -> str:
         return rf"""SELECT * EXCLUDE (text), unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}]+'), lambda x: x <> '')) AS word FROM ({source})"""
 
     return f"""WITH t AS ({train}), x AS ({texts}),
-  tw AS (SELECT y, {I.slot_sql('word')} AS slot, count(*) AS n FROM ({words('SELECT * FROM t')}) GROUP BY ALL),
+  rw AS (SELECT y, word, count(*) AS n FROM ({words('SELECT * FROM t')}) GROUP BY ALL),
+  rx AS (SELECT id, word, count(*) AS n FROM ({words('SELECT * FROM x')}) GROUP BY ALL),
+  ws AS MATERIALIZED (SELECT word, {I.slot_sql('word')} AS slot FROM (SELECT word FROM rw UNION SELECT word FROM rx)),
+  tw AS (SELECT y, slot, sum(n) AS n FROM rw JOIN ws USING (word) GROUP BY ALL),
   tot AS (SELECT y, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT y FROM t) LEFT JOIN tw USING (y) GROUP BY y),
   pri AS (SELECT y, ln(count(*) + 1.0) - ln(sum(count(*)) OVER () + count(*) OVER ()) AS pi FROM t GROUP BY y),
-  xw AS (SELECT id, {I.slot_sql('word')} AS slot, count(*) AS n FROM ({words('SELECT * FROM x')}) GROUP BY ALL),
+  xw AS (SELECT id, slot, sum(n) AS n FROM rx JOIN ws USING (word) GROUP BY ALL),
   len AS (SELECT id, sum(n) AS n FROM xw GROUP BY id),
   hit AS (SELECT id, y, sum(xw.n * ln(tw.n + 1.0)) AS s FROM xw JOIN tw USING (slot) GROUP BY ALL),
   sc AS (SELECT x.id, tot.y, pi + coalesce(s, 0) - coalesce(len.n, 0) * ln(total + {SLOTS}.0) AS s
@@ -337,9 +340,9 @@ def _(spark, d):
     frames = {}
     for kind, column in columns.items():
         models = [replace(m, text_col=column) for m in fitted.values()]
-        scored = scoring.score_all(mails, models).drop("body", "domains", "toxic", "quality")
         for i, name in enumerate(("Suspended User", "Good User")):
-            frames[name, kind] = scored.filter(F.col("doc_id") % 2 == i).drop("doc_id")
+            half = mails.filter(F.col("doc_id") % 2 == i).select(column)
+            frames[name, kind] = scoring.score_all(half, models).drop(column)
     out = jobs.score_report(frames, list(fitted), histograms=True)
     joined = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("histogram", "histogram_above")}
     return out.withColumns({"share": C.round6("share"), "mean_score": C.round6("mean_score"), **joined})
@@ -460,6 +463,99 @@ def _(spark, d):
     )
 
 
+def _axes_sql() -> str:
+    """Both largest variances by squaring: a high power of the covariance is all first axis, what is left all second."""
+
+    def powers(name: str) -> str:
+        out = ""
+        for i in range(_SQUARINGS):
+            last = name if i == 0 else f"{name}{i}"
+            out += f"""{name}{i + 1} AS MATERIALIZED (SELECT i, j, x / (sum(CASE WHEN i = j THEN x END) OVER ()) AS x FROM (
+              SELECT a.i, b.j, sum(a.x * b.x) AS x FROM {last} a JOIN {last} b ON a.j = b.i GROUP BY ALL)),"""
+        return out
+
+    top = "(SELECT sum(c.x * p.x) FROM {} c JOIN {}{} p ON c.i = p.j AND c.j = p.i)"
+    return f"""WITH v AS (SELECT id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM ({I.SETS_SQL})),
+    m AS (SELECT id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM v),
+    c AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) / (count(*) - 1) AS x FROM m a JOIN m b USING (id) GROUP BY ALL),
+    {powers('c')}
+    d AS MATERIALIZED (SELECT i, j, c.x - {top.format('c', 'c', _SQUARINGS)} * p.x AS x FROM c JOIN c{_SQUARINGS} p USING (i, j)),
+    {powers('d')}
+    t AS (SELECT sum(x) AS total FROM c WHERE i = j),
+    r AS (SELECT 1 AS axis, {top.format('c', 'c', _SQUARINGS)} AS variance UNION ALL SELECT 2, {top.format('d', 'd', _SQUARINGS)})
+    SELECT axis, round(variance, 6) AS variance, round(variance / total, 5) AS share, 0.0::DOUBLE AS residual FROM r, t"""
+
+
+_SQUARINGS = 12
+
+
+@query("principal_axes", _axes_sql())
+def _(spark, d):
+    """Variance along the two axes, and how far each is from the eigen equation."""
+    axes = E.principal_axes(I.embedding_sets(spark, d))
+    return axes.select("axis", C.round6("variance").alias("variance"), F.round("share", 5).alias("share"), (F.round("residual", 8) + 0.0).alias("residual"))
+
+
+def _letter_encoder():
+    """Stand-in for an encoder: a token per word of up to eight, its vector the counts of four letters and its length."""
+
+    def encode(texts):
+        found = [[w for w in t.split(" ") if w][:8] for t in texts]
+        wide = max([1, *map(len, found)])
+        vectors, mask = np.zeros((len(texts), wide, 5)), np.zeros((len(texts), wide))
+        for i, row in enumerate(found):
+            for j, w in enumerate(row):
+                vectors[i, j], mask[i, j] = [w.count("a"), w.count("e"), w.count("n"), w.count("r"), len(w)], 1
+        return vectors, mask
+
+    return encode
+
+
+_TOKENS_SQL = """SELECT doc, pos, w FROM (SELECT doc_id AS doc, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS pos
+  FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents)) WHERE pos < 8"""
+_LETTERS_SQL = "[" + ", ".join(f"(length(w) - length(replace(w, '{c}', '')))" for c in "aenr") + ", length(w)]"
+
+
+@query(
+    "encoder_mean_pool",
+    f"""SELECT doc, pos::INT AS pos, round(avg(x), 6) AS x FROM (SELECT doc, unnest({_LETTERS_SQL})::DOUBLE AS x, unnest(range(1, 6)) AS pos FROM ({_TOKENS_SQL}))
+    GROUP BY ALL""",
+)
+def _(spark, d):
+    """Token vectors of an encoder in batches, pooled without the padding."""
+    docs = spread_table(spark, d, "documents").select("doc_id", "text")
+    return _values(E.mean_pool(E.encode_tokens(docs, "doc_id", "text", _letter_encoder, 5)), "doc", "embedding").dropna()
+
+
+@query(
+    "encoder_first_token",
+    f"SELECT doc, unnest(range(1, 6))::INT AS pos, unnest({_LETTERS_SQL})::DOUBLE AS x FROM ({_TOKENS_SQL}) WHERE pos = 0",
+)
+def _(spark, d):
+    docs = spread_table(spark, d, "documents").select("doc_id", "text")
+    tokens = E.encode_tokens(docs, "doc_id", "text", _letter_encoder, 5).filter("mask = 1")
+    pooled = E.first_token_pool(tokens)
+    return _values(pooled.withColumn("embedding", F.col("embedding").cast("array<double>")), "doc", "embedding")
+
+
+_MIN_COUNT = 20
+
+
+@query(
+    "learned_embedding",
+    rf"""WITH w AS (SELECT conv_id * 1000 + turn AS doc, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}]+'), lambda x: x <> '')) AS w FROM conversations),
+    k AS (SELECT w FROM w GROUP BY w HAVING count(*) >= {_MIN_COUNT})
+    SELECT doc, count(*) AS n_tokens, 32 AS n_values FROM w JOIN k USING (w) GROUP BY doc""",
+)
+def _(spark, d):
+    """Words are learned from all turns; each turn's vector is the mean of its known words'."""
+    talks = spread_table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    tokens = E.word_tokens(talks, "id", "text", E.learn_word_vectors(talks, "text", dim=32, min_count=_MIN_COUNT))
+    counted = tokens.groupBy("doc").agg(F.count(F.lit(1)).alias("n_tokens"))
+    pooled = E.mean_pool(tokens)
+    return pooled.join(counted, "doc").select("doc", "n_tokens", F.size("embedding").alias("n_values"))
+
+
 def _square(a, b):
     gaps = F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y))
     return F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -153,15 +152,18 @@ def scan_embeddings(spark: SparkSession, *paths: str) -> DataFrame:
 def sample_files(
     spark: SparkSession, paths: Sequence[str], k: int, seed: int = 42
 ) -> DataFrame:
-    """All rows of ``k`` Parquet files picked at random below ``paths``.
+    """All rows of ``k`` Parquet files picked at random below ``paths``; files without rows are never picked.
 
-    The pick works on the file listing Spark already holds for the scan, so the
-    files that are not picked are never opened.
+    Tasks read no column, only how many rows a file has, and each hands over its
+    ``k`` first names by hash: the files that are not picked are never read, and
+    only ``k`` names come to the driver.
     """
     listing = scan_parquet(spark, *paths)
-    files = listing.inputFiles()
-    picked = sorted(files, key=lambda p: hashlib.md5(f"{seed}/{p}".encode()).hexdigest())[:k]
-    return spark.read.schema(listing.schema).parquet(*picked)
+    name = F.col("_metadata.file_path")
+    files = listing.select(name.alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    picked = files.select("path").orderBy(F.xxhash64("path", F.lit(seed)), "path").limit(k)
+    # a filter on the name leaves the other files out of the scan, and folder names stay columns
+    return listing.filter(name.isin([r["path"] for r in picked.collect()]))
 
 
 def split_bad_records(

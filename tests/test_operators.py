@@ -13,7 +13,7 @@ from mailrisk.functions import vectors as V
 from mailrisk.operators import cohort, geo, joins, ranking, report, rows
 from mailrisk.operators import embeddings as E
 from mailrisk.operators.language import fit_language, detect_language, translate
-from mailrisk.operators.bayes import SLOTS, fit_bayes, load_bayes, slot_counts, slot_names, trigrams, words
+from mailrisk.operators.bayes import SLOTS, features, fit_bayes, load_bayes, term_counts, trigrams, words
 from mailrisk.session import scratch_path
 from mailrisk.sources import readers
 
@@ -260,10 +260,35 @@ def test_a_rare_term_among_very_many_decides(spark):
 
 def test_slots(spark):
     df = spark.createDataFrame([("b b b a a c", "x"), ("c d", "y")], "t string, y string")
-    rows = slot_counts(df, "t", "y", words).collect()
-    assert sorted((r["_label"], r["_n"]) for r in rows) == [("x", 1), ("x", 2), ("x", 3), ("y", 1), ("y", 1)]
-    names = {r["_terms"][0] for r in slot_names(spark).collect()}
-    assert len(names) == SLOTS and all(r["_slot"] in names for r in rows)
+    rows = term_counts(df, "t", "y", words).collect()
+    assert sorted(tuple(r) for r in rows) == [("x", "a", 2), ("x", "b", 3), ("x", "c", 1), ("y", "c", 1), ("y", "d", 1)]
+
+
+def test_slots_in_sql_are_those_of_the_model(spark):
+    import duckdb
+
+    from mailrisk.plans.standins import slot_sql
+
+    terms = ["", "a", "ab", "abc", "abcd", "abcde", "é", "日本語", "x" * 77, " ab", "ñ 🙂"]
+    df = spark.createDataFrame([(t,) for t in terms], "t string")
+    vectors = [r["v"] for r in features(df, "t", lambda c: F.array(c), "v").collect()]
+    con = duckdb.connect()
+    want = [con.execute(f"SELECT {slot_sql('t')} FROM (SELECT ?::VARCHAR AS t)", [t]).fetchone()[0] for t in terms]
+    assert [int(v.indices[0]) for v in vectors] == want and max(want) < SLOTS
+
+
+def test_words_are_counted_once_for_all_models(spark):
+    from mailrisk.operators import scoring
+
+    df = spark.createDataFrame([("good day", 1), ("bad day", 0), (None, 1)], "t string, y int")
+    models = [scoring.bayes_model(f"m{i}", df, "t", "y") for i in range(3)]
+    assert len({m.text_col for m in models}) == 1
+    together = scoring.score_all(df, models)
+    assert plan(together).count("split(lower") == 1
+    single = df
+    for m in models:
+        single = scoring.classify_text(single, m)
+    assert together.columns == single.columns and sorted(together.collect(), key=str) == sorted(single.collect(), key=str)
 
 
 def test_trigrams(spark):
