@@ -304,12 +304,6 @@ BEYOND = -1
 _CELLS = 1 << 18
 
 
-def _chains(kinds: list[str]) -> Iterator[tuple[int, int]]:
-    """Runs of tokens the field tags as one: all tokens of the text."""
-    if kinds:
-        yield 0, len(kinds)
-
-
 class _Numbers(dict):
     """Shape number of a token; the first of them are remembered."""
 

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from mailrisk.llm.common import heavy_join, store
 
 #: Longest block of one record; a longer one is continued in further records.
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 8 << 10
 #: Length of a chunk of the transfer framing.
-CHUNK_BYTES = 64 << 10
+CHUNK_BYTES = 2 << 10
 #: Payload bytes per archive.
 ARCHIVE_BYTES = 64 << 20
 #: Payloads of at least so many bytes are stored once and revisited.
@@ -133,8 +133,8 @@ def write_archives(
     total = pages.agg(F.sum(F.octet_length(payload))).first()[0] or 0
     archives = max(1, -(-total // archive_bytes))
     elsewhere = store(revisits(pages, id_col, payload_col, min_bytes), "warc-revisits")
-    # pages without an id match nothing; a random key keeps them apart
-    key = F.coalesce(F.col("page_id"), F.xxhash64("digest", "url"))
+    # pages without an id match nothing; a key of the row keeps them apart, also equal ones
+    key = F.coalesce(F.col("page_id"), F.xxhash64("digest", F.monotonically_increasing_id()))
     dealt = rows.withColumn("_key", key).repartition(archives, "_key")
     known = elsewhere.withColumn("_key", F.col("page_id")).drop("page_id").repartition(archives, "_key")
     joined = dealt.join(known, ["_key", "digest"], "left").select("page_id", "url", "payload", "refers_to")
@@ -184,83 +184,87 @@ def _checked(payload: bytes, digest: str | None) -> bytes:
     return payload
 
 
-_PAGE = "page_id bigint, url string, record_type string, payload_digest string, refers_to bigint, payload binary"
-_PART = "origin string, number bigint, total bigint, page_id bigint, url string, payload_digest string, block binary"
+_PAGE = "page_id bigint, url string, record_type string, payload_digest string, refers_to bigint, payload binary, payload_bytes bigint"
+#: A record as it was read: a page, or with a ``number`` a segment whose block is in ``payload``.
+_RECORD = f"origin string, number bigint, total bigint, {_PAGE}"
 
 
-def _scan(spark: SparkSession, path: str, segments: bool) -> DataFrame:
-    """Whole records as pages, or the segments of the others."""
-    schema = _PART if segments else _PAGE
+def _scan(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
+    """Every record of the archives in one pass; whole ones are decoded and verified, without ``payloads`` only measured."""
+    names = [f.split()[0] for f in _RECORD.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in schema.split(", ")]
         for batch in batches:
             for content in batch.column("content"):
                 rows, held = [], 0
                 for fields, block in records_of(gunzipped(content.as_py())):
                     number = _number(fields, "warc-segment-number")
-                    if (number is not None) != segments:
-                        continue
                     kind, digest = fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                    page, url = _number(fields, "x-page-id"), fields.get("warc-target-uri")
-                    if segments:
+                    shared = (_number(fields, "x-page-id"), fields.get("warc-target-uri"), kind, digest, _number(fields, "x-refers-to-page-id"))
+                    if number is not None:
                         origin = fields.get("warc-segment-origin-id", fields["warc-record-id"])
-                        rows.append((origin, number, _number(fields, "warc-segment-total-length"), page, url, digest, block))
+                        rows.append((origin, number, _number(fields, "warc-segment-total-length"), *shared, block, None))
                     else:
                         payload = _checked(http_payload(block), digest) if kind == "response" else None
-                        rows.append((page, url, kind, digest, _number(fields, "x-refers-to-page-id"), payload))
+                        size = None if payload is None else len(payload)
+                        rows.append((None, None, None, *shared, payload if payloads else None, size))
                     held += len(block)
                     if held > _HELD_BYTES:
-                        yield _as_batch(rows, names, segments)
+                        yield _as_batch(rows, names)
                         rows, held = [], 0
                 if rows:
-                    yield _as_batch(rows, names, segments)
+                    yield _as_batch(rows, names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(run, _RECORD)
 
 
 _HELD_BYTES = 4 << 20
-_PAGE_ARROW = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-_PART_ARROW = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+_ARROW = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64()]
 
 
-def _as_batch(rows: list[tuple], names: list[str], segments: bool) -> pa.RecordBatch:
-    kinds = _PART_ARROW if segments else _PAGE_ARROW
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+def _as_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _ARROW)], names)
 
 
-def reassemble(parts: DataFrame) -> DataFrame:
+def reassemble(parts: DataFrame, payloads: bool = True) -> DataFrame:
     """Pages from their segments: by origin, in the order of their numbers, verified, decoded."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("number")
-        block = b"".join(group["block"])
+        block = b"".join(group["payload"])
         total = group["total"].dropna()
         if group["number"].tolist() != list(range(1, len(group) + 1)) or len(total) != 1 or int(total.iloc[0]) != len(block):
             raise ValueError("segments of a record are missing")
         first = group.iloc[0]
         page = None if pd.isna(first["page_id"]) else int(first["page_id"])
         payload = _checked(http_payload(block), first["payload_digest"])
-        rows = [(page, first["url"], "response", first["payload_digest"], None, payload)]
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in _PAGE.split(", ")], dtype=object)
+        row = (page, first["url"], "response", first["payload_digest"], None, payload if payloads else None, len(payload))
+        return pd.DataFrame([row], columns=[f.split()[0] for f in _PAGE.split(", ")], dtype=object)
 
     return parts.groupBy("origin").applyInPandas(run, _PAGE)
 
 
+def _pages(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
+    """One row per page; the archives are read once, into a stored table of records."""
+    records = store(_scan(spark, path, payloads), "warc-records")
+    whole = records.filter("number IS NULL").drop("origin", "number", "total")
+    return whole.unionByName(reassemble(records.filter("number IS NOT NULL"), payloads))
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per page: id, url, record type, payload digest, referred page, payload (null for revisits).
+    """One row per page: id, url, record type, payload digest, referred page, payload (null for revisits) and its length.
 
     Every payload read is held against its digest, every segmented block
     against its total length; an archive that fails ends the job.
     """
-    return _scan(spark, path, segments=False).unionByName(reassemble(_scan(spark, path, segments=True)))
+    return _pages(spark, path, payloads=True)
 
 
 def page_digests(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each page; revisits have
     the length of the payload they refer to."""
-    read = read_archives(spark, path).withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).drop("payload", "url")
+    read = _pages(spark, path, payloads=False).drop("payload", "url")
     read = store(read, "warc-pages")
     pages = read.filter("record_type = 'response'")
     again = read.filter("record_type = 'revisit'").drop("payload_bytes")

@@ -122,26 +122,6 @@ def test_viterbi_is_brute_force(field):
             assert score(tuple(got[i, :n])) == pytest.approx(score(best))
 
 
-def test_neighbourhoods_give_what_the_whole_text_gives(field):
-    """Cutting quiet stretches out changes nothing: against chains over all tokens at once."""
-    rnd = random.Random(8)
-    table = pii.labelled_table(5)
-    for _ in range(40):
-        parts = []
-        for text, _ in rnd.sample(table, 6):
-            parts += [text, " ".join("quiet" for _ in range(rnd.choice([0, 2, 12, 30, 300])))]
-        text = " ".join(parts)
-        tokens = [m.span() for m in pii._TOKEN.finditer(text)]
-        kinds = [pii.shape(text[a:b]) for a, b in tokens]
-        other = len(field.shapes)
-        wide = pii.ShapeField(field.shapes, np.pad(field.emit, ((0, 0), (0, 1), (0, 0))), field.move, field.first)
-        want = []
-        for a, b in pii._chains(kinds):
-            row = np.array([[field.shapes.get(k, other) for k in kinds[a:b]]])
-            want += pii._spans_of(tokens[a:b], pii.viterbi(wide, row)[0])
-        assert pii.field_spans([text], field)[0] == sorted(want, key=lambda s: s[1])
-
-
 def test_odd_rows(spark, odd_docs, field):
     got = pii.find(odd_docs, "doc_id", "text", field)
     assert got.count() == odd_docs.count() and got.filter("spans <> ''").count() == 0

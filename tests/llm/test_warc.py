@@ -63,7 +63,7 @@ def test_pages_of_every_kind(spark):
     path, got = _read(spark, rows, segment_bytes=700, archive_bytes=6000)
     assert got == _expected(rows)
     assert len(spark.read.format("binaryFile").load(path).collect()) > 2
-    assert warc._scan(spark, path, segments=True).select("origin").distinct().count() >= 2
+    assert warc._scan(spark, path, payloads=False).filter("number IS NOT NULL").select("origin").distinct().count() >= 2
     payloads = {r["page_id"]: bytes(r["payload"]) for r in warc.read_archives(spark, path).collect() if r["payload"] is not None}
     assert payloads[5] == NASTY.encode() and payloads[8] == b"long " * 2000
     _, got = _read(spark, rows, min_bytes=6)
@@ -79,7 +79,7 @@ def test_no_pages(spark):
 def test_a_missing_segment_is_noticed(spark):
     rows = [(1, "u", "x" * 5000)]
     path, _ = _read(spark, rows, segment_bytes=1000)
-    parts = warc._scan(spark, path, segments=True)
+    parts = warc._scan(spark, path, payloads=False).filter("number IS NOT NULL")
     assert warc.reassemble(parts).first()["payload"] == bytearray(b"x" * 5000)
     with pytest.raises(Exception, match="segments of a record are missing"):
         warc.reassemble(parts.filter("number <> 2")).collect()
@@ -97,3 +97,23 @@ def test_damaged_archives_are_noticed():
         list(warc.records_of(b"junk" + good))
     with pytest.raises(ValueError):
         warc._checked(b"abd", warc.payload_digest(b"abc"))
+
+
+def test_pages_of_the_query_are_reassembled(spark, sf_dir):
+    """The query's own archives hold continuation records, and the pages that come from them are right."""
+    path = scratch_path(spark, "archives")
+    warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", "html", path)
+    records = warc._scan(spark, path, payloads=False)
+    assert records.filter("number > 1").count() >= 1
+    segmented = {r["page_id"] for r in records.filter("number > 1").select("page_id").collect()}
+    html = {r["page_id"]: (r["html"] or "").encode() for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    read = {r["page_id"]: bytes(r["payload"]) for r in warc.read_archives(spark, path).filter("record_type = 'response'").collect()}
+    assert segmented and all(read[i] == html[i] and len(html[i]) > 4000 for i in segmented)
+
+
+def test_equal_pages_without_an_id_are_not_one_task(spark):
+    rows = [(None, "u", "same")] * 400
+    path = scratch_path(spark, "archives")
+    warc.write_archives(spark.createDataFrame(rows, _SCHEMA), "page_id", "url", "html", path, archive_bytes=100)
+    sizes = [r["n"] for r in spark.read.text(path, lineSep="\r\n\r\n").groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 8 and max(sizes) < 200
