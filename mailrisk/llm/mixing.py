@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailrisk.llm.common import columns_of, whole_row
+from mailrisk.llm.common import columns_of, store, whole_row
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -73,6 +73,7 @@ def _best_starts(lots: DataFrame, seed: str) -> DataFrame:
 def plan_copies(
     df: DataFrame, id_col: str, source_col: str, size_col: str,
     weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """``df`` with ``source_size``, ``target``, ``copies`` and ``taken`` (copies times size).
 
@@ -86,29 +87,38 @@ def plan_copies(
     over lanes, whose number grows with the table, and only lane totals are
     summed across; so no source, however large, is one task.  Equal rows are
     separate documents.  Null sizes count as 0, and null ids as one id.  Columns
-    of ``df`` named like an added one are replaced.
+    of ``df`` named like an added one are replaced.  ``sizes`` are the three
+    columns of ``df`` alone, if they are at hand as a table: the sums are read
+    from it, and ``df`` only once.
     """
-    lanes = LANES * max(1, -(-df.count() // 1_000_000))
+    sizes = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys((id_col, source_col, size_col))]) if sizes is None else sizes
+    lanes = LANES * max(1, -(-sizes.count() // 1_000_000))
     size = F.coalesce(F.col(size_col), F.lit(0)).cast("bigint")
     lane = F.pmod(_hashed(F.coalesce(F.col(id_col).cast("string"), F.lit("")), 8), F.lit(lanes))
-    keyed = df.select(
-        whole_row(df).alias("row"),
-        F.col(id_col).alias("_id"),
+    at = [
         F.col(source_col).isNotNull().alias("_named"),
         F.coalesce(F.col(source_col), F.lit("")).alias("_source"),
         size.alias("_size"),
         F.floor(F.sqrt(size)).cast("bigint").alias("_class"),
         lane.alias("_lane"),
-    )
+    ]
+    keyed = df.select(whole_row(df).alias("row"), F.col(id_col).alias("_id"), *at)
     place = ["_named", "_source", "_class", "_lane"]
-    totals = keyed.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_words"))
+    totals = sizes.select(*at).groupBy(*place).agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_words"))
+    totals = store(totals, "mix-lots")
     per_source = totals.groupBy("_named", "_source").agg(F.sum("_words").alias("source_size"))
     named = per_source.withColumn("source", F.when(F.col("_named"), F.col("_source")))
     wanted = targets(named, weights, share, most).select("_named", "_source", "source_size", "target")
     rate = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0)) * UNIT), F.lit(0)).cast("bigint")
-    lanes_before = Window.partitionBy("_named", "_source").orderBy("_class", "_lane").rowsBetween(Window.unboundedPreceding, -1)
-    lots = totals.join(wanted, ["_named", "_source"]).withColumn("_rate", rate)
-    lots = lots.withColumn("_before", F.coalesce(F.sum(F.col("_n") * F.col("_rate")).over(lanes_before), F.lit(0)))
+    # two levels: size classes of a source, of which there are few, and the lanes of a class
+    before = (Window.unboundedPreceding, -1)
+    classes = totals.groupBy("_named", "_source", "_class").agg(F.sum("_n").alias("_upto"))
+    smaller = Window.partitionBy("_named", "_source").orderBy("_class").rowsBetween(*before)
+    classes = classes.withColumn("_upto", F.coalesce(F.sum("_upto").over(smaller), F.lit(0)))
+    lanes_before = Window.partitionBy("_named", "_source", "_class").orderBy("_lane").rowsBetween(*before)
+    lots = totals.withColumn("_inside", F.coalesce(F.sum("_n").over(lanes_before), F.lit(0)))
+    lots = lots.join(classes, ["_named", "_source", "_class"]).join(wanted, ["_named", "_source"]).withColumn("_rate", rate)
+    lots = lots.withColumn("_before", (F.col("_upto") + F.col("_inside")) * F.col("_rate")).drop("_upto", "_inside")
     lots = lots.join(_best_starts(lots, seed), ["_named", "_source"])
     lots = lots.withColumn("_before", F.col("_before") + F.col("_start")).drop("_n", "_words", "_start")
     through = Window.partitionBy(*place).orderBy("_size", "_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -122,8 +132,9 @@ def plan_copies(
 
 def mix(df: DataFrame, id_col: str, source_col: str, text_col: str, **how) -> DataFrame:
     """The rows of ``df``, each as often as the mix takes it."""
-    sized = df.select(whole_row(df).alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    planned = plan_copies(sized, "id", "source", "size", **how).filter("copies > 0")
+    named = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")]
+    sizes = store(df.select(*named), "mix-sizes")
+    planned = plan_copies(df.select(whole_row(df).alias("doc"), *named), "id", "source", "size", sizes=sizes, **how).filter("copies > 0")
     each = planned.select("doc", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     return each.select(*columns_of("doc", df.columns))
 

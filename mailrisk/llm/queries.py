@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailrisk.llm import collocation, hnsw, langid, mixing, packing, pii, pivots, quality, search, simhash, token_file, warc, wrapper
+from mailrisk.llm.common import store
 from mailrisk.llm.tokens import share_tokenizer
 from mailrisk.session import scratch_path
 
@@ -49,7 +50,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    sized = store(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "mix-sizes")
     planned = mixing.plan_copies(sized, "doc_id", "source", "size")
     return planned.select("doc_id", "size", "source_size", "target", "taken")
 
