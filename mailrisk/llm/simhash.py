@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,9 @@ MAX_BITS = 4
 SEED = 42
 #: Segments are two bits wide: 32 counts of 0, 1 or 2 describe a fingerprint.
 SEGMENTS = 32
-#: Blocks of neighbouring segments; a grid cell holds the counts of all but MAX_BITS of them.
-BLOCKS = 6
+#: Points that share a cell with a point by chance, at most, on average; decides into how many blocks segments are cut.
+BY_CHANCE = 8
+MOST_BLOCKS = 12
 _CHUNK = 1 << 16
 
 
@@ -67,41 +69,57 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def grid_masks(max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> list[int]:
-    """The bits of the segments that each kind of grid cell looks at.
+def block_masks(blocks: int) -> list[int]:
+    """The bits of each block of neighbouring segments."""
+    edges = [2 * (SEGMENTS * i // blocks) for i in range(blocks + 1)]
+    return [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
 
-    Of ``blocks`` blocks a Manhattan distance of ``max_bits`` leaves at least
-    ``blocks - max_bits`` unchanged, so two points in range share a cell of the
-    grid over some such choice of blocks.
+
+def block_count(points: int, max_bits: int = MAX_BITS) -> int:
+    """Blocks for a number of points: the fewest at which random points share few cells.
+
+    More blocks make finer cells, of more kinds.  Two random segments have equal
+    counts with a chance of 3/8.
     """
-    if blocks <= max_bits:
-        raise ValueError("more blocks than differing bits are needed")
-    edges = [2 * (SEGMENTS * i // blocks) for i in range(blocks + 1)]
-    block = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
-    return [_signed(sum(block[i] for i in chosen)) for chosen in combinations(range(blocks), blocks - max_bits)]
+    for blocks in range(max_bits + 2, MOST_BLOCKS):
+        segments = SEGMENTS * (blocks - max_bits) / blocks
+        if points * comb(blocks, max_bits) * 0.375**segments / 2 <= BY_CHANCE:
+            return blocks
+    return max(MOST_BLOCKS, max_bits + 2)
 
 
-def linked_fingerprints(reps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+def linked_fingerprints(reps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
     """(a, b), a < b: all pairs of distinct ``fp`` that differ in at most ``max_bits`` bits.
 
-    Equal grid cells meet in a join, cut by the Manhattan distance of the
-    counts (the lower bound) and then by the exact distance.  A pair is given
-    in the first cell kind that both share, so once.
+    Of ``blocks`` blocks a Manhattan distance of ``max_bits`` leaves at least
+    ``blocks - max_bits`` unchanged: two points in range share the grid cell of
+    some choice of so many blocks.  Equal cells meet in a join, cut by the
+    Manhattan distance of the counts (the lower bound) and then by the exact
+    distance.  A pair is given for the first choice of blocks that both share,
+    so once.
     """
-    masks = grid_masks(max_bits, blocks)
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col("counts").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(masks)]))
-    points = reps.select("fp", segment_counts(F.col("fp")).alias("counts"))
-    points = points.select("fp", "counts", cells.alias("at")).select("fp", "counts", "at.kind", "at.cell")
+    blocks = block_count(reps.count(), max_bits) if blocks is None else blocks
+    if blocks <= max_bits:
+        raise ValueError("more blocks than differing bits are needed")
+    masks = block_masks(blocks)
+    kinds = []
+    for chosen in combinations(range(blocks), blocks - max_bits):
+        cell = F.col("counts").bitwiseAND(F.lit(_signed(sum(masks[i] for i in chosen))))
+        kind, upto = sum(1 << i for i in chosen), (1 << (chosen[-1] + 1)) - 1
+        kinds.append(F.struct(F.lit(kind).alias("kind"), F.lit(upto).alias("upto"), cell.alias("cell")))
+    points = reps.select("fp", segment_counts(F.col("fp")).alias("counts")).select("fp", "counts", F.explode(F.array(*kinds)).alias("at"))
+    points = points.select("fp", "counts", "at.*")
     a, b = points.alias("a"), points.alias("b")
     apart = F.col("a.counts").bitwiseXOR(F.col("b.counts"))
-    first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m)) == 0, F.lit(k)) for k, m in enumerate(masks)])
+    same = sum((F.when(apart.bitwiseAND(F.lit(_signed(m))) == 0, 1 << i).otherwise(0) for i, m in enumerate(masks)), F.lit(0))
     near = (
         (F.col("a.kind") == F.col("b.kind"))
         & (F.col("a.cell") == F.col("b.cell"))
         & (F.col("a.fp") < F.col("b.fp"))
         & (F.bit_count(apart) <= max_bits)
         & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits)
-        & (first == F.col("a.kind"))
+        # no earlier choice: up to the last block of this one no other block is the same
+        & (same.bitwiseAND(F.col("a.upto")) == F.col("a.kind"))
     )
     return a.join(b, near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
@@ -142,9 +160,11 @@ def drop_near_copies(df: DataFrame, id_col: str, text_col: str, shingle: int = S
     fps = store(fingerprints(marked, "_key", "_text", shingle), "simhash")
     groups = group_fingerprints(fps, "_key", max_bits)
     stay = store(groups.select(F.col("component_id").alias("_key")).distinct().join(fps.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")), "_key"), "simhash-stay")
-    keyed = df.select(whole_row(df).alias("row"), F.xxhash64(F.col(id_col), row).alias("at"))
+    keyed = df.select(whole_row(df).alias("row"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), row.alias("hash")).alias("_key"))
+    keyed = keyed.withColumn("at", F.xxhash64("_key"))
     # the keys grow with the documents: joined by a shuffle at every size, never broadcast
-    wanted = stay.select(F.xxhash64("_key.id", "_key.hash").alias("at"), "_n").hint("merge")
-    once = keyed.join(wanted.filter("_n = 1").select("at"), "at", "left_semi")
-    again = keyed.join(wanted.filter("_n > 1").select("at"), "at", "left_semi").dropDuplicates(["at"])
+    wanted = stay.select(F.xxhash64("_key").alias("at"), F.col("_key").alias("_stays"), "_n").hint("merge")
+    same_key = (keyed["at"] == wanted["at"]) & keyed["_key"].eqNullSafe(wanted["_stays"])
+    once = keyed.join(wanted.filter("_n = 1"), same_key, "left_semi")
+    again = keyed.join(wanted.filter("_n > 1"), same_key, "left_semi").dropDuplicates(["_key"])
     return once.unionByName(again).select(*columns_of("row", names))

@@ -1,6 +1,8 @@
 import random
+from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -105,3 +107,33 @@ def test_one_of_each_group_stays(spark, odd_docs):
     same = spark.createDataFrame([(1, "equal rows here now", "x")] * 5 + [(2, "equal rows here now", "x")], "doc_id bigint, text string, a string")
     assert [tuple(r) for r in simhash.drop_near_copies(same, "doc_id", "text").collect()] == [(1, "equal rows here now", "x")]
     assert simhash.drop_near_copies(same.limit(0), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("blocks", [5, 6, 7, 8, 12])
+def test_any_number_of_blocks_gives_the_same_links(spark, blocks):
+    rnd = random.Random(blocks)
+    base = [rnd.getrandbits(64) for _ in range(25)]
+    fps = sorted({int(np.uint64(b ^ sum(1 << k for k in rnd.sample(range(64), n))).astype(np.int64)) for b in base for n in range(7)})
+    got = [tuple(r) for r in simhash.linked_fingerprints(spark.createDataFrame([(f,) for f in fps], "fp bigint"), blocks=blocks).collect()]
+    want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def _candidates(spark, n):
+    """Pairs of random fingerprints that meet in a cell, with the blocks chosen for their number."""
+    blocks = simhash.block_count(n)
+    points = spark.range(n).select(F.xxhash64("id").alias("fp"))
+    counts = points.select(simhash.segment_counts(F.col("fp")).alias("counts"))
+    total = 0
+    for chosen in combinations(range(blocks), blocks - 4):
+        mask = simhash._signed(sum(simhash.block_masks(blocks)[i] for i in chosen))
+        sizes = counts.groupBy(F.col("counts").bitwiseAND(F.lit(mask))).count()
+        total += sizes.agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0]
+    return total
+
+
+def test_candidates_of_a_point_do_not_grow_with_the_points(spark):
+    for n in (60_000, 240_000, 960_000):
+        assert _candidates(spark, n) / n <= simhash.BY_CHANCE
+    found = [simhash.block_count(n) for n in (1, 10**4, 10**6, 10**9)]
+    assert found == sorted(found) and found[0] == 6 and found[-1] <= simhash.MOST_BLOCKS
