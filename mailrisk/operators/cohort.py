@@ -12,6 +12,7 @@ from mailrisk.functions import text as X
 from mailrisk.operators.joins import BROADCAST_ROWS, lookup_join
 from mailrisk.operators.ranking import latest_per_user
 from mailrisk.operators.rows import within_months
+from mailrisk.session import stored
 
 
 def active_users(
@@ -75,6 +76,8 @@ def suspension_window(
     the scan of the mails skips the history before and, with ``upper``, after.
     """
     sent = F.col(email_date)
+    # a row per suspended user, read three times: its ends, its size and the join
+    suspended = stored(suspended, "suspended")
     first, last = suspended.agg(F.min("created_at"), F.max("created_at")).first()
     if first is None:
         return join_suspensions(mails.limit(0), suspended, spread, rows)

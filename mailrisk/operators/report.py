@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailrisk.operators.joins import fits_broadcast
+from mailrisk.session import stored
 
 BINS = 50
 THRESHOLD = 0.99
@@ -71,6 +72,7 @@ def score_histogram(
         F.when(flat, F.col("_min") - 0.5).otherwise(F.col("_min")).alias("_lo"),
         F.when(flat, F.col("_max") + 0.5).otherwise(F.col("_max")).alias("_hi"),
     )
+    edges = stored(edges, "edges")  # a row per group, read by the size test and by the join
     if fits_broadcast(edges):
         edges = F.broadcast(edges)
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]

@@ -11,6 +11,7 @@ from mailrisk import schema as S
 from mailrisk.functions import text as X
 from mailrisk.operators import cohort, embeddings, geo, messages, ranking, report, rows
 from mailrisk.operators.bayes import BayesModel
+from mailrisk.operators.joins import lookup_join
 from mailrisk.operators.language import Translator, detect_language, translate
 from mailrisk.operators.scoring import TextModel, score_all
 from mailrisk.session import stored
@@ -233,17 +234,32 @@ def compare_embeddings(
     key: str = "id",
     per_set: int | None = None,
     dim: int = 256,
+    labels: DataFrame | None = None,
 ) -> DataFrame:
     """(id, dataset, embedding): the corpus cut by its label into two sets, and other sets of texts.
 
+    ``labels`` is a table of (key, label) where the corpus has no label column;
+    texts become vectors before it is joined, so they do not move.
     ``per_set`` takes an exact sample of each set, the same one every time.
     The table is stored: distances, centroids and clusters all read it.
     """
-    cut = {positive: corpus.filter(F.col(label) == 1), negative: corpus.filter(F.col(label) == 0)}
-    sets = rows.union_tagged({n: df.select(F.col(key).alias("id"), F.col(text).alias("_text")) for n, df in {**cut, **others}.items()})
+
+    def embedded(df: DataFrame, *more: str) -> DataFrame:
+        named = df.select(F.col(key).alias("id"), F.col(text).alias("_text"), *more)
+        return embeddings.embed_text(named, "_text", dim).drop("_text")
+
+    if labels is None:
+        known = embedded(corpus, F.col(label).alias("_label"))
+    else:
+        named = labels.select(F.col(key).alias("id"), F.col(label).alias("_label"))
+        known = lookup_join(embedded(corpus), named, "id", spread="id", how="inner")
+    dataset = F.when(F.col("_label") == 1, positive).when(F.col("_label") == 0, negative)
+    parts = [known.withColumn("dataset", dataset).filter("dataset IS NOT NULL").drop("_label")]
+    parts += [rows.tag_dataset(embedded(df), name) for name, df in others.items()]
+    sets = rows.union_frames(*parts).select("id", "dataset", "embedding")
     if per_set is not None:
         sets = ranking.sample_n(sets, per_set, "dataset", "id")
-    return stored(embeddings.embed_text(sets, "_text", dim).drop("_text"), "embedding-sets")
+    return stored(sets, "embedding-sets")
 
 
 def embedding_distances(sets: DataFrame, names: list[str]) -> DataFrame:

@@ -582,11 +582,12 @@ _SET_NAMES = ["phish", "not-phish", "good-users", "phish-users"]
 
 
 def _compared(spark, d):
-    corpus = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(F.col("doc_id").alias("id"), "text", F.col("toxic").alias("label"))
+    corpus = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
     pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"))
     talks = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
     others = {"good-users": pages, "phish-users": talks}
-    return jobs.compare_embeddings(corpus, others, "phish", "not-phish")
+    return jobs.compare_embeddings(corpus, others, "phish", "not-phish", labels=labels)
 
 
 _SET_VALUES = f"""SELECT split_part(id, ':', 1) AS dataset, id, pos, x FROM (
