@@ -185,7 +185,10 @@ def predict(df: DataFrame, id_col: str, text_col: str, net: ByteNetwork | None)
     """(id, lang_pred, score): the class with the highest mean probability over all windows of a text.
 
     Windows weigh as many bytes as they add.  A null text, or one without a
-    letter, is ``und`` with score 0, as is every text without a network.
+    letter, is ``und`` with score 0, as is every text without a network.  Equal
+    probabilities: the class first in order.  Repeated rows come back as often as
+    given, an empty table gives none; a very long text is read in groups of
+    windows, so memory is bounded by its bytes.  Only the two columns are read.
     """
     plain = df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
 

@@ -163,6 +163,9 @@ def pack_documents(df: DataFrame, id_col: str, text_col: str, tokenizer: Broadca
     """One row per piece of each document, with its sequence and place there.
 
     Every row is a document of its own, also repeated ones and those with a
-    null id.  Texts are encoded once; the small piece table is stored.
+    null id; a null or empty text is its end id alone.  Texts are encoded once,
+    however long; the small piece table is stored.  An empty table gives no row.
+    Which of equally good bins takes a piece follows the order of the pieces, so
+    sequence numbers may differ between runs, their contents' fit not.
     """
     return pack(store(pieces(df, id_col, text_col, tokenizer, end_id, limit), "pieces"), limit)

@@ -209,7 +209,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
 
 def score(df: DataFrame, text_col: str, model: AdditiveModel, out: str = "score") -> DataFrame:
-    """``df`` with the score of every whole text; null and empty texts have that of all-zero features."""
+    """``df`` with the score of every whole text; null and empty texts have that of all-zero features.
+
+    Row by row, whatever the length; equal texts have equal scores, repeated rows
+    come back as often as given, an empty table gives none.  A column of ``df`` named
+    ``out`` is replaced.
+    """
+    df = df.drop(out)
     names = df.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     at = names.index(text_col)

@@ -256,7 +256,8 @@ def write_token_files(
     Texts are encoded once into a stored id table; the code comes from the
     counts of all ids.  Only coded documents are shuffled, to the part of the
     id range they belong to.  Null texts are empty, null ids come first,
-    repeated ids stay as often as given, an empty table gives empty files.
+    repeated ids stay as often as given, in the order of their lengths and coded
+    bytes, an empty table gives empty files.
     """
     spark = df.sparkSession
     dtype = _id_type(tokenizer)
@@ -268,7 +269,7 @@ def write_token_files(
     spark.createDataFrame(rows, "id bigint, bits bigint").coalesce(1).write.parquet(f"{path}/codebook")
     bounds = range_bounds(df, id_col, text_col, part_bytes)
     coded = _encoded(ids, Codebook(symbols, bits), bounds, dtype)
-    placed = coded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id")
+    placed = coded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "n_tokens", "data")
     placed.mapInArrow(_blocks, _BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
