@@ -86,7 +86,8 @@ def plan_copies(
     to the target.  A source's rows are spread
     over lanes, whose number grows with the table, and only lane totals are
     summed across; so no source, however large, is one task.  Equal rows are
-    separate documents.  Null sizes count as 0, and null ids as one id.  Columns
+    separate documents, and the same ones are taken in each run.  Null sizes count
+    as 0, and null ids as one id.  Columns
     of ``df`` named like an added one are replaced.  ``sizes`` are the three
     columns of ``df`` alone, if they are at hand as a table: the sums are read
     from it, and ``df`` only once.
@@ -121,7 +122,8 @@ def plan_copies(
     lots = lots.withColumn("_before", (F.col("_upto") + F.col("_inside")) * F.col("_rate")).drop("_upto", "_inside")
     lots = lots.join(_best_starts(lots, seed), ["_named", "_source"])
     lots = lots.withColumn("_before", F.col("_before") + F.col("_start")).drop("_n", "_words", "_start")
-    through = Window.partitionBy(*place).orderBy("_size", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    # rows of equal size and id are told apart by what else they hold
+    through = Window.partitionBy(*place).orderBy("_size", "_id", F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("_before") + F.sum("_rate").over(through)
     crossed = F.shiftright(upto, 24) - F.shiftright(upto - F.col("_rate"), 24)
     chosen = keyed.join(lots, place).withColumn("copies", crossed.cast("bigint"))

@@ -82,3 +82,10 @@ def test_odd_rows(spark, odd_docs):
 def test_word_count(spark):
     df = spark.createDataFrame([(None,), ("",), (" \t\n\x0b\x0c\r",), ("a  b\nc",), (" x y",)], "t string")
     assert [r[0] for r in df.select(mixing.word_count(F.col("t"))).collect()] == [0, 0, 0, 3, 1]
+
+
+def test_rows_of_one_id_and_size_are_taken_alike_in_each_run(spark):
+    rows = [(1, "s", f"word{i} text") for i in range(40)] + [(2, "t", "x " * 30)] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    runs = [sorted(map(tuple, mixing.mix(df.repartition(n, "text" if n % 2 else "doc_id"), "doc_id", "source", "text").collect())) for n in (1, 4, 7)]
+    assert runs[0] == runs[1] == runs[2] and 0 < len(runs[0])
