@@ -39,6 +39,10 @@ def _describe(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
             starts = np.cumsum(ends) - ends
             for dim in np.unique(ends):
                 which = np.flatnonzero(ends == dim)
+                if int(dim) not in pivots:
+                    for i in which:
+                        near[i] = [0]
+                    continue
                 vectors = values[starts[which][:, None] + np.arange(dim)]
                 cosine = vectors @ pivots[int(dim)].T  # the pivots are unit vectors; a row's own length does not matter
                 best = np.argsort(-cosine, axis=1, kind="stable")[:, :NEAREST]
@@ -70,10 +74,13 @@ def spread_out(units: np.ndarray, count: int) -> np.ndarray:
 
 
 def choose_pivots(rows: DataFrame, count: int = PIVOTS) -> dict[int, np.ndarray]:
-    """Unit reference points by vector length, from a bounded sample, by a hash, of the vectors of each."""
-    dims = [r[0] for r in rows.select(F.size("vector")).distinct().limit(_LENGTHS + 1).collect()]
-    if len(dims) > _LENGTHS:
-        raise ValueError(f"vectors have more than {_LENGTHS} different lengths")
+    """Unit reference points by vector length, from a bounded sample, by a hash, of the vectors of each.
+
+    Beyond the ``_LENGTHS`` most frequent lengths there are none: vectors of such a
+    length are one list, which is compared whole, in pairs of blocks.
+    """
+    lengths = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(_LENGTHS)
+    dims = [r["dim"] for r in lengths.collect()]
     pivots = {}
     for dim in sorted(dims):
         picked = bounded_sample(rows.filter(F.size("vector") == dim).select("rep", "vector"), "rep", SAMPLE).collect()
@@ -83,6 +90,7 @@ def choose_pivots(rows: DataFrame, count: int = PIVOTS) -> dict[int, np.ndarray]
 
 
 _LENGTHS = 64
+_ONE_PLACE = np.zeros(1, dtype=np.int64)
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -156,7 +164,8 @@ def link_classes(classes: DataFrame, least: float = MIN_COSINE, shared: int = SH
     """
     pivots = choose_pivots(classes)
     described = store(_describe(classes, pivots), "pivot-near")
-    use = described.select(F.size("vector").alias("dim"), F.explode("near").alias("pivot")).groupBy("dim", "pivot").count().collect()
+    counted = described.filter(F.size("vector").isin(list(pivots)))
+    use = counted.select(F.size("vector").alias("dim"), F.explode("near").alias("pivot")).groupBy("dim", "pivot").count().collect()
     places: dict[int, np.ndarray] = {}  # rank of each pivot by how rare it is; at most PIVOTS a length
     for dim, points in pivots.items():
         frequency = np.zeros(len(points), dtype=np.int64)
@@ -167,11 +176,13 @@ def link_classes(classes: DataFrame, least: float = MIN_COSINE, shared: int = SH
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = batch.column("near").to_pylist()
-            dims = batch.column("vector").value_lengths().to_numpy()
-            out = [
-                _indexed(np.array([n]), places[int(d)], min(shared, len(n)))[0].tolist() if len(n) else [] for n, d in zip(near, dims)
-            ]
+            near, dims = batch.column("near"), batch.column("vector").value_lengths().to_numpy()
+            out: list = [None] * len(dims)
+            for dim in np.unique(dims):
+                which = np.flatnonzero(dims == dim)
+                rows = near.take(pa.array(which)).flatten().to_numpy().reshape(len(which), -1)
+                for i, chosen in zip(which, _indexed(rows, places.get(int(dim), _ONE_PLACE), min(shared, rows.shape[1])).tolist()):
+                    out[i] = chosen
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "lists"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in described.schema.fields)
@@ -206,7 +217,7 @@ def link_classes(classes: DataFrame, least: float = MIN_COSINE, shared: int = SH
                 continue
             found = _compare(
                 group.column("rep").to_numpy(), blocks, group.column("n_rows").to_numpy(), vectors, near,
-                pivot, places[dim], min(shared, near.shape[1]), least,
+                pivot, places.get(dim, _ONE_PLACE), min(shared, near.shape[1]), least,
             )
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["rep", "n_linked", "root"])
 
