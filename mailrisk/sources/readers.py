@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -159,11 +160,17 @@ def sample_files(
     only ``k`` names come to the driver.
     """
     listing = scan_parquet(spark, *paths)
-    name = F.col("_metadata.file_path")
-    files = listing.select(name.alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    picked = files.select("path").orderBy(F.xxhash64("path", F.lit(seed)), "path").limit(k)
-    # a filter on the name leaves the other files out of the scan, and folder names stay columns
-    return listing.filter(name.isin([r["path"] for r in picked.collect()]))
+    parts = [scan_parquet(spark, p).select(F.lit(i).alias("at"), F.col("_metadata.file_path").alias("path")) for i, p in enumerate(paths)]
+    files = reduce(DataFrame.union, parts).groupBy("path").agg(F.min("at").alias("at"))
+    picked = files.orderBy(F.xxhash64("path", F.lit(seed)), "path").limit(k).collect()
+    found = []
+    for i in sorted({r["at"] for r in picked}):
+        names = sorted(r["path"] for r in picked if r["at"] == i)
+        reader = spark.read.schema(listing.schema)
+        if any("=" in n.rsplit("/", 2)[-2] for n in names):
+            reader = reader.option("basePath", paths[i])  # folder names stay columns
+        found.append(reader.parquet(*names))
+    return reduce(DataFrame.union, found) if found else listing.limit(0)
 
 
 def split_bad_records(
