@@ -192,6 +192,17 @@ def test_ingest_keeps_broken_lines_and_messages(spark, sf_dir, tmp_path):
     assert [r["html"] for r in spark.read.parquet(f"{out}/html").collect()] == ["<p>hi</p>"]
     held = {r["record"][:8]: r["reason"] for r in spark.read.parquet(f"{out}/quarantine").collect()}
     assert len(held) == 2 and held["{broken"] == "unreadable line"
+    assert all(f.endswith(".zstd.parquet") for t in ("parsed", "mails", "html") for f in spark.read.parquet(f"{out}/{t}").inputFiles())
+
+
+def test_json_lines_are_small_gzip_files(spark):
+    path = scratch_path(spark, "lines")
+    df = spark.range(250).select("id", F.repeat(F.lit("body "), 100).alias("text")).coalesce(1)
+    writers.write_json_lines(df, path, records=100)
+    back = spark.read.schema("id bigint, text string").json(path)
+    files = back.inputFiles()
+    assert len(files) == 3 and all(f.endswith(".json.gz") for f in files)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
 def test_incremental_ingest(spark):
