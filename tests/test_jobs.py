@@ -5,6 +5,7 @@ from types import SimpleNamespace
 import pytest
 from conftest import plan
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__ as entry
 from mailrisk import schema as S
@@ -205,6 +206,22 @@ def test_json_lines_are_small_gzip_files(spark):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_ranges_are_bounded_in_bytes(spark, monkeypatch):
+    from mailrisk.operators import ranking
+
+    path = scratch_path(spark, "wide")
+    df = spark.range(4000).select("id", F.repeat(F.col("id").cast("string"), 300).alias("text"))
+    assert ranking.range_count(df) == 1
+    assert ranking.range_count(df, rows=1000) == 4
+    assert ranking.range_count(df, size=1 << 20) >= 4
+    monkeypatch.setattr(writers, "range_count", lambda df: ranking.range_count(df, size=1 << 20))
+    writers.write_csv(df, f"{path}/sheet", number_by=["id"])
+    sheet = readers.scan_csv(spark, f"{path}/sheet", T.StructType([T.StructField("row", T.LongType()), *df.schema]))
+    assert len(sheet.inputFiles()) >= 4 and sheet.filter("row = id").count() == 4000
+    writers.write_batches(df, f"{path}/batches", ["id"], 300)
+    assert len(spark.read.parquet(f"{path}/batches").inputFiles()) > 14  # one range would make one file for each of the 14
+
+
 def test_incremental_ingest(spark):
     base = scratch_path(spark, "inc")
     run = dict(source=f"{base}/in", target=f"{base}/out", checkpoint=f"{base}/ck", transform=lambda df: df, schema=spark.range(0).schema)
