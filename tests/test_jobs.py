@@ -12,6 +12,7 @@ from mailrisk import schema as S
 from mailrisk.operators import scoring
 from mailrisk.session import scratch_path
 from mailrisk.sources import readers, writers
+from mailrisk.sources.runs import Output, read_output, run_job
 from mailrisk.operators.language import fit_language
 from mailrisk.streaming.incremental import ingest_incremental, ingest_new_files
 
@@ -222,6 +223,30 @@ def test_ranges_are_bounded_in_bytes(spark, monkeypatch):
     assert len(spark.read.parquet(f"{path}/batches").inputFiles()) > 14  # one range would make one file for each of the 14
 
 
+def test_jobs_use_small_arrow_batches(spark):
+    from mailrisk.session import small_batches
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    path = scratch_path(spark, "batches")
+
+    def sizes(todo, _done):
+        return todo.mapInPandas(lambda frames: (f.assign(id=len(f)) for f in frames), "id bigint, s3_path string")
+
+    try:
+        for setting, longest in (("10000", 1000), ("50", 50)):
+            spark.conf.set(name, setting)
+            df = spark.range(0, 3000, 1, 1).select("id", F.lit(f"f{setting}").alias("s3_path"))
+            run_job(df, f"{path}/{setting}", [Output("sizes", sizes)], spread="id")
+            assert read_output(spark, f"{path}/{setting}", "sizes").agg(F.max("id")).first()[0] == longest
+            assert spark.conf.get(name) == setting
+        with pytest.raises(ValueError), small_batches(spark):
+            raise ValueError
+        assert spark.conf.get(name) == "50"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_incremental_ingest(spark):
     base = scratch_path(spark, "inc")
     run = dict(source=f"{base}/in", target=f"{base}/out", checkpoint=f"{base}/ck", transform=lambda df: df, schema=spark.range(0).schema)
