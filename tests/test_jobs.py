@@ -247,6 +247,14 @@ def test_jobs_use_small_arrow_batches(spark):
         spark.conf.set(name, before)
 
 
+def test_per_user_write_uses_every_core(spark):
+    path = scratch_path(spark, "users")
+    df = spark.range(4000).select(F.col("id").alias("user_id"), F.col("id").alias("sg_event_id"))
+    writers.write_per_user(df.filter("user_id < 200"), path, partitions=2)
+    tasks = {f.rsplit("/part-", 1)[1][:5] for f in spark.read.parquet(path).inputFiles()}
+    assert len(tasks) > spark.sparkContext.defaultParallelism
+
+
 def test_incremental_ingest(spark):
     base = scratch_path(spark, "inc")
     run = dict(source=f"{base}/in", target=f"{base}/out", checkpoint=f"{base}/ck", transform=lambda df: df, schema=spark.range(0).schema)
