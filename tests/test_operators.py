@@ -41,6 +41,31 @@ def test_salted_lookup_keeps_every_row(spark, how):
     assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
 
 
+def test_counted_join_copies_only_busy_keys(spark):
+    data = spark.range(3000).select(
+        "id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 11).cast("string").alias("k")
+    )
+    lookup = spark.createDataFrame([(str(k), f"v{k}") for k in range(9)], "k string, v string")
+    counts = data.filter("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    out = joins.counted_join(data, lookup, counts, "k", "id", "n", hot=500)
+    assert sorted(map(tuple, out.select("id", "k", "v").collect())) == sorted(map(tuple, data.join(lookup, "k", "left").select("id", "k", "v").collect()))
+
+
+def test_addresses_too_many_to_broadcast_are_not_copied(spark, monkeypatch):
+    table = spark.createDataFrame([(16777216, 33554431, "A")], "start_ip bigint, end_ip bigint, country string")
+    ip = F.concat(F.lit("1.2."), (F.col("id") % 50).cast("string"), F.lit(".9"))
+    ip = F.when(F.col("id") % 3 == 0, "1.1.1.1").when(F.col("id") % 7 == 0, None).when(F.col("id") % 7 == 1, "9.9.9.9").otherwise(ip)
+    mails = spark.range(2000).select(F.col("id").alias("msg_id"), ip.alias("originating_ip"))
+    few = geo.ip_country(mails, table)
+    monkeypatch.setattr(geo, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(geo, "counted_join", lambda *a: joins.counted_join(*a, hot=100))
+    many = geo.ip_country(mails, table, rows=0, salts=4)
+    assert many.columns == few.columns
+    assert sorted(map(tuple, many.collect()), key=repr) == sorted(map(tuple, few.collect()), key=repr)
+    text = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0, 31" not in text and "ceil" in text.lower()
+
+
 def test_ip_country(spark):
     ranges = [(16777216, 16777471, "A"), (16777472, 33554431, "B"), (50331648 + 65530, 50331648 + 65541, None), (167772160, 184549375, "P")]
     table = spark.createDataFrame(ranges, "start_ip bigint, end_ip bigint, country string")
