@@ -11,9 +11,10 @@ import base64
 import gzip
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 from uuid import uuid4
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,6 +118,34 @@ def revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int = M
     return found.filter("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
+#: Rows of a batch taken into Python at once, and bytes or rows handed back at once.
+_TAKEN_ROWS, _HELD_BYTES, _HELD_ROWS = 256, 4 << 20, 10_000
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of the batches, a few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _TAKEN_ROWS):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, _TAKEN_ROWS).columns))
+
+
+def _in_batches(rows: Iterator[tuple[tuple, int]], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Batches of the rows, each given with its bytes; a batch ends when it holds enough of either."""
+    some, held = [], 0
+    for row, size in rows:
+        some.append(row)
+        held += size
+        if held > _HELD_BYTES or len(some) == _HELD_ROWS:
+            yield _as_batch(some, names, kinds)
+            some, held = [], 0
+    if some:
+        yield _as_batch(some, names, kinds)
+
+
+def _as_batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+
 def write_archives(
     pages: DataFrame, id_col: str, url_col: str, payload_col: str, path: str,
     min_bytes: int = MIN_REVISIT_BYTES, segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES,
@@ -140,10 +169,8 @@ def write_archives(
     joined = dealt.join(known, ["_key", "digest"], "left").select("page_id", "url", "payload", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                records = page_records(*row, segment_bytes=segment_bytes)
-                yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["record"])
+        records = (r for row in _rows(batches) for r in page_records(*row, segment_bytes=segment_bytes))
+        return _in_batches((((r,), len(r)) for r in records), ["record"], [pa.binary()])
 
     records = joined.mapInArrow(run, "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.options(lineSep=END.decode(), compression="gzip").text(path)
@@ -191,58 +218,61 @@ _RECORD = f"origin string, number bigint, total bigint, {_PAGE}"
 
 def _scan(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
     """Every record of the archives in one pass; whole ones are decoded and verified, without ``payloads`` only measured."""
-    names = [f.split()[0] for f in _RECORD.split(", ")]
+
+    def read(content: bytes) -> Iterator[tuple[tuple, int]]:
+        for fields, block in records_of(gunzipped(content)):
+            number = _number(fields, "warc-segment-number")
+            kind, digest = fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
+            shared = (_number(fields, "x-page-id"), fields.get("warc-target-uri"), kind, digest, _number(fields, "x-refers-to-page-id"))
+            if number is not None:
+                origin = fields.get("warc-segment-origin-id", fields["warc-record-id"])
+                yield (origin, number, _number(fields, "warc-segment-total-length"), *shared, block, None), len(block)
+            else:
+                payload = _checked(http_payload(block), digest) if kind == "response" else None
+                size = None if payload is None else len(payload)
+                yield (None, None, None, *shared, payload if payloads else None, size), len(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                rows, held = [], 0
-                for fields, block in records_of(gunzipped(content.as_py())):
-                    number = _number(fields, "warc-segment-number")
-                    kind, digest = fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                    shared = (_number(fields, "x-page-id"), fields.get("warc-target-uri"), kind, digest, _number(fields, "x-refers-to-page-id"))
-                    if number is not None:
-                        origin = fields.get("warc-segment-origin-id", fields["warc-record-id"])
-                        rows.append((origin, number, _number(fields, "warc-segment-total-length"), *shared, block, None))
-                    else:
-                        payload = _checked(http_payload(block), digest) if kind == "response" else None
-                        size = None if payload is None else len(payload)
-                        rows.append((None, None, None, *shared, payload if payloads else None, size))
-                    held += len(block)
-                    if held > _HELD_BYTES:
-                        yield _as_batch(rows, names)
-                        rows, held = [], 0
-                if rows:
-                    yield _as_batch(rows, names)
+                yield from _in_batches(read(content.as_py()), _names(_RECORD), _ARROW)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(run, _RECORD)
 
 
-_HELD_BYTES = 4 << 20
 _ARROW = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64()]
 
 
-def _as_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _ARROW)], names)
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def assembled(origin: str, parts: list[tuple], payloads: bool) -> tuple:
+    """The page of one origin from its segments, rows of a record in the order of their numbers."""
+    _, _, _, page, url, _, digest, _, _, _ = parts[0]
+    block = b"".join(p[8] for p in parts)
+    totals = [p[2] for p in parts if p[2] is not None]
+    if [p[1] for p in parts] != list(range(1, len(parts) + 1)) or totals != [len(block)]:
+        raise ValueError(f"segments of a record are missing: {origin}")
+    payload = _checked(http_payload(block), digest)
+    return page, url, "response", digest, None, payload if payloads else None, len(payload)
 
 
 def reassemble(parts: DataFrame, payloads: bool = True) -> DataFrame:
-    """Pages from their segments: by origin, in the order of their numbers, verified, decoded."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("number")
-        block = b"".join(group["payload"])
-        total = group["total"].dropna()
-        if group["number"].tolist() != list(range(1, len(group) + 1)) or len(total) != 1 or int(total.iloc[0]) != len(block):
-            raise ValueError("segments of a record are missing")
-        first = group.iloc[0]
-        page = None if pd.isna(first["page_id"]) else int(first["page_id"])
-        payload = _checked(http_payload(block), first["payload_digest"])
-        row = (page, first["url"], "response", first["payload_digest"], None, payload if payloads else None, len(payload))
-        return pd.DataFrame([row], columns=[f.split()[0] for f in _PAGE.split(", ")], dtype=object)
-
-    return parts.groupBy("origin").applyInPandas(run, _PAGE)
+    """Pages from their segments: by origin, in the order of their numbers, verified, decoded.
+
+    A task takes its segments as one sorted stream, so it holds those of one
+    page, and the pages come out many to a batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = groupby(_rows(batches), itemgetter(0))
+        pages = (assembled(origin, list(group), payloads) for origin, group in groups)
+        return _in_batches(((p, len(p[5] or b"")) for p in pages), _names(_PAGE), _ARROW[3:])
+
+    dealt = parts.select(*_names(_RECORD)).repartition("origin").sortWithinPartitions("origin", "number")
+    return dealt.mapInArrow(run, _PAGE)
 
 
 def _pages(spark: SparkSession, path: str, payloads: bool) -> DataFrame:

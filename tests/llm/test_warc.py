@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from compare import connect, difference
 from pyspark.sql import functions as F
@@ -87,6 +88,33 @@ def test_a_missing_segment_is_noticed(spark):
         warc.reassemble(parts.filter(F.col("total").isNull())).collect()
 
 
+def test_segments_are_taken_as_a_stream(spark):
+    """No call for each page: segments of a page come in several batches, pages leave many to a batch."""
+    rows = [(i, "u", f"{i} " * (300 + i)) for i in range(40)] + [(None, None, "é" * 900)]
+    path, got = _read(spark, rows, segment_bytes=100)
+    assert got == _expected(rows)
+    parts = warc._scan(spark, path, payloads=False).filter("number IS NOT NULL")
+    whole = warc.reassemble(parts)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    at = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = {r["page_id"]: (r["url"], bytes(r["payload"])) for r in whole.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", at)
+    assert found == {i: (u, html.encode()) for i, u, html in rows}
+
+
+def test_rows_leave_many_to_a_batch():
+    rows = [((i, b"x" * 1000), 1000) for i in range(20_000)]
+    batches = list(warc._in_batches(iter(rows), ["i", "b"], [pa.int64(), pa.binary()]))
+    assert len(batches) < 10 and max(b.nbytes for b in batches) < 2 * warc._HELD_BYTES
+    assert list(warc._rows(iter(batches))) == [row for row, _ in rows]
+    assert [b.num_rows for b in warc._in_batches((((i,), 0) for i in range(warc._HELD_ROWS + 1)), ["i"], [pa.int64()])] == [warc._HELD_ROWS, 1]
+    assert list(warc._in_batches(iter([]), ["i"], [pa.int64()])) == []
+
+
 def test_damaged_archives_are_noticed():
     good = b"".join(r + warc.END for r in warc.page_records(1, "u", b"abc", None))
     (fields, block), = warc.records_of(good)
