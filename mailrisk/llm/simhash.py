@@ -121,18 +121,22 @@ def linked_fingerprints(reps: DataFrame, max_bits: int = MAX_BITS, blocks: int |
         # no earlier choice: up to the last block of this one no other block is the same
         & (same.bitwiseAND(F.col("a.upto")) == F.col("a.kind"))
     )
-    return a.join(b, near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    # each point is here once per kind, up to hundreds of times, which Spark's estimate leaves out: it would broadcast them
+    return a.join(b.hint("merge"), near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def group_fingerprints(fps: DataFrame, id_col: str, max_bits: int = MAX_BITS) -> DataFrame:
-    """(fp, n_rows, component_id) of each distinct fingerprint of a stored (id, fp) table."""
+    """(fp, n_rows, component_id) of each distinct fingerprint of a stored (id, fp) table.
+
+    All tables grow with the documents, whatever their files' size: none is broadcast.
+    """
     reps = store(fps.groupBy("fp").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("n_rows")), "simhash-reps")
     links = linked_fingerprints(reps, max_bits)
     roots = store(components(links, "a", "b"), "simhash-roots")
-    members = reps.join(roots, F.col("fp") == F.col("node"))
+    members = reps.join(roots.hint("merge"), F.col("fp") == F.col("node"))
     least = members.groupBy("root").agg(F.min("_first").alias("_least"))
-    linked = roots.join(least, "root").select(F.col("node").alias("fp"), "_least")
-    return reps.join(linked, "fp", "left").select("fp", "n_rows", F.coalesce("_least", "_first").alias("component_id"))
+    linked = roots.join(least.hint("merge"), "root").select(F.col("node").alias("fp"), "_least")
+    return reps.join(linked.hint("merge"), "fp", "left").select("fp", "n_rows", F.coalesce("_least", "_first").alias("component_id"))
 
 
 def near_copies(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -159,7 +163,8 @@ def drop_near_copies(df: DataFrame, id_col: str, text_col: str, shingle: int = S
     marked = df.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), row.alias("hash")).alias("_key"), F.col(text_col).alias("_text"))
     fps = store(fingerprints(marked, "_key", "_text", shingle), "simhash")
     groups = group_fingerprints(fps, "_key", max_bits)
-    stay = store(groups.select(F.col("component_id").alias("_key")).distinct().join(fps.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")), "_key"), "simhash-stay")
+    counts = fps.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).hint("merge")
+    stay = store(groups.select(F.col("component_id").alias("_key")).distinct().join(counts, "_key"), "simhash-stay")
     keyed = df.select(whole_row(df).alias("row"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), row.alias("hash")).alias("_key"))
     keyed = keyed.withColumn("at", F.xxhash64("_key"))
     # the keys grow with the documents: joined by a shuffle at every size, never broadcast

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from mailrisk.llm import simhash
+from mailrisk.llm import common, simhash
 from mailrisk.llm.queries import QUERIES
 
 
@@ -137,3 +137,30 @@ def test_candidates_of_a_point_do_not_grow_with_the_points(spark):
         assert _candidates(spark, n) / n <= simhash.BY_CHANCE
     found = [simhash.block_count(n) for n in (1, 10**4, 10**6, 10**9)]
     assert found == sorted(found) and found[0] == 6 and found[-1] <= simhash.MOST_BLOCKS
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_of_points_are_not_broadcast(spark, tmp_path):
+    """Spark takes the cells of all points for no more than the points, here 16 KB, and would send all to the driver."""
+    spark.range(1000).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/reps")
+    links = simhash.linked_fingerprints(spark.read.parquet(f"{tmp_path}/reps"), blocks=12)
+    assert "SortMergeJoin" in _plan(links) and "Broadcast" not in _plan(links)
+
+
+def test_no_step_of_dropping_copies_is_broadcast(spark, monkeypatch):
+    plans, store = [], common.store
+
+    def told(df, name, **options):
+        plans.append(_plan(df))
+        return store(df, name, **options)
+
+    for module in (common, simhash):
+        monkeypatch.setattr(module, "store", told)
+    texts = [f"copy {i % 40} of a text with {i % 40} words and {'more ' * (i % 40)}{'x' * (i >= 40)}" for i in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    kept = simhash.drop_near_copies(df, "id", "text")
+    assert 0 < kept.count() < 80
+    assert len(plans) > 4 and not [p for p in (*plans, _plan(kept)) if "Broadcast" in p]
