@@ -39,6 +39,14 @@ def test_heavy_join_is_a_left_join(spark):
     assert sorted(map(tuple, got.select("id", "k", "top").collect())) == sorted(map(tuple, want.select("id", "k", "top").collect()))
 
 
+def test_heavy_join_broadcasts_only_what_it_bounds(spark):
+    df = spark.range(6000).select("id", F.pmod("id", F.lit(3000)).alias("k"))
+    lookup = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    plan = heavy_join(df, lookup, "k", "n", 6000)._jdf.queryExecution().executedPlan().toString()
+    # the rows of heavy keys, and their names; every other key goes by a shuffle
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 1
+
+
 def test_bounded_sample_is_the_same_for_any_partitions(spark):
     df = spark.range(10_000)
     a = [r[0] for r in bounded_sample(df.repartition(7), "id", 100).collect()]
