@@ -41,6 +41,19 @@ def test_salted_lookup_keeps_every_row(spark, how):
     assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
 
 
+def test_copies_of_a_large_lookup_are_not_broadcast(spark, tmp_path):
+    """Files as small as these Spark would send to every task, the copies of each row with them."""
+    spark.range(4000).select("id", F.concat("id", F.lit(".html")).alias("filename"), F.lit("f").alias("file_id")).write.parquet(f"{tmp_path}/links")
+    links = spark.read.parquet(f"{tmp_path}/links").drop("id")
+    mails = spark.range(6000).select(F.col("id").cast("string").alias("msg_id"))
+    found = cohort.attach_file_links(mails, links, rows=0)
+    assert "SortMergeJoin" in plan(found) and "Broadcast" not in plan(found)
+    assert found.filter("HTML_File_Link = 'Not Found'").count() == 2000
+    missing = cohort.count_unmapped(mails, links)
+    assert "SortMergeJoin" in plan(missing) and "Broadcast" not in plan(missing)
+    assert missing.first()[0] == 2000
+
+
 def test_counted_join_copies_only_busy_keys(spark):
     data = spark.range(3000).select(
         "id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 11).cast("string").alias("k")
