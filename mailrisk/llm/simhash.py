@@ -128,14 +128,15 @@ def linked_fingerprints(reps: DataFrame, max_bits: int = MAX_BITS, blocks: int |
 def group_fingerprints(fps: DataFrame, id_col: str, max_bits: int = MAX_BITS) -> DataFrame:
     """(fp, n_rows, component_id) of each distinct fingerprint of a stored (id, fp) table.
 
-    All tables grow with the documents, whatever their files' size: none is broadcast.
+    All tables grow with the documents, whatever their files' size: none is broadcast,
+    but for the rows of at most 1000 roots with very many nodes.
     """
     reps = store(fps.groupBy("fp").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("n_rows")), "simhash-reps")
     links = linked_fingerprints(reps, max_bits)
     roots = store(components(links, "a", "b"), "simhash-roots")
     members = reps.join(roots.hint("merge"), F.col("fp") == F.col("node"))
-    least = members.groupBy("root").agg(F.min("_first").alias("_least"))
-    linked = roots.join(least.hint("merge"), "root").select(F.col("node").alias("fp"), "_least")
+    least = store(members.groupBy("root").agg(F.min("_first").alias("_least"), F.count(F.lit(1)).alias("_n")), "simhash-least")
+    linked = heavy_join(roots, least, "root", "_n", roots.count()).select(F.col("node").alias("fp"), "_least")
     return reps.join(linked.hint("merge"), "fp", "left").select("fp", "n_rows", F.coalesce("_least", "_first").alias("component_id"))
 
 

@@ -163,4 +163,33 @@ def test_no_step_of_dropping_copies_is_broadcast(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
     kept = simhash.drop_near_copies(df, "id", "text")
     assert 0 < kept.count() < 80
-    assert len(plans) > 4 and not [p for p in (*plans, _plan(kept)) if "Broadcast" in p]
+    # two of the broadcasts, with the name of each, are those of heavy_join: at most 1000 rows
+    counts = [p.count("BroadcastHashJoin") for p in (*plans, _plan(kept))]
+    assert len(plans) > 4 and sorted(set(counts)) == [0, 2] and counts.count(2) == 1
+
+
+def test_one_large_component_is_not_one_task(spark):
+    """Nodes of a root that has many get its smallest id from a broadcast, so its rows stay where they are."""
+    ends = spark.createDataFrame([(int(np.uint64((1 << 60) ^ (1 << k)).astype(np.int64)),) for k in range(40)] + [(5,), (7,), (1 << 50,)], "fp bigint")
+    fps = ends.select((F.col("fp") % 97).alias("id"), "fp")
+    found = simhash.group_fingerprints(fps, "id")
+    assert _plan(found).count("BroadcastHashJoin") == 2
+    got = {r["fp"]: r["component_id"] for r in found.collect()}
+    signed = {r["fp"]: r["id"] for r in fps.collect()}
+    near = _brute_least(signed)
+    assert got == near
+
+
+def _brute_least(ids):
+    """The smallest id that each fingerprint reaches."""
+    root = {f: f for f in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(ids, 2):
+        if ((a ^ b) & (2**64 - 1)).bit_count() <= 4:
+            root[find(a)] = find(b)
+    return {f: min(ids[g] for g in ids if find(g) == find(f)) for f in ids}
