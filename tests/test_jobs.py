@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 import __spark_entry__ as entry
 from mailrisk import schema as S
 from mailrisk.operators import scoring
+from mailrisk.plans import job_queries
 from mailrisk.session import scratch_path
 from mailrisk.sources import readers, writers
 from mailrisk.sources.runs import Output, read_output, run_job
@@ -318,3 +319,17 @@ def test_scan_reads_needed_columns_only(spark, sf_dir):
     assert "ReadSchema: struct<user_id:bigint>" in text
     text = plan(QUERIES["recent_notes"](spark, sf_dir))
     assert "GreaterThanOrEqual(ts" in text and "StringContains(event_type,err)" in text
+
+
+def test_bodies_of_an_ingest_are_not_broadcast(spark, sf_dir, tmp_path):
+    """Equal bodies leave small files, from which Spark would take the table for small."""
+    body = "<p>" + "word " * 200 + "</p>"
+    mails = spark.range(2000).select(F.col("id").cast("string").alias("msg_id"), *[F.lit("x").alias(c) for c in job_queries._MAIL if c not in ("msg_id", "html")])
+    mails.write.parquet(f"{tmp_path}/mails")
+    mails.filter("msg_id % 2 = 0").select("msg_id", F.lit(body).alias("html")).write.parquet(f"{tmp_path}/html")
+    mails.limit(0).write.parquet(f"{tmp_path}/quarantine")
+    found = job_queries._ingested(spark, str(tmp_path))
+    assert "SortMergeJoin" in plan(found) and "Broadcast" not in plan(found)
+    assert found.count() == 2000 and found.filter(F.col("html") == body).count() == 1000
+    raw = job_queries._raw_documents(spark, sf_dir)
+    assert "SortMergeJoin" in plan(raw) and "Broadcast" not in plan(raw)
